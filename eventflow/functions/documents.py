@@ -62,10 +62,8 @@ def path_text(text: Column, path: str) -> Column:
     for prefix in ("$.", "."):
         path = path.removeprefix(prefix)
     keys = [k for k in path.split(".") if k]
-    if not path or not keys:
-        # No key left: a path of dots alone is the whole document, an empty one is nothing.
-        if not path:
-            return F.lit("")
+    if not path:
+        return F.lit("")
     steps = "$" + "".join(f"['{k}']" for k in keys)
     value = F.try_variant_get(decode(text), steps, "variant")
     name = kind(value)
