@@ -45,13 +45,8 @@ def scalar_text(value: Column, null_text: str | None = None) -> Column:
 
     Objects and arrays give their JSON text, JSON null gives ``null_text``.
     """
-    name = kind(value)
-    nested = name.startswith("OBJECT") | name.startswith("ARRAY")
-    return (
-        F.when(name == "VOID", F.lit(null_text).cast("string"))
-        .when(nested, F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
+    shown = F.try_variant_get(value, "$", "string")
+    return shown if null_text is None else F.when(value.isNotNull(), F.coalesce(shown, F.lit(null_text)))
 
 
 def path_text(text: Column, path: str) -> Column:

@@ -62,7 +62,8 @@ def verify_prefixed(secret: str, body: Column, signature: Column, prefix: str) -
 def header_part(signature: Column, key: str) -> Column:
     """Value of ``key`` in ``k=v,k=v``; the last one wins, ``''`` when absent."""
     parts = F.filter(F.split(signature, ","), lambda p: p.startswith(key + "="))
-    return F.coalesce(F.substring(F.element_at(F.slice(parts, -1, 1), 1), len(key) + 2, 1 << 30), F.lit(""))
+    last = F.get(F.reverse(parts), F.lit(0))
+    return F.coalesce(F.substring(last, len(key) + 2, 1 << 30), F.lit(""))
 
 
 def signed_text(signature: Column, body: Column) -> Column:

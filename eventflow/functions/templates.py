@@ -11,8 +11,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .documents import kind, scalar_text
+from .documents import scalar_text
 
+_FALSY = r"^(null|false|\"\"|\[\]|\{\}|-?0(\.0+)?(E.*)?)$"
 _TAG = re.compile(r"\{\{\s*(.*?)\s*\}\}", re.S)
 
 
@@ -24,24 +25,13 @@ def _lookup(dot: Column, ref: str) -> Column:
 def _shown(value: Column) -> Column:
     """Text of a value; arrays print as ``[a b]``, missing values as ``<no value>``."""
     items = F.try_variant_get(value, "$", "array<variant>")
-    joined = F.concat(F.lit("["), F.array_join(F.transform(items, scalar_text), " ", "<nil>"), F.lit("]"))
-    text = F.when(kind(value).startswith("ARRAY"), joined).otherwise(scalar_text(value, "<no value>"))
-    return F.coalesce(text, F.lit("<no value>"))
+    joined = F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: scalar_text(v)), " ", "<nil>"), F.lit("]"))
+    return F.coalesce(joined, scalar_text(value), F.lit("<no value>"))
 
 
 def _truthy(value: Column) -> Column:
-    name = kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
-    empty = (
-        (name == "VOID")
-        | ((name == "STRING") & (text == ""))
-        | ((name == "BOOLEAN") & (text == "false"))
-        | (number & (F.try_variant_get(value, "$", "double") == 0))
-        | (name.startswith("ARRAY") & (F.size(F.try_variant_get(value, "$", "array<variant>")) == 0))
-        | (name == "OBJECT<>")
-    )
-    return value.isNotNull() & ~empty
+    """Present, and not null, false, zero, or an empty string, array or object."""
+    return F.coalesce(~F.to_json(value).rlike(_FALSY), F.lit(False))
 
 
 def _block(parts: list[str], at: int, dot: Column) -> tuple[Column, str, int]:
@@ -64,15 +54,8 @@ def _block(parts: list[str], at: int, dot: Column) -> tuple[Column, str, int]:
                 no, stop, at = _block(parts, at, dot)
             out.append(F.when(_truthy(_lookup(dot, ref)), yes).otherwise(no))
         elif word == "range":
-            items = F.try_variant_get(_lookup(dot, ref), "$", "array<variant>")
-            after = [at + 1]
-
-            def body(item: Column, start: int = at + 1, after: list[int] = after) -> Column:
-                text, _, after[0] = _block(parts, start, item)
-                return text
-
-            out.append(F.coalesce(F.array_join(F.transform(items, body), ""), F.lit("")))
-            at = after[0]
+            text, at = _loop(parts, at + 1, _lookup(dot, ref))
+            out.append(text)
         elif tag.startswith("."):
             out.append(_shown(_lookup(dot, tag)))
             at += 1
@@ -81,6 +64,19 @@ def _block(parts: list[str], at: int, dot: Column) -> tuple[Column, str, int]:
     return _joined(out), "", at
 
 
+def _loop(parts: list[str], start: int, value: Column) -> tuple[Column, int]:
+    """Repeat the block from ``start`` for every item of an array."""
+    after = []
+
+    def body(item: Column) -> Column:
+        text, _, at = _block(parts, start, item)
+        after.append(at)
+        return text
+
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), body)
+    return F.coalesce(F.array_join(items, ""), F.lit("")), after[0]
+
+
 def _joined(out: list[Column]) -> Column:
     return F.concat(*out) if out else F.lit("")
 

@@ -11,6 +11,11 @@ from ..functions import documents as doc
 RAW_SOURCE = "river"
 
 
+def iso(ts: Column) -> Column:
+    """UTC text with microseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def blank(value: Column) -> Column:
     """NULL or empty."""
     return F.coalesce(F.length(value) == 0, F.lit(True))
@@ -64,7 +69,7 @@ def default_source(df: DataFrame, emitter: str, role: str | None = None) -> Data
 
 def publish(events: DataFrame) -> DataFrame:
     """Key/value records of the valid events (the shape a Kafka sink takes)."""
-    value = F.struct("subject", F.col("data").alias("data"), "source", F.col("ts").alias("ts"))
+    value = F.struct("subject", "data", "source", iso(F.col("ts")).alias("ts"))
     return accepted(validate(events)).select(
         *[c for c in events.columns if c not in ("subject", "data", "source", "ts")],
         F.col("subject").alias("key"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pin import pin
 from ..functions.subjects import subject_match
 
 OUT_SCHEMA = "platform string, chat_id string, text string, reply_to string, _bad string"
@@ -14,9 +15,8 @@ OUT_SCHEMA = "platform string, chat_id string, text string, reply_to string, _ba
 
 def messages(events: DataFrame, pattern: str, platform: str) -> DataFrame:
     """Events on the pattern whose platform fits, as ``chat_id, text`` (reply_to is not sent)."""
-    parsed = events.where(subject_match(F.col("subject"), pattern)).withColumn(
-        "_m", F.from_json("data", OUT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    )
+    message = F.from_json("data", OUT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = pin(events.where(subject_match(F.col("subject"), pattern)), {"_m": message})
     fits = F.col("_m._bad").isNull() & (F.col("_m.platform") == platform)
     return parsed.where(fits).select(
         *[c for c in events.columns if c not in ("data", "source")],

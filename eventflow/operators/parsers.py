@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as doc
 from ..functions.cases import constant_map, first_case
+from ..functions.pin import pin
 from ..sources.captures import chat_update, unwrap
 
 CHARGE_SCHEMA = """
@@ -38,10 +39,8 @@ def parse_payment(raw: DataFrame) -> DataFrame:
     Adds a typed ``payment`` struct (cents become currency units, a missing or empty item is
     ``unknown``), and ``subject``, ``source`` and JSON ``data`` of the event.
     """
-    parsed = raw.withColumn(
-        "_d",
-        F.from_json("data", CHARGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),
-    ).where(F.col("_d._bad").isNull() & F.col("_d.type").isin(*CHARGE_SUBJECTS))
+    charge = F.from_json("data", CHARGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = pin(raw, {"_d": charge}).where(F.col("_d._bad").isNull() & F.col("_d.type").isin(*CHARGE_SUBJECTS))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"_d.data.object.{name}"), F.lit(""))
@@ -55,7 +54,7 @@ def parse_payment(raw: DataFrame) -> DataFrame:
         F.coalesce(item, F.lit("unknown")).alias("item_id"),
         F.when(failed, text("failure_message")).alias("reason"),
     )
-    return parsed.withColumn("payment", payment).withColumns(
+    return pin(parsed, {"payment": payment}).withColumns(
         {
             "subject": constant_map(CHARGE_SUBJECTS)[F.col("_d.type")],
             "source": F.lit(CHARGE_PARSER),
@@ -70,10 +69,10 @@ def parse_general(raw: DataFrame) -> DataFrame:
     Adds ``payload`` (VARIANT of the source document), ``event_type``, ``subject``, ``source`` and
     the event's JSON ``data``. Columns a consumer does not read are never computed.
     """
-    parsed = raw.withColumn("payload", doc.decode(F.col("data"))).withColumn(
-        "event_type", doc.string_field(F.col("payload"), "type")
+    decoded = pin(raw, {"payload": doc.decode(F.col("data"))})
+    parsed = pin(decoded, {"event_type": doc.string_field(F.col("payload"), "type")}).where(
+        F.col("event_type").isNotNull()
     )
-    parsed = parsed.where(F.col("event_type").isNotNull())
     kind = F.col("event_type")
 
     def body(fields: tuple[str, ...]) -> Column:
@@ -107,8 +106,7 @@ def parse_webhook(raw: DataFrame) -> DataFrame:
 
     now = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return (
-        raw.withColumn("_v", doc.decode(F.col("data")))
-        .where(doc.is_object(F.col("data")))
+        pin(raw.where(doc.is_object(F.col("data"))), {"_v": doc.decode(F.col("data"))})
         .withColumns(
             {
                 "original_type": F.coalesce(doc.scalar_text(present("type")), F.lit("unknown")),
@@ -125,7 +123,7 @@ def parse_chat(raw: DataFrame) -> DataFrame:
 
     Updates without an id or a message are left out. Mentions are cut by characters.
     """
-    parsed = raw.withColumn("_u", chat_update(unwrap(F.col("data")))).where(
+    parsed = pin(raw, {"_u": chat_update(unwrap(F.col("data")))}).where(
         F.col("_u.update_id").isNotNull() & F.col("_u.message").isNotNull() & F.col("_u._bad").isNull()
     )
     m = F.col("_u.message")
@@ -158,4 +156,4 @@ def parse_chat(raw: DataFrame) -> DataFrame:
         F.map_filter(metadata, lambda _k, v: v.isNotNull()).alias("metadata"),
         F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
     )
-    return parsed.withColumn("message", message).drop("_u")
+    return pin(parsed, {"message": message}).drop("_u")

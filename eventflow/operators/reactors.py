@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents as doc
+from .events import iso
 
 # Names the reactors sign their effects with.
 AFTERSALES, GENERAL = "aftersales-nim", "general-nim"
@@ -26,10 +27,6 @@ TASK_SCHEMA = (
 ARCHIVE_PREFIX = "general."
 
 
-def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
 def iso_seconds(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

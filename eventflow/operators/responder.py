@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import documents as doc
+from ..functions.pin import pin
 from ..functions.subjects import resolve_subject
 from ..functions.templates import render
 from .events import blank
@@ -92,17 +93,15 @@ def model_step(
     the ``subject`` and ``source`` it is published with. Without ``make`` the rules answer.
     Unreadable payloads and failed questions are left out.
     """
-    ready = events.where(doc.is_object(F.col("data"))).withColumns(
-        {
-            "prompt": render(template, doc.decode(F.col("data"))),
-            "entity": entity_id(doc.decode(F.col("data"))),
-        }
-    )
+    decoded = pin(events.where(doc.is_object(F.col("data"))), {"_in": doc.decode(F.col("data"))})
+    ready = pin(
+        decoded, {"prompt": render(template, F.col("_in")), "entity": entity_id(F.col("_in"))}
+    ).drop("_in")
     if make is None:
-        asked = ready.withColumn("answer", ask_rules(F.col("prompt")))
+        asked = pin(ready, {"answer": ask_rules(F.col("prompt"))})
     else:
         asked = ask_function(ready, make).where(F.col("ask_error").isNull()).drop("ask_error")
-    parsed = asked.withColumn("answer", parse_answer(F.col("answer")))
+    parsed = pin(asked, {"answer": parse_answer(F.col("answer"))})
     return parsed.withColumns(
         {
             "subject": resolve_subject(publishes, doc.decode(F.col("answer"))),

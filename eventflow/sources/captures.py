@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as doc
 from ..functions import signatures as sig
+from ..functions.pin import pin
+from ..operators.events import iso
 from ..operators.ordered import SEGMENT_WIDTH, Running, running
 
 CHAT_SCHEMA = """
@@ -32,7 +34,7 @@ def wrap(body: Column, ts: Column, source: Column, headers: Column | None = None
     """Wrapper document ``{headers, body, timestamp, source}`` around a JSON body."""
     fields = [
         doc.decode(body).alias("body"),
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        iso(ts).alias("timestamp"),
         source.alias("source"),
     ]
     if headers is not None:
@@ -69,7 +71,7 @@ def capture_webhooks(
         .otherwise(200)
     )
     kept = F.map_filter(headers, lambda k, v: k.isin(keep_headers) & (v != ""))
-    return requests.withColumn("status", status).withColumns(
+    return pin(requests, {"status": status}).withColumns(
         {
             "subject": F.when(F.col("status") == 200, subject),
             "data": F.when(F.col("status") == 200, wrap(body, F.col("captured_at"), source, kept)),
@@ -92,7 +94,7 @@ def capture_chat(updates: DataFrame, source: str, subject: str, body: str = "bod
     """Chat webhook landing: 400 for bad JSON, 200 otherwise; only updates with a message land."""
     parsed = chat_update(F.col(body))
     return (
-        updates.withColumn("_u", parsed)
+        pin(updates, {"_u": parsed})
         .withColumn("status", F.when(F.col("_u").isNull() | F.col("_u._bad").isNotNull(), 400).otherwise(200))
         .withColumn("landed", (F.col("status") == 200) & F.col("_u.message").isNotNull())
         .withColumns(
@@ -118,7 +120,7 @@ def poll_cursors(
     with the request's cursor as a query parameter.
     """
     found = F.nullif(doc.path_text(F.col("body"), path), F.lit(""))
-    with_found = responses.withColumn("_found", found)
+    with_found = pin(responses, {"_found": found})
     cursors = running(
         with_found,
         ["source"],
@@ -154,12 +156,12 @@ def capture_polls(
         fields.append(F.map_filter(first, lambda _k, v: v.isNotNull()).alias("headers"))
     fields += [
         doc.decode(F.col("body")).alias("body"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        iso(F.col("ts")).alias("timestamp"),
         "source",
         F.nullif("cursor", F.lit("")).alias("cursor"),
     ]
     failed = F.col("status_code").isNull() | doc.decode(F.col("body")).isNull()
-    return cursors.withColumn("failed", failed).withColumns(
+    return pin(cursors, {"failed": failed}).withColumns(
         {
             "subject": F.when(~F.col("failed"), subject),
             "data": F.when(~F.col("failed"), F.to_json(F.struct(*fields))),

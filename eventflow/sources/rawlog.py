@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pin import pin
 from ..functions.subjects import literal_prefix, scan_pattern, subject_match, with_prefix
-from ..operators.events import blank
+from ..operators.events import blank, iso
 
 # Fixed value: every raw subject starts with this.
 RAW_PREFIX = "river."
@@ -30,7 +31,7 @@ def encode_wire(raw: DataFrame) -> Column:
         F.struct(
             "subject",
             F.base64(F.col("data").cast("binary")).alias("data"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
+            iso(F.col("ts")).alias("ts"),
         )
     )
 
@@ -43,8 +44,7 @@ def decode_wire(records: DataFrame, wire: str = "wire") -> DataFrame:
     good = F.col("_w._bad").isNull() & F.col("_w").isNotNull()
     payload = F.try_to_binary(F.col("_w.data"), F.lit("base64"))
     return (
-        records.withColumn("_w", body)
-        .withColumns(
+        pin(records, {"_w": body}).withColumns(
             {
                 "decoded": F.coalesce(good & (payload.isNotNull() | F.col("_w.data").isNull()), F.lit(False)),
                 "subject": F.col("_w.subject"),
