@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .events import blank
-from .ordered import SEG, SEGMENT_WIDTH, Running, number_rows, running, segment_of
+from .ordered import SEGMENT_WIDTH, Running, number_rows, running, segment_of
 
 # The three actions and the log's subject prefix.
 ACTIONS = ("create", "update", "delete")
@@ -81,6 +81,6 @@ def retain(log: DataFrame, max_age_s: int, max_rows: int, width: int = SEGMENT_W
 
 
 def out_of_order(log: DataFrame, arrival: str, width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Entries whose slot does not exceed every earlier one, in arrival order."""
-    seen = running(log, [], arrival, [Running("prev_slot", F.col("slot"), "max", strict=True)], width=width)
-    return seen.where(F.col("slot") <= F.col("prev_slot"))
+    """Entries whose slot does not exceed that of the entry that arrived just before."""
+    previous = Running("prev_slot", F.col("slot"), "last", strict=True)
+    return running(log, [], arrival, [previous], width=width).where(F.col("slot") <= F.col("prev_slot"))

@@ -63,8 +63,8 @@ def fold(log: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
     return merge(compact(log, width))
 
 
-def state_at(log: DataFrame, slot: int, width: int = SEGMENT_WIDTH) -> DataFrame:
-    """State as of a log position; the slot filter prunes the scan."""
+def state_at(log: DataFrame, slot: int | Column, width: int = SEGMENT_WIDTH) -> DataFrame:
+    """State as of a log position (a number or a scalar subquery); the filter prunes the scan."""
     return fold(log.where(F.col("slot") <= slot), width)
 
 

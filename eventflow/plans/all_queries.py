@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ingest, reactions
+from . import fleets, ingest, reactions, states, streams
 from .reactions import open_tasks
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "open_tasks", "reactions"]
+__all__ = ["ORACLES", "QUERIES", "fleets", "ingest", "open_tasks", "reactions", "states", "streams"]

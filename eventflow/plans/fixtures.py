@@ -263,7 +263,7 @@ def with_ctes(names: list[str], body: str) -> str:
             table, columns, where = FIXTURES[name]
             parts.append(f"{name} as (select {', '.join(columns)} from {table}{f' where {where}' if where else ''})")
     body = body.strip()
+    plain = body.lower().startswith("select")
     if not parts:
-        return body
-    glue = " " if body.lower().startswith("select") else ", "
-    return "with " + ", ".join(parts) + glue + body
+        return body if plain else "with " + body
+    return "with " + ", ".join(parts) + (" " if plain else ", ") + body
