@@ -18,10 +18,7 @@ def encode(value: Column) -> Column:
 
 def is_object(text: Column) -> Column:
     """Valid JSON whose top level is an object (valid JSON starting with a brace)."""
-    return F.coalesce(
-        decode(text).isNotNull() & F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("{"),
-        F.lit(False),
-    )
+    return F.coalesce(text.rlike(r"^\s*\{") & decode(text).isNotNull(), F.lit(False))
 
 
 def kind(value: Column) -> Column:
@@ -30,9 +27,9 @@ def kind(value: Column) -> Column:
 
 
 def string_field(document: Column, name: str) -> Column:
-    """A top-level field, only if it is a JSON string."""
-    value = F.try_variant_get(document, f"$['{name}']", "variant")
-    return F.when(kind(value) == "STRING", F.try_variant_get(document, f"$['{name}']", "string"))
+    """A top-level field, only if it is a JSON string (whose JSON text starts with a quote)."""
+    quoted = F.to_json(field(document, name)).startswith('"')
+    return F.when(quoted, F.try_variant_get(document, f"$['{name}']", "string"))
 
 
 def field(document: Column, name: str) -> Column:
@@ -61,8 +58,7 @@ def path_text(text: Column, path: str) -> Column:
         return F.lit("")
     steps = "$" + "".join(f"['{k}']" for k in keys)
     value = F.try_variant_get(decode(text), steps, "variant")
-    name = kind(value)
-    scalar = name.isin("STRING", "BIGINT", "DOUBLE", "BOOLEAN") | name.startswith("DECIMAL")
+    scalar = ~F.to_json(value).rlike(r"^[\[{]")
     return F.coalesce(F.when(scalar, F.try_variant_get(value, "$", "string")), F.lit(""))
 
 

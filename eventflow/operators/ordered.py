@@ -24,7 +24,7 @@ SEG = "_segment"
 def segment_of(position: str | Column, width: int = SEGMENT_WIDTH) -> Column:
     """Segment number of an integer position."""
     col = F.col(position) if isinstance(position, str) else position
-    return F.floor(col / F.lit(width)).cast("bigint")
+    return F.call_function("div", col, F.lit(width))
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ CHARGE_SCHEMA = """
     status: string, failure_message: string, metadata: map<string, string>>>,
   _bad string
 """
+WEBHOOK_SCHEMA = "type variant, timestamp variant, data variant, payload variant"
 # Event types of the charge provider and the subjects they become.
 CHARGE_SUBJECTS = {"charge.succeeded": "payment.completed", "charge.failed": "payment.failed"}
 # Raw subjects the two built-in parsers read, and their names as event sources.
@@ -96,25 +97,28 @@ def parse_webhook(raw: DataFrame) -> DataFrame:
     time is the record's own.
     """
 
+    objects = raw.where(doc.is_object(F.col("data")))
+    decoded = pin(objects, {"_v": F.from_json("data", WEBHOOK_SCHEMA)})
+    texts = {f"_{name}": F.to_json(f"_v.{name}") for name in ("type", "timestamp", "data", "payload")}
+
     def present(name: str) -> Column:
-        value = doc.field(F.col("_v"), name)
-        # JSON null and false count as missing.
-        absent = (doc.kind(value) == "VOID") | (
-            (doc.kind(value) == "BOOLEAN") & ~F.coalesce(F.try_variant_get(value, "$", "boolean"), F.lit(True))
-        )
-        return F.when(~absent, value)
+        """JSON text of a field; null and false count as missing."""
+        return F.when(~F.col(f"_{name}").isin("null", "false"), F.col(f"_{name}"))
+
+    def shown(name: str) -> Column:
+        return F.when(present(name).isNotNull(), doc.scalar_text(F.col(f"_v.{name}")))
 
     now = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return (
-        pin(raw.where(doc.is_object(F.col("data"))), {"_v": doc.decode(F.col("data"))})
+        pin(decoded, texts)
         .withColumns(
             {
-                "original_type": F.coalesce(doc.scalar_text(present("type")), F.lit("unknown")),
-                "timestamp": F.coalesce(doc.scalar_text(present("timestamp")), now),
-                "body": F.coalesce(F.to_json(present("data")), F.to_json(present("payload")), F.lit("{}")),
+                "original_type": F.coalesce(shown("type"), F.lit("unknown")),
+                "timestamp": F.coalesce(shown("timestamp"), now),
+                "body": F.coalesce(present("data"), present("payload"), F.lit("{}")),
             }
         )
-        .drop("_v")
+        .drop("_v", *texts)
     )
 
 

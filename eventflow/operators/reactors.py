@@ -41,10 +41,8 @@ def _effect(kind: str, target: Column, action: str | None, body: Column) -> Colu
 
 
 def _emit(events: DataFrame, position: str, actor: str, effects: list[Column]) -> DataFrame:
-    many = F.explode(F.array_compact(F.array(*effects)))
-    return events.select(position, "ts", F.lit(actor).alias("source"), many.alias("_e")).select(
-        position, "ts", "source", "_e.*"
-    )
+    many = F.inline(F.array_compact(F.array(*effects)))
+    return events.select(position, "ts", F.lit(actor).alias("source"), many)
 
 
 def _task(task_id: Column, task_type: str, description: Column, status: str) -> Column:
@@ -70,10 +68,8 @@ def _followup(reason: Column, status: str) -> Column:
     return _effect("event", F.lit("followup.required"), None, body)
 
 
-def on_payment_completed(payments: DataFrame, position: str = "event_id") -> DataFrame:
-    """Follow-up task, ``followup.required``, and a mail when the amount is large."""
+def _completed_effects() -> list[Column]:
     p = F.col("payment")
-    done = payments.where(F.col("subject") == "payment.completed")
     task_id = F.concat(F.lit("task-"), p["customer_id"], F.lit("-"), F.unix_seconds("ts").cast("string"))
     money = F.format_string("%.2f %s", p["amount"], p["currency"])
     description = F.concat(F.lit("Follow up on purchase of "), p["item_id"], F.lit(" ("), money, F.lit(")"))
@@ -85,34 +81,41 @@ def on_payment_completed(payments: DataFrame, position: str = "event_id") -> Dat
             F.lit("thank_you_template").alias("template_id"),
         )
     )
-    return _emit(
-        done,
-        position,
-        AFTERSALES,
-        [
-            _effect("change", task_id, "create", _task(task_id, "followup", description, "pending")),
-            _followup(F.lit("post_purchase_followup"), "pending"),
-            F.when(p["amount"] >= MAIL_FROM, _effect("event", F.lit("email.send"), None, mail)),
-        ],
-    )
+    return [
+        _effect("change", task_id, "create", _task(task_id, "followup", description, "pending")),
+        _followup(F.lit("post_purchase_followup"), "pending"),
+        F.when(p["amount"] >= MAIL_FROM, _effect("event", F.lit("email.send"), None, mail)),
+    ]
 
 
-def on_payment_failed(payments: DataFrame, position: str = "event_id") -> DataFrame:
-    """Urgent task and a follow-up that names the reason."""
+def _failed_effects() -> list[Column]:
     p = F.col("payment")
-    failed = payments.where(F.col("subject") == "payment.failed")
     task_id = F.concat(F.lit("task-"), p["customer_id"], F.lit("-failed-"), F.unix_seconds("ts").cast("string"))
     money = F.format_string("%.2f %s", p["amount"], p["currency"])
     description = F.concat(F.lit("Reach out about failed payment ("), money, F.lit("): "), p["reason"])
-    return _emit(
-        failed,
-        position,
-        AFTERSALES,
-        [
-            _effect("change", task_id, "create", _task(task_id, "payment_failure", description, "urgent")),
-            _followup(F.concat(F.lit("payment_failed: "), p["reason"]), "urgent"),
-        ],
-    )
+    return [
+        _effect("change", task_id, "create", _task(task_id, "payment_failure", description, "urgent")),
+        _followup(F.concat(F.lit("payment_failed: "), p["reason"]), "urgent"),
+    ]
+
+
+def on_payment_completed(payments: DataFrame, position: str = "event_id") -> DataFrame:
+    """Follow-up task, ``followup.required``, and a mail when the amount is large."""
+    done = payments.where(F.col("subject") == "payment.completed")
+    return _emit(done, position, AFTERSALES, _completed_effects())
+
+
+def on_payment_failed(payments: DataFrame, position: str = "event_id") -> DataFrame:
+    """Urgent task and a follow-up that names the reason."""
+    failed = payments.where(F.col("subject") == "payment.failed")
+    return _emit(failed, position, AFTERSALES, _failed_effects())
+
+
+def on_payment(payments: DataFrame, position: str = "event_id") -> DataFrame:
+    """Both payment reactors in one pass over the events."""
+    good = F.col("subject") == "payment.completed"
+    effects = [F.when(good, e) for e in _completed_effects()] + [F.when(~good, e) for e in _failed_effects()]
+    return _emit(payments, position, AFTERSALES, effects)
 
 
 def on_data_received(events: DataFrame, position: str = "event_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load, load_stream
+from ..session import load, load_stream, spread
 
 CHARGE_OK = (
     """'{"type":"charge.succeeded","data":{"object":{"id":"ch_'||cast(event_id as string)||'","amount":'"""
@@ -204,6 +204,9 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
     "fx_snapshot_new": ("part", ["p_partkey as id", "p_name as name"], "p_partkey % 5 <> 0"),
 }
 
+# Fixtures whose queries parse or hash text per row.
+TEXT_HEAVY = {"fx_raw", "fx_requests", "fx_polls", "fx_chat", "fx_contacts"}
+
 # Routing table and consumer positions: subscriptions, not data.
 PATTERNS = [
     ("parser-pay", "river.stripe.webhook"),
@@ -235,8 +238,12 @@ def fixture(spark: SparkSession, folder: str, name: str, stream: bool = False) -
     table, columns, where = FIXTURES[name]
     if table in FIXTURES:
         base = fixture(spark, folder, table, stream)
+    elif stream:
+        base = load_stream(spark, folder, table)
     else:
-        base = (load_stream if stream else load)(spark, folder, table)
+        base = load(spark, folder, table)
+        if name in TEXT_HEAVY:
+            base = spread(base)
     if where:
         base = base.where(where)
     return base.selectExpr(*columns)

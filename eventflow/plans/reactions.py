@@ -250,8 +250,7 @@ def react_payment_failed(spark, folder):
 
 def task_log(spark, folder) -> DataFrame:
     """Change log of the tasks both payment reactors create."""
-    paid = payments(spark, folder)
-    effects = reactors.on_payment_completed(paid).unionByName(reactors.on_payment_failed(paid))
+    effects = reactors.on_payment(payments(spark, folder))
     return changelog.append(reactors.changes(effects), "event_id")
 
 

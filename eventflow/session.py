@@ -17,6 +17,7 @@ def build_session(app: str = "eventflow", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -51,6 +52,15 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return _instants(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer tasks than that.
+
+    Meant before per-row parsing work. A table of many files has enough tasks and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """File stream over the same table (one file or a folder of part files)."""
     use_utc(spark)

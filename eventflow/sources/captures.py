@@ -84,10 +84,8 @@ def unwrap(data: Column) -> Column:
 
     The body may be an object or a string that holds JSON.
     """
-    document = doc.decode(data)
-    body = doc.field(document, "body")
-    inner = doc.scalar_text(body)
-    return F.when(body.isNotNull() & (doc.kind(body) != "VOID"), inner).otherwise(data)
+    body = F.from_json(data, "body variant").getField("body")
+    return F.coalesce(doc.scalar_text(body), data)
 
 
 def capture_chat(updates: DataFrame, source: str, subject: str, body: str = "body", ts: str = "ts") -> DataFrame:
