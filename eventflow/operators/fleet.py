@@ -101,7 +101,7 @@ def detect_processes(subscriptions: DataFrame) -> DataFrame:
 
 
 def detect_consumers(consumers: DataFrame) -> DataFrame:
-    """One process per (stream, consumer); the last row of a pair wins."""
+    """One process per (stream, consumer)."""
     rows = consumers.where(F.length("filter_subject") > 0)
     named = F.coalesce(F.nullif("name", F.lit("")), process_name(F.col("filter_subject")))
     keyed = rows.dropDuplicates(["stream_name", "name"]).withColumn("n_subjects", F.lit(1).cast("bigint"))

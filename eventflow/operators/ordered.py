@@ -10,10 +10,15 @@ a segment can never hold more than ``width`` rows of unique integer positions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.pin import pin
 
 # Positions per segment: 2^22 rows sort in one task with little or no spill.
 SEGMENT_WIDTH = 1 << 22
@@ -88,15 +93,18 @@ def running(
     ``width`` positions; otherwise pass ``segment``, any expression that never decreases along
     the order.
 
-    The rows are shuffled once, by (key, segment). The summary is a second, column-pruned read
-    with map-side combine, and it returns to the rows through a join on (key, segment), which
-    the rows are partitioned by already.
+    The rows are computed and shuffled once, by (key, segment). Both the windowed rows and the
+    summary read that one shuffle, and the summary returns to the rows through a join on (key,
+    segment), which the rows are partitioned by already. So sweeps can be stacked without the
+    input being computed again for each.
     """
     order = [order] if isinstance(order, str) else order
     if segment is None:
         segment = segment_of(order[0], width)
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    tagged = df.withColumn(SEG, segment)
+    dealt = df.withColumn(SEG, segment).repartition(*keys, SEG)
+    # Pinned columns are not pruned, so both readers ask for the same shuffle and Spark reuses it.
+    tagged = pin(dealt, {c: F.col(c) for c in df.columns if c not in keys})
 
     def inside(spec: Running) -> Column:
         # "next" looks back along the reversed order: frames that look ahead cost n^2.
@@ -116,6 +124,8 @@ def running(
         .agg(*[_summary(s, position).alias(f"_sum_{s.name}") for s in specs])
         .select(*keys, SEG, *[carry(s) for s in specs])
     )
+    if keys:
+        carried = _without_null_keys(carried, keys)
     joined = inner.join(carried, [*keys, SEG], "left")
     return joined.select(
         *df.columns,
@@ -123,6 +133,25 @@ def running(
     )
 
 
+def _without_null_keys(carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Make NULL keys match nothing, without a filter on the keys.
+
+    A join would add that filter and Spark would push it below the shuffle on this side only,
+    so the shuffle could not be shared.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    plain = (T.StringType, T.NumericType)
+    filled = [
+        F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+        if isinstance(f.dataType, plain)
+        else F.col(f.name)
+        for f in carried.schema.fields
+        if f.name in keys
+    ]
+    rest = [c for c in carried.columns if c not in keys and c != SEG]
+    return carried.select(*filled, F.when(known, F.col(SEG)).alias(SEG), *rest)
+
+
 def number_rows(
     df: DataFrame, order: str, name: str, start: int = 0, width: int = SEGMENT_WIDTH
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.subjects import pattern_regex, subject_match
 
 # Subscription tables up to this many rows are broadcast; larger ones are joined by equality.
-BROADCAST_ROWS = 1000
+BROADCAST_ROWS = 64
 # Copies of each match in the large-table join, so that one hot subject spreads over tasks.
 SALT = 16
 
@@ -67,7 +67,20 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, salt: int = SALT) -> Da
     if is_small(subscriptions):
         rules = F.broadcast(subscriptions.withColumn("_regex", pattern_regex(F.col("pattern"))))
         return events.join(rules, F.expr("subject rlike _regex")).drop("_regex")
-    matches = match_subjects(events.select("subject").distinct(), subscriptions)
+    return _by_subject(events, match_subjects(events.select("subject").distinct(), subscriptions), salt)
+
+
+def deliver_to_groups(events: DataFrame, subscriptions: DataFrame, group: str, salt: int = SALT) -> DataFrame:
+    """One row per event and group with any matching pattern.
+
+    Repeated matches are removed among the distinct subjects, not among the deliveries.
+    """
+    matches = fan_out(events.select("subject").distinct(), subscriptions).select("subject", group).distinct()
+    return _by_subject(events, matches, salt)
+
+
+def _by_subject(events: DataFrame, matches: DataFrame, salt: int) -> DataFrame:
+    """Join events with rows per subject, spreading every subject over ``salt`` tasks."""
     copies = matches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     hashed = [f.name for f in events.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = events.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salt)).cast("int"))

@@ -46,16 +46,30 @@ def compact(log: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
     ).drop(SEG)
 
 
+def combine(parts: DataFrame) -> DataFrame:
+    """Compacted rows of any number of log parts reduced to one row per entity."""
+    gone = F.max("gone").over(W.partitionBy("entity"))
+    marked = parts.withColumn("_gone", gone)
+
+    def after(entry: str) -> Column:
+        slot = F.col(f"{entry}.slot")
+        return F.when(F.coalesce(slot > F.col("_gone"), slot.isNotNull()), slot)
+
+    return marked.groupBy("entity").agg(
+        F.max("_gone").alias("gone"),
+        F.max_by("written", after("written")).alias("written"),
+        F.min_by("created", after("created")).alias("created"),
+    )
+
+
 def merge(parts: DataFrame) -> DataFrame:
     """Live ``entity, data, slot`` from compacted rows."""
-    gone = F.max("gone").over(W.partitionBy("entity"))
-    marked = parts.withColumn("_gone", F.coalesce(gone, F.lit(-(1 << 62))))
-    written = F.when(F.col("written.slot") > F.col("_gone"), F.col("written.slot"))
-    created = F.when(F.col("created.slot") > F.col("_gone"), F.col("created.slot"))
-    state = marked.groupBy("entity").agg(
-        F.coalesce(F.max_by("written", written), F.min_by("created", created)).alias("s")
+    entry = F.coalesce("written", "created")
+    return (
+        combine(parts)
+        .where(entry.isNotNull())
+        .select("entity", entry["data"].alias("data"), entry["slot"].alias("slot"))
     )
-    return state.where(F.col("s").isNotNull()).select("entity", F.col("s.data").alias("data"), F.col("s.slot").alias("slot"))
 
 
 def fold(log: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
@@ -210,10 +224,11 @@ def put_delete(ops: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``added`` and ``removed`` keys between two inventories."""
-    added = new.join(old, key, "left_anti").select(key, F.lit("added").alias("change"))
-    removed = old.join(new, key, "left_anti").select(key, F.lit("removed").alias("change"))
-    return added.unionByName(removed)
+    """``added`` and ``removed`` keys between two inventories (each key once per side), in one join."""
+    before = old.select(key, F.lit(True).alias("_old"))
+    after = new.select(key, F.lit(True).alias("_new"))
+    both = before.join(after, key, "full_outer").where(F.col("_old").isNull() | F.col("_new").isNull())
+    return both.select(key, F.when(F.col("_old").isNull(), "added").otherwise("removed").alias("change"))
 
 
 def status_upsert(updates: DataFrame, position: str, width: int = SEGMENT_WIDTH) -> DataFrame:

@@ -77,8 +77,9 @@ def route_fanout(spark, folder):
 )
 def queue_group_assign(spark, folder):
     """Each subscriber is a group of three workers; a group gets an event once."""
-    groups = routed(spark, folder).select("event_id", "subscriber").distinct()
-    return routing.assign_member(groups, "event_id", F.lit(3))
+    events = fixture(spark, folder, "fx_raw").select("event_id", "subject")
+    groups = routing.deliver_to_groups(events, fixture(spark, folder, "fx_patterns"), "subscriber")
+    return routing.assign_member(groups, "event_id", F.lit(3)).select("event_id", "subscriber", "member")
 
 
 HANDLED = ["river.general.signup", "river.general.>", "river.*.webhook"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import documents as doc
 from ..functions.pin import pin
 from ..operators import changelog, logstats, state
+from ..operators.ordered import segment_of
+from ..session import load
 from .fixtures import fixture
 from .ingest import SQL_GENERAL, SQL_PAYMENTS, general_events, payments, text
 from .registry import query
@@ -359,8 +361,6 @@ def event_counts(spark, folder):
 )
 def threshold_alert(spark, folder):
     """Users are the sensors, event values their readings."""
-    from ..session import load
-
     rows = logstats.threshold_metrics(load(spark, folder, "events"), "user_id", "value", 200)
     return rows.withColumn("start_us", F.unix_micros("start")).drop("start")
 
@@ -375,11 +375,10 @@ def threshold_alert(spark, folder):
 )
 def stock_reorder(spark, folder):
     """500 of each part at first; the order line at which fewer than 100 are left."""
-    from ..session import load
-
     lines = load(spark, folder, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
-    month = F.trunc("l_shipdate", "month")
+    # A day and a range of order keys: no part can have more lines in one segment than the range.
+    segment = F.struct("l_shipdate", segment_of("l_orderkey", 1 << 24).alias("orders"))
     rows = logstats.reorder_alerts(
-        lines, "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", 500.0, 100.0, month
+        lines, "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", 500.0, 100.0, segment
     )
     return rows.select("l_partkey", F.unix_micros("l_shipdate").alias("shipped_us"), "l_orderkey", "l_linenumber", "stock")

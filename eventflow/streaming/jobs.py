@@ -74,6 +74,15 @@ def folded(spark: SparkSession, table: str) -> DataFrame:
     return state.merge(spark.read.parquet(table))
 
 
+def rewrite(spark: SparkSession, table: str, into: str) -> None:
+    """Write a maintained table anew with one row per entity, as batch -1 of another folder.
+
+    For a maintenance run while the stream is stopped: many small batches become one, deletes
+    stay recorded so that late or repeated entries still meet them.
+    """
+    state.combine(spark.read.parquet(table)).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def dedupe(log_stream: DataFrame, delay: str) -> DataFrame:
     """Drop repeated slots that arrive within ``delay`` of each other (bounded state)."""
     return log_stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["slot"])

@@ -184,6 +184,8 @@ def test_two_patterns_two_deliveries(spark):
     events = spark.createDataFrame([(1, "river.stripe.webhook")], "event_id bigint, subject string")
     subs = spark.createDataFrame([("d", "river.*.webhook"), ("d", "river.stripe.>")], "subscriber string, pattern string")
     assert routing.fan_out(events, subs).count() == 2
+    groups = routing.deliver_to_groups(events, subs, "subscriber").collect()
+    assert [(r.event_id, r.subscriber) for r in groups] == [(1, "d")]
     assert routing.subjects_of(events, ["river.>", "river.stripe.webhook", "x"]).count() == 2
 
 

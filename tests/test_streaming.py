@@ -88,6 +88,18 @@ def test_fold_over_several_batches(spark, tmp_path):
     assert got == {r.entity: r.data for r in whole.collect()}
 
 
+def test_rewritten_table_still_meets_late_entries(spark, tmp_path):
+    rows = [(1, "a", "create", "x"), (5, "a", "delete", None), (6, "b", "create", "y"), (9, "b", "update", "z")]
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    for i, row in enumerate(rows):
+        state.compact(spark.createDataFrame([row], LOG)).write.parquet(f"{old}/batch={i}")
+    jobs.rewrite(spark, old, new)
+    assert spark.read.parquet(new).count() == 2
+    late = spark.createDataFrame([(3, "a", "update", "late"), (7, "b", "create", "no"), (8, "c", "create", "c")], LOG)
+    state.compact(late).write.parquet(f"{new}/batch=0")
+    assert {r.entity: r.data for r in jobs.folded(spark, new).collect()} == {"b": "z", "c": "c"}
+
+
 def test_rerun_of_a_batch_changes_nothing(spark, tmp_path):
     rows = [(1, "a", "create", "x"), (2, "a", "update", "y")]
     part = state.compact(spark.createDataFrame(rows, LOG))
