@@ -26,24 +26,34 @@ def _usable() -> Column:
 
 
 def compact(log: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Reduce every log segment to one row per entity, enough to rebuild the state.
+    """Reduce a part of the log to a few rows per entity, enough to rebuild the state.
 
-    Kept are the slot of the last delete, and after it the last update and the first create.
-    Compacting a replayed segment gives the same rows, and compacted rows of any split of the
-    log can be combined by ``merge``.
+    Kept are the slot of the last delete, the last update, and per log segment the first create
+    after the segment's last delete. Updates and deletes are aggregated before the shuffle, so
+    a hot entity sends one row per map task. Only creates, and delete slots without data, are
+    shuffled as rows, by (entity, segment). Compacting a replayed part gives the same rows, and
+    rows of any split of the log can be put together by ``combine``.
     """
     action, slot = F.col("action"), F.col("slot")
-    tagged = log.where(_usable()).withColumn(SEG, segment_of("slot", width))
-    group = W.partitionBy("entity", SEG)
-    marked = tagged.withColumn("_gone", F.max(F.when(action == "delete", slot)).over(group))
-    after = F.coalesce(slot > F.col("_gone"), F.lit(True))
-    kept = marked.where(after | (slot == F.col("_gone")))
+    usable = log.where(_usable())
     entry = F.struct("slot", "data")
-    return kept.groupBy("entity", SEG).agg(
-        F.max("_gone").alias("gone"),
+    settled = usable.where(action != "create").groupBy("entity").agg(
+        F.max(F.when(action == "delete", slot)).alias("gone"),
         F.max_by(entry, F.when(action == "update", slot)).alias("written"),
-        F.min_by(entry, F.when(action == "create", slot)).alias("created"),
-    ).drop(SEG)
+    )
+    seg = W.partitionBy("entity", SEG)
+    gone = F.max(F.when(action == "delete", slot)).over(seg)
+    births = (
+        usable.where(action != "update")
+        .select("entity", "slot", "action", F.when(action == "create", F.col("data")).alias("data"))
+        .withColumn(SEG, segment_of("slot", width))
+        .withColumn("_gone", gone)
+        .where((action == "create") & F.coalesce(slot > F.col("_gone"), F.lit(True)))
+        .groupBy("entity", SEG)
+        .agg(F.min_by(entry, slot).alias("created"))
+        .drop(SEG)
+    )
+    return settled.unionByName(births, allowMissingColumns=True)
 
 
 def combine(parts: DataFrame) -> DataFrame:
@@ -93,10 +103,11 @@ def outcomes(log: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
         log,
         ["entity"],
         "slot",
-        [Running("_before", F.when(_usable(), action), "last", strict=True)],
+        # A flag, not the action's text: fixed-width values aggregate by hash, without a sort.
+        [Running("_before", F.when(_usable(), action != "delete"), "last", strict=True)],
         width=width,
     )
-    present = F.coalesce(F.col("_before") != "delete", F.lit(False))
+    present = F.coalesce("_before", F.lit(False))
     return marked.withColumn(
         "outcome",
         F.when(~_usable(), "error")

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import interval_seconds, interval_text
 
-# Default rate, default interval, subject and source of a tick.
+# Default rate and default interval.
 DEFAULT_HZ = 90
 DEFAULT_INTERVAL = "60s"
-TICK_SUBJECT = "dance.beat"
-TICK_SOURCE = "windwaker"
 
 
 def tick_period_ns(hz: int = DEFAULT_HZ) -> int:

@@ -64,11 +64,12 @@ def test_history_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and text.index("Final") < text.index("Partial")
 
 
-def test_fold_shuffles_rows_once(spark):
-    """One exchange of the log by (entity, segment), one of the compacted rows by entity."""
+def test_fold_aggregates_before_the_shuffle(spark):
+    """Updates and deletes by entity after a partial aggregate, creates by (entity, segment), and
+    the compacted rows by entity."""
     text = plan(state.fold(states.log(spark, SF)))
-    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
-    assert "event_type" in text and "props" not in text
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 3
+    assert "partial_max_by" in text and "props" not in text
 
 
 def test_scan_pushes_filters(spark):
