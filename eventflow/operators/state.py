@@ -268,3 +268,28 @@ def status_upsert(updates: DataFrame, position: str, width: int = SEGMENT_WIDTH)
         "created_at",
         F.col("ts").alias("last_update"),
     )
+
+
+def status_compact(updates: DataFrame, position: str) -> DataFrame:
+    """First and last status event per entity (one combinable aggregate)."""
+    known = updates.where(F.col("entity_id").isNotNull())
+    first = F.struct(F.col(position).alias("at"), "ts")
+    last = F.struct(F.col(position).alias("at"), "ts", "status", "message")
+    return known.groupBy("entity_id").agg(
+        F.min_by(first, position).alias("first"), F.max_by(last, position).alias("last")
+    )
+
+
+def status_entities(parts: DataFrame) -> DataFrame:
+    """Entities as the latest status event left them, from any number of compacted parts."""
+    merged = parts.groupBy("entity_id").agg(
+        F.min_by("first", "first.at").alias("first"), F.max_by("last", "last.at").alias("last")
+    )
+    return merged.select(
+        F.concat(F.lit("entity-"), "entity_id").alias("entity"),
+        "entity_id",
+        F.col("last.status").alias("status"),
+        F.col("last.message").alias("message"),
+        F.col("first.ts").alias("created_at"),
+        F.col("last.ts").alias("last_update"),
+    )

@@ -74,6 +74,47 @@ def folded(spark: SparkSession, table: str) -> DataFrame:
     return state.merge(spark.read.parquet(table))
 
 
+def apply_log(log_stream: DataFrame, folder: str, width: int = SEGMENT_WIDTH) -> tuple[str, str]:
+    """Maintain the state table and also record what every log entry did.
+
+    Returns the paths of the compacted table and of the outcome table. For each micro-batch the
+    entities it touches are looked up in the state before it, stand in as one entry each, and
+    the batch operator does the rest. Entries must arrive in slot order across batches. Only
+    parts of earlier batches are read, so a batch that runs twice writes the same again.
+    """
+    table, done = f"{folder}/compacted", f"{folder}/outcomes"
+    spark = log_stream.sparkSession
+    nothing = spark.createDataFrame([], log_stream.schema)
+    state.compact(nothing, width).write.mode("ignore").parquet(f"{table}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = batch.sparkSession.read.parquet(table).where(F.col("batch") < batch_id)
+        touched = state.merge(earlier).join(batch.select("entity").distinct(), "entity", "left_semi")
+        stand_ins = touched.withColumns({"action": F.lit("update"), "_stand_in": F.lit(True)})
+        both = batch.withColumn("_stand_in", F.lit(False)).unionByName(stand_ins, allowMissingColumns=True)
+        outcomes = state.outcomes(both, width).where(~F.col("_stand_in")).drop("_stand_in")
+        outcomes.write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        state.compact(batch, width).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    run_batches(log_stream, write, f"{folder}/checkpoint")
+    return table, done
+
+
+def track_status(updates: DataFrame, position: str, folder: str) -> str:
+    """Keep entities up to date from a stream of status events; returns the table's path.
+
+    Each micro-batch leaves one row per entity with its first and last event; see
+    ``state.status_entities`` for reading.
+    """
+    table = f"{folder}/status"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        state.status_compact(batch, position).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    run_batches(updates, write, f"{folder}/checkpoint")
+    return table
+
+
 def rewrite(spark: SparkSession, table: str, into: str) -> None:
     """Write a maintained table anew with one row per entity, as batch -1 of another folder.
 

@@ -1,8 +1,8 @@
 """Streams give the batch results, resume from checkpoints and survive replays."""
 
 import json
+import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from eventflow.operators import events, outbox, parsers, reactors, state
@@ -88,6 +88,38 @@ def test_fold_over_several_batches(spark, tmp_path):
     assert got == {r.entity: r.data for r in whole.collect()}
 
 
+def test_outcomes_over_batches_equal_the_whole_log(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for slot in range(1, 121):
+        action = rng.choice(["create", "update", "delete"])
+        rows.append((slot, rng.choice(["hot", "hot", "a", "b", "c"]), action, None if action == "delete" else f"v{slot}"))
+    source, base = str(tmp_path / "log"), str(tmp_path / "job")
+    for cut in (0, 40, 80):
+        spark.createDataFrame(rows[cut : cut + 40], LOG).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LOG).parquet(source)
+        table, done = jobs.apply_log(stream, base, width=16)
+    whole = spark.createDataFrame(rows, LOG)
+    want = {r.slot: r.outcome for r in state.outcomes(whole).collect()}
+    assert {r.slot: r.outcome for r in spark.read.parquet(done).collect()} == want
+    assert {r.entity: r.data for r in jobs.folded(spark, table).collect()} == {r.entity: r.data for r in state.fold(whole).collect()}
+
+
+def test_status_table_equals_batch(spark, tmp_path):
+    source = str(tmp_path / "s")
+    schema = "pos bigint, entity_id string, status string, message string"
+    rows = [(i, None if i % 7 == 0 else f"u{i % 4}", f"s{i}", "m") for i in range(60)]
+    for cut in (0, 30):
+        spark.createDataFrame(rows[cut : cut + 30], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.timestamp_seconds("pos"))
+        table = jobs.track_status(stream, "pos", str(tmp_path / "job"))
+    got = state.status_entities(spark.read.parquet(table))
+    batch = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("pos"))
+    newest = state.status_upsert(batch, "pos").groupBy("entity").agg(F.max("pos").alias("pos"))
+    want = state.status_upsert(batch, "pos").join(newest, ["entity", "pos"]).select(got.columns)
+    same(got, want)
+
+
 def test_rewritten_table_still_meets_late_entries(spark, tmp_path):
     rows = [(1, "a", "create", "x"), (5, "a", "delete", None), (6, "b", "create", "y"), (9, "b", "update", "z")]
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
