@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +14,9 @@ from ..functions.pin import pin
 from ..sources.captures import chat_update, unwrap
 
 CHARGE_SCHEMA = """
-  type string,
-  data struct<object: struct<id: string, amount: bigint, currency: string, customer: string,
-    status: string, failure_message: string, metadata: map<string, string>>>,
+  type variant,
+  data struct<object: struct<id: variant, amount: bigint, currency: variant, customer: variant,
+    status: variant, failure_message: variant, metadata: map<string, variant>>>,
   _bad string
 """
 WEBHOOK_SCHEMA = "type variant, timestamp variant, data variant, payload variant"
@@ -34,20 +37,34 @@ MENTION_KINDS = ("mention", "text_mention")
 CHAT_PLATFORM = "telegram"
 
 
+def _text_or_absent(value: Column) -> Column:
+    """A VARIANT that is missing, null or a string (whose JSON text starts with a quote)."""
+    return F.coalesce(F.to_json(value).rlike('^("|null$)'), F.lit(True))
+
+
 def parse_payment(raw: DataFrame) -> DataFrame:
     """Charge documents to ``payment.completed`` / ``payment.failed`` events.
 
     Adds a typed ``payment`` struct (cents become currency units, a missing or empty item is
-    ``unknown``), and ``subject``, ``source`` and JSON ``data`` of the event.
+    ``unknown``), and ``subject``, ``source`` and JSON ``data`` of the event. Types are strict: a
+    charge with a number where text belongs does not parse.
     """
     charge = F.from_json("data", CHARGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    parsed = pin(raw, {"_d": charge}).where(F.col("_d._bad").isNull() & F.col("_d.type").isin(*CHARGE_SUBJECTS))
+    fields = [F.col("_d.type"), *[F.col(f"_d.data.object.{n}") for n in ("id", "currency", "customer", "status", "failure_message")]]
+    strict = reduce(and_, [_text_or_absent(f) for f in fields]) & F.coalesce(
+        F.forall(F.map_values("_d.data.object.metadata"), _text_or_absent), F.lit(True)
+    )
+    decoded = pin(raw, {"_d": charge}).where(F.col("_d._bad").isNull())
+    kind = doc.scalar_text(F.col("_d.type"))
+    parsed = pin(decoded, {"_type": kind, "_strict": strict}).where(
+        F.col("_strict") & F.col("_type").isin(*CHARGE_SUBJECTS)
+    )
 
     def text(name: str) -> Column:
-        return F.coalesce(F.col(f"_d.data.object.{name}"), F.lit(""))
+        return F.coalesce(doc.scalar_text(F.col(f"_d.data.object.{name}")), F.lit(""))
 
-    item = F.nullif(F.try_element_at("_d.data.object.metadata", F.lit("item_id")), F.lit(""))
-    failed = F.col("_d.type") == "charge.failed"
+    item = F.nullif(doc.scalar_text(F.try_element_at("_d.data.object.metadata", F.lit("item_id"))), F.lit(""))
+    failed = F.col("_type") == "charge.failed"
     payment = F.struct(
         text("customer").alias("customer_id"),
         (F.coalesce(F.col("_d.data.object.amount"), F.lit(0)) / 100.0).alias("amount"),
@@ -57,11 +74,11 @@ def parse_payment(raw: DataFrame) -> DataFrame:
     )
     return pin(parsed, {"payment": payment}).withColumns(
         {
-            "subject": constant_map(CHARGE_SUBJECTS)[F.col("_d.type")],
+            "subject": constant_map(CHARGE_SUBJECTS)[F.col("_type")],
             "source": F.lit(CHARGE_PARSER),
             "data": F.to_json("payment"),
         }
-    ).drop("_d")
+    ).drop("_d", "_type", "_strict")
 
 
 def parse_general(raw: DataFrame) -> DataFrame:

@@ -65,6 +65,10 @@ def test_parse_payment(spark):
             ("r", charge("charge.succeeded", amount="5000")),
             ("r", charge("charge.succeeded", amount=50.5)),
             ("r", {"type": "charge.succeeded"}),
+            ("r", charge("charge.succeeded", customer=7)),
+            ("r", charge("charge.succeeded", metadata={"item_id": "x", "n": 1})),
+            ("r", charge("charge.succeeded", metadata={"item_id": None}, currency=None)),
+            ("r", {"type": 3}),
         ],
     )
     got = {r.event_id: (r.subject, *r.payment) for r in parsers.parse_payment(rows).collect()}
@@ -74,6 +78,7 @@ def test_parse_payment(spark):
         4: ("payment.completed", "cus_a", 50.0, "usd", "unknown", None),
         5: ("payment.completed", "cus_a", 50.0, "usd", "unknown", None),
         8: ("payment.completed", "", 0.0, "", "unknown", None),
+        11: ("payment.completed", "cus_a", 50.0, "", "unknown", None),
     }
 
 
