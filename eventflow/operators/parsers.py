@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +34,13 @@ MENTION_KINDS = ("mention", "text_mention")
 CHAT_PLATFORM = "telegram"
 
 
-def _text_or_absent(value: Column) -> Column:
-    """A VARIANT that is missing, null or a string (whose JSON text starts with a quote)."""
-    return F.coalesce(F.to_json(value).rlike('^("|null$)'), F.lit(True))
+def _only_text(fields: Column) -> Column:
+    """Every VARIANT of a struct or map is missing, null or a string.
+
+    Read off the JSON text: a key's closing quote and colon must be followed by a quote or null.
+    Quotes inside strings are escaped and do not count.
+    """
+    return F.coalesce(~F.to_json(fields).rlike(r'(?<!\\)":(?!"|null)'), F.lit(True))
 
 
 def parse_payment(raw: DataFrame) -> DataFrame:
@@ -50,10 +51,8 @@ def parse_payment(raw: DataFrame) -> DataFrame:
     charge with a number where text belongs does not parse.
     """
     charge = F.from_json("data", CHARGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    fields = [F.col("_d.type"), *[F.col(f"_d.data.object.{n}") for n in ("id", "currency", "customer", "status", "failure_message")]]
-    strict = reduce(and_, [_text_or_absent(f) for f in fields]) & F.coalesce(
-        F.forall(F.map_values("_d.data.object.metadata"), _text_or_absent), F.lit(True)
-    )
+    texts = [F.col(f"_d.data.object.{n}") for n in ("id", "currency", "customer", "status", "failure_message")]
+    strict = _only_text(F.struct("_d.type", *texts)) & _only_text(F.col("_d.data.object.metadata"))
     decoded = pin(raw, {"_d": charge}).where(F.col("_d._bad").isNull())
     kind = doc.scalar_text(F.col("_d.type"))
     parsed = pin(decoded, {"_type": kind, "_strict": strict}).where(

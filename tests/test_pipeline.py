@@ -69,6 +69,8 @@ def test_parse_payment(spark):
             ("r", charge("charge.succeeded", metadata={"item_id": "x", "n": 1})),
             ("r", charge("charge.succeeded", metadata={"item_id": None}, currency=None)),
             ("r", {"type": 3}),
+            ("r", charge("charge.succeeded", customer={"id": "x"})),
+            ("r", charge("charge.succeeded", customer='q":1', metadata={"item_id": 'a":{', "k": "\\"})),
         ],
     )
     got = {r.event_id: (r.subject, *r.payment) for r in parsers.parse_payment(rows).collect()}
@@ -79,6 +81,7 @@ def test_parse_payment(spark):
         5: ("payment.completed", "cus_a", 50.0, "usd", "unknown", None),
         8: ("payment.completed", "", 0.0, "", "unknown", None),
         11: ("payment.completed", "cus_a", 50.0, "", "unknown", None),
+        14: ("payment.completed", 'q":1', 50.0, "usd", 'a":{', None),
     }
 
 
