@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,24 @@ def build_session(app: str = "eventflow", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that functions defined in it can
+    run there whatever folder the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="eventflow-package-")) / f"eventflow-{os.getpid()}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(package.rglob("*.py")):
+            packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def use_utc(spark: SparkSession) -> None:
     """Epochs, day boundaries and text times are all in UTC."""
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
@@ -55,6 +76,7 @@ def _instants(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Batch scan of one table."""
+    ship(spark)
     use_utc(spark)
     split_hot_joins(spark)
     return _instants(spark.read.parquet(f"{folder}/{table}.parquet"))
