@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     binary = F.bin("size")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     base = docs.select(*own, word_count(F.col(text)).alias("size"))
-    base = base.withColumns({"_src": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")), "_band": F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 4)), "_hash": digest})
+    base = base.withColumns({"_src": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")), "_band": F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 4)), "_hash": digest, "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
     base = base.withColumn("_bucket", F.substring("_hash", 1, 2))
     counts = saved(base.groupBy(F.col(source).alias("source"), "_src", "_band", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "mixing-counts")
     bands = counts.groupBy("source", "_src", "_band").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"))
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     band_start = _starts(bands, ["_src"], "_band", "_band_start")
     bucket_start = _starts(counts.select("_src", "_band", "_bucket", "_n"), ["_src", "_band"], "_bucket", "_bucket_start")
     start = bucket_start.join(band_start, ["_src", "_band"]).join(goal, "_src").withColumn("_start", F.col("_band_start") + F.col("_bucket_start")).drop("_band_start", "_bucket_start")
-    in_bucket = W.partitionBy("_src", "_band", "_bucket").orderBy("_hash", F.col(key), "size", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    in_bucket = W.partitionBy("_src", "_band", "_bucket").orderBy("_hash", F.col(key), "size", "_digest")
     ranked = base.join(start, ["_src", "_band", "_bucket"]).withColumn("_rank", F.col("_start") + F.row_number().over(in_bucket))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat(F.lit(f"offset {seed}:"), F.col("_src")))
