@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -195,15 +195,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> Da
     return met.dropDuplicates(["id"]).select("id", grams_of("text").alias("grams"))
 
 
+def _may_link(percent: int) -> Column:
+    """False only for pairs whose sizes or parity bits rule a link out."""
+    total = F.col("size_a") + F.col("size_b")
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (apart * (100 + percent) <= (100 - percent) * total)
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """Those of the (a, b) that are similar."""
     info = classes.select("id", "size", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(info.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    total = F.col("size_a") + F.col("size_b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (apart * (100 + percent) <= (100 - percent) * total)
-    pairs = saved(pairs.where(near).select("a", "b", "size_a", "size_b"), "candidates")
+    pairs = saved(pairs.where(_may_link(percent)).select("a", "b", "size_a", "size_b"), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = saved(_sets(docs, saved(classes.join(ids, "id", "left_semi").select("id", "key", "hash"), "wanted"), n, key, text), "sets")
     for side in ("a", "b"):
@@ -233,11 +237,12 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         named = groups.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         ranked = named.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("id")) - 1).where(F.col("rank") >= done)
         open_ = ranked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-        left = saved(ranked.join(open_, "sig", "left_semi"), "open-groups")
+        info = classes.select("id", F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+        left = saved(ranked.join(open_, "sig", "left_semi").select("sig", "id", "rank", "component").join(info, "id"), "open-groups")
         if left.isEmpty():
             break
-        heads = left.where(F.col("rank") < done + step).select("sig", F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"))
-        pairs = heads.join(left, "sig").where("rank > rank_a and component <> component_a").select("a", F.col("id").alias("b")).distinct()
+        heads = left.where(F.col("rank") < done + step).select("sig", F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"), F.col("size_b").alias("size_a"), F.col("bits_b").alias("bits_a"))
+        pairs = heads.join(left, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")) & _may_link(percent)).select("a", F.col("id").alias("b")).distinct()
         more = saved(_linked(pairs, classes, docs, n, percent, key, text), "linked")
         if not more.isEmpty():
             components = connected(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
