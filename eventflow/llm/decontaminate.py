@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
 COSINE, OVERLAP, ANSWER, MIN_WORDS = 0.4, 0.6, 0.5, 5
-#: Items that are broadcast at once (about 1 kB each); larger benchmarks are searched in parts.
-ITEMS_AT_ONCE = 20_000
+#: Items that are broadcast at once (about 10 kB each); larger benchmarks are searched in parts.
+ITEMS_AT_ONCE = 1000
 KNOWN_WORDS = 500_000
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 30_000
 HIT = "item_id long, lcs int, n_words int, overlap double, answer double, cosine double, start_word long, end_word long"
 #: ASCII marks and control characters part words; other bytes stay.
 PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -57,8 +57,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def features_of(words: list[bytes]) -> np.ndarray:
-    known = _FEATURES
-    return np.fromiter((known[w] for w in words), np.int64, len(words))
+    return np.array(list(map(_FEATURES.__getitem__, words)), np.int64)
+
+
+def laid_out(documents: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces x size features, pieces of each document). Each document fills whole pieces; what is
+    left over holds FEATURES, the number of no feature."""
+    lengths = np.array([len(d) for d in documents])
+    pieces = -(-lengths // size)
+    out = np.full(int(pieces.sum()) * size, FEATURES, np.int64)
+    begin = (np.cumsum(pieces) - pieces) * size
+    feature = features_of([w for d in documents for w in d])
+    out[np.arange(len(feature)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)] = feature
+    return out.reshape(-1, size), pieces
+
+
+def with_none(rows: np.ndarray) -> np.ndarray:
+    """A row of zeros for no feature."""
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
 
 
 def test_matrix(rank: int = RANK, seed: int = 3) -> np.ndarray:
@@ -72,29 +88,24 @@ class Statistics:
     """Sums over passages: how many there are, how many hold a feature, Gram matrix times tests."""
 
     def __init__(self) -> None:
-        self.tests = test_matrix()
+        self.tests = with_none(test_matrix())
         self.n = 0
         self.df = np.zeros(FEATURES)
-        self.gram = np.zeros((FEATURES, RANK))
+        self.gram = np.zeros((RANK, FEATURES))
 
-    def add(self, documents: list[np.ndarray]) -> None:
-        """Features of the words of some documents, of which passages do not cross the ends."""
-        documents = [d for d in documents if len(d)]
-        if not documents:
+    def add(self, documents: list[list[bytes]]) -> None:
+        """Words of some documents; passages do not cross their ends."""
+        passages, _ = laid_out(documents, PASSAGE)
+        if not len(passages):
             return
-        feature = np.concatenate(documents)
-        starts = np.concatenate([np.arange(0, len(d), PASSAGE) + at for d, at in zip(documents, np.cumsum([0, *map(len, documents[:-1])]), strict=True)])
-        passage = np.zeros(len(feature), np.int64)
-        passage[starts[1:]] = 1
-        passage = passage.cumsum()
-        y = np.add.reduceat(self.tests[feature], starts, axis=0)
-        order = np.argsort(feature.astype(np.uint16), kind="stable")
-        f = feature[order]
-        first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        self.gram[f[first]] += np.add.reduceat(y[passage[order]], first, axis=0)
-        pairs = np.unique(passage * FEATURES + feature)
-        self.df += np.bincount(pairs % FEATURES, minlength=FEATURES)
-        self.n += len(starts)
+        y = self.tests[passages].sum(axis=1, dtype=np.float32).astype(np.float64)
+        flat = passages.ravel()
+        for sums, column in zip(self.gram, y.T, strict=True):
+            sums += np.bincount(flat, np.repeat(column, PASSAGE), FEATURES + 1)[:FEATURES]
+        ordered = np.sort(passages, axis=1)
+        new = np.concatenate([np.ones((len(ordered), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+        self.df += np.bincount(ordered[new], minlength=FEATURES + 1)[:FEATURES]
+        self.n += len(passages)
 
     def packed(self) -> bytes:
         return np.concatenate([[self.n], self.df, self.gram.ravel()]).tobytes()
@@ -126,7 +137,7 @@ def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.nda
         sums = Statistics()
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
-                sums.add([features_of(w) for w in chunk])
+                sums.add(chunk)
         if sums.n:
             yield pa.RecordBatch.from_arrays([pa.array([sums.packed()], pa.binary())], names=["sums"])
 
@@ -134,7 +145,7 @@ def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.nda
     total = parts.treeAggregate(None, _plus, _plus, depth=3)
     if total is None:
         return 0, np.zeros(FEATURES), np.zeros((FEATURES, RANK))
-    return int(total[0]), total[1 : FEATURES + 1], total[FEATURES + 1 :].reshape(FEATURES, RANK)
+    return int(total[0]), total[1 : FEATURES + 1], total[FEATURES + 1 :].reshape(RANK, FEATURES).T
 
 
 def _plus(a, b):
@@ -190,73 +201,87 @@ def item_of(key: int | None, text: str | None) -> Item | None:
     return Item(key, words, answer)
 
 
-def common(pattern: list[bytes], words: list[bytes]) -> int:
-    """Length of the longest common subsequence, bit-parallel over the pattern."""
+def masks_of(pattern: list[bytes]) -> dict[bytes, int]:
+    """For each word the positions at which it stands, as bits."""
     masks: dict[bytes, int] = {}
     for i, w in enumerate(pattern):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
+    return masks
+
+
+def common(masks: dict[bytes, int], n: int, words: list[bytes], least: float = 0) -> int:
+    """Length of the longest common subsequence with a pattern of n words, bit-parallel; 0 if fewer
+    than ``least`` words are in the pattern at all."""
+    met = [m for m in map(masks.get, words) if m]
+    if len(met) < least:
+        return 0
+    full = (1 << n) - 1
     v = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(pattern) - v.bit_count()
+    for m in met:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 class Searcher:
     def __init__(self, space: Space, items: list[Item]):
-        self.space, self.items = space, items
-        self.classes: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.project, self.items = with_none(space.project), items
+        self.masks = [(masks_of(i.words), masks_of(i.answer)) for i in items]
+        #: Whether an item has a word of a feature.
+        self.holds = np.zeros((FEATURES + 1, len(items)), np.uint8)
+        self.classes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         length = np.array([-(-len(i.words) // BLOCK) + 1 for i in items], int)
+        for c, i in enumerate(items):
+            self.holds[features_of(i.words), c] = 1
         for w in np.unique(length):
             of = np.flatnonzero(length == w)
             y = np.stack([space.project[features_of(items[i].words)].sum(axis=0) for i in of])
-            self.classes.append((int(w), of, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-20)))
+            least = np.array([OVERLAP * len(items[i].words) for i in of])
+            self.classes.append((int(w), of, (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-20)).astype(np.float32), least))
 
     def search(self, chunk: list[list[bytes]]) -> list[list[tuple]]:
         """Hits of each document."""
         hits: list[dict[int, tuple]] = [{} for _ in chunk]
-        sizes = np.array([len(w) for w in chunk])
-        if not self.items or not sizes.sum():
+        if not self.items or not any(chunk):
             return [[] for _ in chunk]
-        feature = np.concatenate([features_of(w) for w in chunk])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(chunk)), blocks)
-        first = np.cumsum(blocks) - blocks
+        blocks, count = laid_out(chunk, BLOCK)
+        owner = np.repeat(np.arange(len(chunk)), count)
+        first = np.cumsum(count) - count
         inside = np.arange(len(owner)) - first[owner]
-        starts = (np.cumsum(sizes) - sizes)[owner] + inside * BLOCK
-        y = np.add.reduceat(self.space.project[feature], starts, axis=0)
-        run = np.concatenate([np.zeros((1, y.shape[1])), np.cumsum(y, axis=0, dtype=np.float64)])
-        last = (first + blocks)[owner]
-        for width, of, items in self.classes:
-            begin = np.arange(len(owner))
-            fits = (begin + width <= last) | (inside == 0)
-            begin = begin[fits]
-            end = np.minimum(begin + width, last[fits])
-            z = (run[end] - run[begin]).astype(np.float32)
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-20)
-            for at in range(0, len(of), 1024):
-                near = z @ items[at : at + 1024].T
-                for r, c in zip(*np.nonzero(near >= COSINE), strict=True):
-                    d, i = int(owner[begin[r]]), int(of[at + c])
-                    lo = int(inside[begin[r]]) * BLOCK
-                    hit = self._check(i, chunk[d], lo, lo + int(end[r] - begin[r]) * BLOCK, float(near[r, c]))
-                    if hit and (i not in hits[d] or hit[1] > hits[d][i][1]):
-                        hits[d][i] = hit
+        last = (first + count)[owner]
+        run = _running(self.project[blocks].sum(axis=1), np.float32)
+        # Words of the item in a window: no more than these can be common to both.
+        shared = _running(self.holds[blocks].sum(axis=1, dtype=np.uint8), np.int32)
+        for width, of, items, least in self.classes:
+            begin = np.flatnonzero((np.arange(len(owner)) + width <= last) | (inside == 0))
+            end = np.minimum(begin + width, last[begin])
+            z = run[end] - run[begin]
+            near = z @ items.T
+            near /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)[:, None]
+            r, c = np.nonzero(near >= COSINE)
+            enough = shared[end[r], of[c]] - shared[begin[r], of[c]] >= least[c]
+            for r, c in zip(r[enough].tolist(), c[enough].tolist(), strict=True):
+                d, i = int(owner[begin[r]]), int(of[c])
+                lo = int(inside[begin[r]]) * BLOCK
+                hit = self._check(i, chunk[d], lo, lo + int(end[r] - begin[r]) * BLOCK, float(near[r, c]))
+                if hit and (i not in hits[d] or hit[1] > hits[d][i][1]):
+                    hits[d][i] = hit
         return [[h[i] for i in sorted(h)] for h in hits]
 
     def _check(self, i: int, words: list[bytes], lo: int, hi: int, near: float) -> tuple | None:
-        item = self.items[i]
-        part = words[lo:hi]
-        n = common(item.words, part)
-        if n < OVERLAP * len(item.words):
+        item, (masks, answer_masks) = self.items[i], self.masks[i]
+        part, size = words[lo:hi], len(item.words)
+        n = common(masks, size, part, OVERLAP * size)
+        if n < OVERLAP * size:
             return None
-        answer = common(item.answer, part) / len(item.answer)
+        answer = common(answer_masks, len(item.answer), part) / len(item.answer)
         if answer < ANSWER:
             return None
-        return item.key, n, len(item.words), n / len(item.words), answer, near, lo, min(hi, len(words))
+        return item.key, n, size, n / size, answer, near, lo, min(hi, len(words))
+
+
+def _running(rows: np.ndarray, kind) -> np.ndarray:
+    return np.concatenate([np.zeros((1, rows.shape[1]), kind), np.cumsum(rows, axis=0, dtype=kind)])
 
 
 def learn(docs: DataFrame, text: str = "text") -> Space:
