@@ -63,7 +63,7 @@ def header_part(signature: Column, key: str) -> Column:
     """Value of ``key`` in ``k=v,k=v``; the last one wins, ``''`` when absent."""
     parts = F.filter(F.split(signature, ","), lambda p: p.startswith(key + "="))
     last = F.get(F.reverse(parts), F.lit(0))
-    return F.coalesce(F.substring(last, len(key) + 2, 1 << 30), F.lit(""))
+    return F.coalesce(F.substr(last, F.lit(len(key) + 2)), F.lit(""))
 
 
 def signed_text(signature: Column, body: Column) -> Column:

@@ -11,9 +11,6 @@ from .ordered import SEGMENT_WIDTH, Running, number_rows, running, segment_of
 # The three actions and the log's subject prefix.
 ACTIONS = ("create", "update", "delete")
 LOG_PREFIX = "humus"
-# Retention of the raw log and the change log as (seconds, rows).
-RAW_RETENTION = (24 * 3600, 100_000)
-CHANGE_RETENTION = (7 * 24 * 3600, 1_000_000)
 
 
 def entry_problem() -> Column:

@@ -134,10 +134,12 @@ def attach(processes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def union_nodes(local: DataFrame, peers: DataFrame) -> DataFrame:
-    """Nodes of both sides, the newest ``seen`` per id wins (a combinable aggregate)."""
-    both = local.unionByName(peers)
-    columns = [c for c in both.columns if c != "node_id"]
-    return both.groupBy("node_id").agg(F.max_by(F.struct(*columns), "seen").alias("n")).select("node_id", "n.*")
+    """Nodes of both sides, the newest ``seen`` per id wins (a combinable aggregate). Among equally
+    new ones the local side wins, then the larger row."""
+    both = local.withColumn("_local", F.lit(True)).unionByName(peers.withColumn("_local", F.lit(False)))
+    columns = [c for c in both.columns if c not in ("node_id", "_local")]
+    row = F.struct(*columns)
+    return both.groupBy("node_id").agg(F.max_by(row, F.struct("seen", "_local", row)).alias("n")).select("node_id", "n.*")
 
 
 def union_processes(*kinds: DataFrame) -> DataFrame:
@@ -175,11 +177,11 @@ def summary(nodes: DataFrame, processes: DataFrame) -> DataFrame:
 
     Nodes and processes are stacked so that one aggregate with map-side combine does it all.
     """
-    stacked = nodes.select("ram_total", "cpu_cores", "gpu_vram").unionByName(
+    stacked = nodes.select("ram_total", "cpu_cores", "gpu_vram", F.lit(True).alias("node")).unionByName(
         processes.select("kind", "ram_allocated"), allowMissingColumns=True
     )
-    is_node = F.col("ram_total").isNotNull()
-    gpu = F.col("gpu_vram") > 0
+    is_node = F.col("node").isNotNull()
+    gpu = F.coalesce("gpu_vram", F.lit(0)) > 0
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")

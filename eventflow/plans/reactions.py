@@ -763,6 +763,8 @@ def model_step(spark, folder):
     """Scored leads through a user responder; the published event and its log entry side by side."""
     leads = run_steps(contact_events(spark, folder), LEAD_CHAIN[:1]).where("subject = 'lead.scored'")
     answers = responder.model_step(leads, "qualify", STEP_PROMPT, "lead.{missing}", make_responder)
-    entries = responder.recorded(answers.select("entity", "answer", "subject", "source", "data", "prompt"), "qualify")
-    published = answers.select("entity", "subject", "source", F.get_json_object("answer", "$.response").alias("response"))
-    return published.join(entries.select("entity", "actor", "action"), "entity")
+    published = answers.withColumns(
+        {"out_subject": F.col("subject"), "out_source": F.col("source"), "response": F.get_json_object("answer", "$.response")}
+    )
+    entries = responder.recorded(published, "qualify")
+    return entries.select("entity", F.col("out_subject").alias("subject"), F.col("out_source").alias("source"), "response", "actor", "action")

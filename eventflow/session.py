@@ -21,6 +21,7 @@ def build_session(app: str = "eventflow", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
@@ -62,6 +63,12 @@ def split_hot_joins(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 
+def keep_last_of_repeated_keys(spark: SparkSession) -> None:
+    """A JSON object that repeats a key is valid, and the last value counts."""
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _instants(df: DataFrame) -> DataFrame:
     """Zone-less timestamps become instants (read as UTC); other columns pass through."""
     return df.select(
@@ -79,6 +86,7 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     ship(spark)
     use_utc(spark)
     split_hot_joins(spark)
+    keep_last_of_repeated_keys(spark)
     return _instants(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 

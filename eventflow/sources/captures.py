@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +131,11 @@ def poll_cursors(
         ],
         width=width,
     ).drop("_found")
-    glue = F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?"))
-    query = F.concat(F.col("url"), glue, F.lit(param + "="), F.url_encode("request_cursor"))
+    # A parameter of that name that the URL already has is replaced.
+    bare = F.regexp_replace("url", f"(?<=[?&]){re.escape(param)}=[^&#]*(&|(?=#)|$)", "")
+    bare = F.regexp_replace(bare, "[?&]$", "")
+    glue = F.when(bare.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    query = F.concat(bare, glue, F.lit(param + "="), F.url_encode("request_cursor"))
     return cursors.withColumn("request_url", F.coalesce(query, F.col("url")))
 
 
