@@ -21,12 +21,11 @@ times in a document is one row, its best window, ties to the first; empty tables
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,42 +33,94 @@ FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
 COSINE, OVERLAP, ANSWER, MIN_WORDS = 0.4, 0.6, 0.5, 5
 #: Items that are broadcast at once (about 10 kB each); larger benchmarks are searched in parts.
 ITEMS_AT_ONCE = 1000
-KNOWN_WORDS = 500_000
-WORDS_AT_ONCE = 30_000
+#: Documents are taken together up to about so many characters; hashes and sums of longer ones go slice by slice.
+CHARS_AT_ONCE = 200_000
+BLOCKS_AT_ONCE = 1 << 11
+WORDS_AT_ONCE = 1 << 15
 HIT = "item_id long, lcs int, n_words int, overlap double, answer double, cosine double, start_word long, end_word long"
 #: ASCII marks and control characters part words; other bytes stay.
 PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Hashes of words: a polynomial in an odd base over random numbers of their bytes, modulo 2^64.
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
 
 
-class Features(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        f = self[word] = xxhash.xxh3_64_intdigest(word) % FEATURES
-        return f
-
-
-_FEATURES = Features()
+def clean_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").lower().translate(PARTED)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().translate(PARTED).split()
+    return clean_bytes(text).split()
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """Words of some documents as arrays: where each begins and ends in ``data``, its feature, how many
+    words each document has, and the number of its first."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b" ".join(texts) + b" "
+        byte = np.frombuffer(self.data, np.uint8)
+        gap = np.concatenate([[True], byte == 32])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        self.begin, self.end = edge[::2], edge[1::2]
+        bound = np.cumsum([len(t) + 1 for t in texts])
+        last = np.searchsorted(self.begin, bound)
+        self.count = np.diff(last, prepend=0)
+        self.first = last - self.count
+        self.feature = np.empty(len(self.begin), np.int64)
+        for lo in range(0, len(self.begin), WORDS_AT_ONCE):
+            begin, end = self.begin[lo : lo + WORDS_AT_ONCE], self.end[lo : lo + WORDS_AT_ONCE]
+            self.feature[lo : lo + WORDS_AT_ONCE] = _hashed(byte[begin[0] : end[-1]], begin - begin[0], end - begin[0])
+
+    def slice(self, document: int, lo: int, hi: int) -> list[bytes]:
+        """Words lo to hi of a document."""
+        at = self.first[document]
+        return self.data[self.begin[at + lo] : self.end[at + hi - 1]].split()
+
+    def laid_out(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces x size features, pieces of each document). Each document fills whole pieces; what
+        is left over holds FEATURES, the number of no feature."""
+        pieces = -(-self.count // size)
+        out = np.full(int(pieces.sum()) * size, FEATURES, np.int64)
+        begin = (np.cumsum(pieces) - pieces) * size
+        out[np.arange(len(self.feature)) + np.repeat(begin - self.first, self.count)] = self.feature
+        return out.reshape(-1, size), pieces
+
+
+_POWERS = [powers(BASE, 1), powers(pow(BASE, -1, 1 << 64), 1)]
+
+
+def _hashed(byte: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A feature for each word, the same wherever the word stands."""
+    power, inverse = _POWERS
+    if len(power) < len(byte):
+        power, inverse = powers(BASE, len(byte)), powers(pow(BASE, -1, 1 << 64), len(byte))
+        if len(byte) <= 2 * CHARS_AT_ONCE:
+            _POWERS[:] = power, inverse
+    run = np.zeros(len(byte) + 1, np.uint64)
+    np.cumsum(BYTES[byte] * power[: len(byte)], out=run[1:])
+    h = (run[end] - run[begin]) * inverse[begin]
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    return (h >> np.uint64(51)).astype(np.int64)
 
 
 def features_of(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(_FEATURES.__getitem__, words)), np.int64)
+    return Words([b" ".join(words)]).feature
 
 
-def laid_out(documents: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces x size features, pieces of each document). Each document fills whole pieces; what is
-    left over holds FEATURES, the number of no feature."""
-    lengths = np.array([len(d) for d in documents])
-    pieces = -(-lengths // size)
-    out = np.full(int(pieces.sum()) * size, FEATURES, np.int64)
-    begin = (np.cumsum(pieces) - pieces) * size
-    feature = features_of([w for d in documents for w in d])
-    out[np.arange(len(feature)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)] = feature
-    return out.reshape(-1, size), pieces
+def summed(rows: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Sum of the rows that each block names; slices bound the memory."""
+    out = np.empty((len(blocks), rows.shape[1]), rows.dtype)
+    for lo in range(0, len(blocks), BLOCKS_AT_ONCE):
+        rows[blocks[lo : lo + BLOCKS_AT_ONCE]].sum(axis=1, out=out[lo : lo + BLOCKS_AT_ONCE])
+    return out
 
 
 def with_none(rows: np.ndarray) -> np.ndarray:
@@ -93,16 +144,18 @@ class Statistics:
         self.df = np.zeros(FEATURES)
         self.gram = np.zeros((RANK, FEATURES))
 
-    def add(self, documents: list[list[bytes]]) -> None:
+    def add(self, words: Words) -> None:
         """Words of some documents; passages do not cross their ends."""
-        passages, _ = laid_out(documents, PASSAGE)
-        if not len(passages):
-            return
-        y = self.tests[passages].sum(axis=1, dtype=np.float32).astype(np.float64)
+        passages, _ = words.laid_out(PASSAGE)
+        for lo in range(0, len(passages), BLOCKS_AT_ONCE):
+            self._add(passages[lo : lo + BLOCKS_AT_ONCE])
+
+    def _add(self, passages: np.ndarray) -> None:
+        y = np.concatenate([self.tests[p].sum(axis=1) for p in np.array_split(passages, -(-len(passages) // 64))]).astype(np.float64)
         flat = passages.ravel()
         for sums, column in zip(self.gram, y.T, strict=True):
             sums += np.bincount(flat, np.repeat(column, PASSAGE), FEATURES + 1)[:FEATURES]
-        ordered = np.sort(passages, axis=1)
+        ordered = np.sort(passages.astype(np.int16), axis=1)
         new = np.concatenate([np.ones((len(ordered), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
         self.df += np.bincount(ordered[new], minlength=FEATURES + 1)[:FEATURES]
         self.n += len(passages)
@@ -111,18 +164,17 @@ class Statistics:
         return np.concatenate([[self.n], self.df, self.gram.ravel()]).tobytes()
 
 
-def _chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
-    """Documents' words, about WORDS_AT_ONCE together."""
+def _chunks(texts: Iterable[str | None]) -> Iterator[Words]:
+    """Documents' words, about CHARS_AT_ONCE characters together."""
     held, n = [], 0
     for t in texts:
-        w = words_of(t)
-        held.append(w)
-        n += len(w)
-        if n >= WORDS_AT_ONCE:
-            yield held
+        held.append(clean_bytes(t))
+        n += len(held[-1])
+        if n >= CHARS_AT_ONCE:
+            yield Words(held)
             held, n = [], 0
     if held:
-        yield held
+        yield Words(held)
 
 
 def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
@@ -227,61 +279,70 @@ class Searcher:
     def __init__(self, space: Space, items: list[Item]):
         self.project, self.items = with_none(space.project), items
         self.masks = [(masks_of(i.words), masks_of(i.answer)) for i in items]
+        width = np.array([-(-len(i.words) // BLOCK) + 1 for i in items], int)
+        #: Items by width of their windows; ``holds`` has a column for each in this order.
+        self.order = np.argsort(width, kind="stable")
         #: Whether an item has a word of a feature.
         self.holds = np.zeros((FEATURES + 1, len(items)), np.uint8)
-        self.classes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        length = np.array([-(-len(i.words) // BLOCK) + 1 for i in items], int)
-        for c, i in enumerate(items):
-            self.holds[features_of(i.words), c] = 1
-        for w in np.unique(length):
-            of = np.flatnonzero(length == w)
-            y = np.stack([space.project[features_of(items[i].words)].sum(axis=0) for i in of])
-            least = np.array([OVERLAP * len(items[i].words) for i in of])
-            self.classes.append((int(w), of, (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-20)).astype(np.float32), least))
-
-    def search(self, chunk: list[list[bytes]]) -> list[list[tuple]]:
+        self.classes: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        for c, i in enumerate(self.order):
+            self.holds[features_of(items[i].words), c] = 1
+        for w, lo, n in zip(*np.unique(width[self.order], return_index=True, return_counts=True), strict=True):
+            of = [items[i].words for i in self.order[lo : lo + n]]
+            y = np.stack([space.project[features_of(words)].sum(axis=0) for words in of])
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-20)
+            least = np.ceil([OVERLAP * len(words) for words in of]).astype(np.int64)
+            self.classes.append((int(w), int(lo), int(lo + n), y.T.astype(np.float32), least))
+
+    def search(self, chunk: Words) -> list[list[tuple]]:
         """Hits of each document."""
-        hits: list[dict[int, tuple]] = [{} for _ in chunk]
-        if not self.items or not any(chunk):
-            return [[] for _ in chunk]
-        blocks, count = laid_out(chunk, BLOCK)
-        owner = np.repeat(np.arange(len(chunk)), count)
-        first = np.cumsum(count) - count
-        inside = np.arange(len(owner)) - first[owner]
-        last = (first + count)[owner]
-        run = _running(self.project[blocks].sum(axis=1), np.float32)
-        # Words of the item in a window: no more than these can be common to both.
-        shared = _running(self.holds[blocks].sum(axis=1, dtype=np.uint8), np.int32)
-        for width, of, items, least in self.classes:
+        documents = len(chunk.count)
+        hits: list[dict[int, tuple]] = [{} for _ in range(documents)]
+        if not self.items or not len(chunk.feature):
+            return [[] for _ in range(documents)]
+        blocks, count = chunk.laid_out(BLOCK)
+        owner = np.repeat(np.arange(documents), count)
+        last = np.cumsum(count)[owner]
+        inside = np.arange(len(owner)) - (last - count[owner])
+        run = _running(summed(self.project, blocks), np.float32)
+        # Words of the item in a window: no more than these can be common to both. Sums may wrap, as
+        # only differences over a window count.
+        widest = max(w for w, *_ in self.classes) * BLOCK
+        shared = _running(summed(self.holds, blocks), np.uint16 if widest < 1 << 16 else np.uint32)
+        for width, lo, hi, items, least in self.classes:
             begin = np.flatnonzero((np.arange(len(owner)) + width <= last) | (inside == 0))
             end = np.minimum(begin + width, last[begin])
             z = run[end] - run[begin]
-            near = z @ items.T
-            near /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)[:, None]
-            r, c = np.nonzero(near >= COSINE)
-            enough = shared[end[r], of[c]] - shared[begin[r], of[c]] >= least[c]
-            for r, c in zip(r[enough].tolist(), c[enough].tolist(), strict=True):
-                d, i = int(owner[begin[r]]), int(of[c])
-                lo = int(inside[begin[r]]) * BLOCK
-                hit = self._check(i, chunk[d], lo, lo + int(end[r] - begin[r]) * BLOCK, float(near[r, c]))
+            near = z @ items
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)
+            candidate = near >= (COSINE * norm)[:, None]
+            candidate &= shared[end, lo:hi] - shared[begin, lo:hi] >= least.astype(shared.dtype)
+            for x in np.flatnonzero(candidate).tolist():
+                r, c = divmod(x, hi - lo)
+                d, i = int(owner[begin[r]]), int(self.order[lo + c])
+                first = int(inside[begin[r]]) * BLOCK
+                after = min(first + int(end[r] - begin[r]) * BLOCK, int(chunk.count[d]))
+                hit = self._check(i, chunk.slice(d, first, after), first, after, float(near[r, c] / norm[r]))
                 if hit and (i not in hits[d] or hit[1] > hits[d][i][1]):
                     hits[d][i] = hit
         return [[h[i] for i in sorted(h)] for h in hits]
 
-    def _check(self, i: int, words: list[bytes], lo: int, hi: int, near: float) -> tuple | None:
+    def _check(self, i: int, part: list[bytes], lo: int, hi: int, near: float) -> tuple | None:
         item, (masks, answer_masks) = self.items[i], self.masks[i]
-        part, size = words[lo:hi], len(item.words)
+        size = len(item.words)
         n = common(masks, size, part, OVERLAP * size)
         if n < OVERLAP * size:
             return None
         answer = common(answer_masks, len(item.answer), part) / len(item.answer)
         if answer < ANSWER:
             return None
-        return item.key, n, size, n / size, answer, near, lo, min(hi, len(words))
+        return item.key, n, size, n / size, answer, near, lo, hi
 
 
-def _running(rows: np.ndarray, kind) -> np.ndarray:
-    return np.concatenate([np.zeros((1, rows.shape[1]), kind), np.cumsum(rows, axis=0, dtype=kind)])
+def _running(rows: np.ndarray, kind: type) -> np.ndarray:
+    out = np.zeros((len(rows) + 1, rows.shape[1]), kind)
+    np.cumsum(rows, axis=0, dtype=kind, out=out[1:])
+    return out
 
 
 def learn(docs: DataFrame, text: str = "text") -> Space:
