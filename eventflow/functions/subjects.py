@@ -1,4 +1,9 @@
-"""Hierarchical subjects: dot-separated tokens, ``*`` for one token, trailing ``>`` for one or more."""
+"""Hierarchical subjects: dot-separated tokens, ``*`` for one token, trailing ``>`` for one or more.
+
+One rule, whichever way a match is computed: a pattern without wildcards matches its own text; one with
+wildcards matches only subjects without empty tokens (empty text, a dot at an end, two dots in a row).
+Any other character, line breaks included, is part of a token.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,16 @@ from pyspark.sql import functions as F
 from .documents import scalar_text
 
 
-def pattern_to_regex(pattern: str) -> str:
-    """Anchored regular expression for one subject pattern."""
-    tokens = pattern.split(".")
-    parts = []
-    for i, token in enumerate(tokens):
-        if token == "*":
-            parts.append(r"[^.]+")
-        elif token == ">" and i == len(tokens) - 1:
-            parts.append(r".+")
-        else:
-            parts.append(re.escape(token))
-    return "^" + r"\.".join(parts) + "$"
+def no_empty_token(subject: Column) -> Column:
+    return (F.length(subject) > 0) & ~subject.startswith(".") & ~subject.endswith(".") & ~subject.contains("..")
 
 
 def literal_prefix(pattern: str) -> str:
     """The text every match starts with, up to the first wildcard token."""
-    head = []
-    for token in pattern.split("."):
-        if token in ("*", ">"):
-            return ".".join(head) + "." if head else ""
-        head.append(token)
+    tokens = pattern.split(".")
+    for i, token in enumerate(tokens):
+        if token == "*" or (token == ">" and i == len(tokens) - 1):
+            return ".".join(tokens[:i]) + "." if i else ""
     return pattern
 
 
@@ -43,26 +37,16 @@ def subject_match(subject: Column, pattern: str) -> Column:
     prefix = literal_prefix(pattern)
     if prefix == pattern:
         return subject == F.lit(pattern)
+    hit = no_empty_token(subject)
+    if prefix:
+        hit = subject.startswith(prefix) & hit
     rest = pattern[len(prefix):]
     if rest == ">":
-        if not prefix:
-            return F.length(subject) > 0
-        return subject.startswith(prefix) & (F.length(subject) > len(prefix))
-    hit = subject.rlike(pattern_to_regex(pattern))
-    return subject.startswith(prefix) & hit if prefix else hit
-
-
-def pattern_regex(pattern: Column) -> Column:
-    """Regular expression for a pattern held in a column."""
-    tokens = F.split(pattern, r"\.")
-    last = F.size(tokens) - 1
-    parts = F.transform(
-        tokens,
-        lambda t, i: F.when(t == "*", F.lit(r"[^.]+"))
-        .when((t == ">") & (i == last), F.lit(r".+"))
-        .otherwise(F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))),
-    )
-    return F.concat(F.lit("^"), F.array_join(parts, r"\."), F.lit("$"))
+        return hit & (F.length(subject) > len(prefix))
+    tokens = [r"[^.]+" if token == "*" else re.escape(token) for token in rest.split(".")]
+    if rest.endswith(".>"):
+        tokens[-1] = r".+"
+    return hit & F.substring(subject, len(prefix) + 1, F.length(subject)).rlike(r"(?s)\A" + r"\.".join(tokens) + r"\z")
 
 
 def inventory_match(subject: Column, pattern: str) -> Column:

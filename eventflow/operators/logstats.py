@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import SEG, SEGMENT_WIDTH, Running, running, segment_of
-from .routing import fan_out, is_small, match_subjects
+from .routing import match_subjects
 
 
 def poll_stats(responses: DataFrame) -> DataFrame:
@@ -43,11 +43,7 @@ def consumer_lag(raw: DataFrame, consumers: DataFrame, position: str, width: int
     rules = consumers.select("consumer", F.col("filter_subject").alias("pattern"), F.col("position").alias("_pos"))
     counts = raw.groupBy("subject", segment_of(position, width).alias(SEG)).agg(F.count("*").alias("n"))
     subjects = counts.select("subject").distinct()
-    if is_small(consumers):
-        pairs = fan_out(subjects, rules)
-    else:
-        pairs = match_subjects(subjects, rules)
-    pairs = pairs.select("subject", "consumer", "_pos", segment_of("_pos", width).alias("_pos_seg"))
+    pairs = match_subjects(subjects, rules).select("subject", "consumer", "_pos", segment_of("_pos", width).alias("_pos_seg"))
     whole = (
         counts.join(pairs, "subject")
         .where(F.col(SEG) > F.col("_pos_seg"))

@@ -200,6 +200,23 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
         ],
         None,
     ),
+    "fx_topics": (
+        "events",
+        ["event_id", "user_id", "event_type", "'orders.'||cast(user_id as string)||'.'||event_type as subject"],
+        None,
+    ),
+    "fx_topic_subs": (
+        "part",
+        [
+            "p_partkey as subscriber",
+            "p_partkey % 500 as k",
+            "cast(floor(p_partkey / 500) as bigint) % 4 as kind",
+            "case cast(floor(p_partkey / 500) as bigint) % 4 when 0 then 'orders.'||cast(p_partkey % 500 as string)||'.click'"
+            " when 1 then 'orders.'||cast(p_partkey % 500 as string)||'.*' when 2 then 'orders.'||cast(p_partkey % 500 as string)||'.>'"
+            " else '*.'||cast(p_partkey % 500 as string)||'.view' end as pattern",
+        ],
+        None,
+    ),
     "fx_snapshot_old": ("part", ["p_partkey as id", "p_name as name"], "p_partkey % 7 <> 0"),
     "fx_snapshot_new": ("part", ["p_partkey as id", "p_name as name"], "p_partkey % 5 <> 0"),
 }

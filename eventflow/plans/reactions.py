@@ -69,6 +69,21 @@ def route_fanout(spark, folder):
     return routed(spark, folder).select("event_id", "subscriber", "pattern")
 
 
+@query(
+    "route_many",
+    "fx_topics",
+    "fx_topic_subs",
+    sql="""
+    select event_id, subscriber, pattern from fx_topics join fx_topic_subs on user_id = k
+      and (kind in (1, 2) or (kind = 0 and event_type = 'click') or (kind = 3 and event_type = 'view'))""",
+)
+def route_many(spark, folder):
+    """Thousands of subscriptions, one for each part."""
+    events = fixture(spark, folder, "fx_topics").select("event_id", "subject")
+    subscriptions = fixture(spark, folder, "fx_topic_subs").select("subscriber", "pattern")
+    return routing.fan_out(events, subscriptions).select("event_id", "subscriber", "pattern")
+
+
 @query(
     "queue_group_assign",
     "fx_raw",

@@ -1,12 +1,11 @@
 """Fleet roll-ups and change folding, routing, consumer lag."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventflow.functions.subjects import pattern_to_regex
+from eventflow.functions.subjects import subject_match
 from eventflow.operators import fleet, logstats, routing
 
 GIB = 1024**3
@@ -149,6 +148,18 @@ def test_removal_without_node(spark):
 # --- routing ------------------------------------------------------------------------------
 
 TOKENS = ["a", "b", "cc", "d+"]
+ODD = ["", ".", ".a", "a.", "a..b", "a.x\ny", "a.x.b\n", "a.*.b", "a.>", "a.>.b", ">", "*"]
+
+
+def matches(pattern, subject):
+    """The rule, token by token."""
+    want, have = pattern.split("."), subject.split(".")
+    open_end = want[-1] == ">"
+    if not open_end and "*" not in want:
+        return pattern == subject
+    body = want[:-1] if open_end else want
+    fits = len(have) > len(body) if open_end else len(have) == len(body)
+    return fits and "" not in have and all(w in ("*", h) for w, h in zip(body, have))
 
 
 def random_subjects(rng, n):
@@ -160,24 +171,37 @@ def random_patterns(rng, n):
     for _ in range(n):
         tokens = [rng.choice([*TOKENS, "*"]) for _ in range(rng.randrange(1, 5))]
         out.add(".".join(tokens + ([">"] if rng.random() < 0.4 else [])))
-    return sorted(out | {">"})
+    return sorted(out | {">", "*", "a..b", "a..*", "a.", "a.>.b", "a.*.b", "a.>."})
 
 
-def test_both_routing_ways_agree_with_the_rule(spark, monkeypatch):
+@pytest.mark.parametrize("size", ["few", "many", "joined"])
+def test_routing_follows_the_rule_at_every_size(spark, monkeypatch, size):
     rng = random.Random(11)
-    subjects, patterns = random_subjects(rng, 200), random_patterns(rng, 60)
-    rows = [(i, s) for i, s in enumerate(subjects)] + [(1000 + i, subjects[0]) for i in range(300)]
-    want = {(i, p) for i, s in rows for p in patterns if re.fullmatch(pattern_to_regex(p)[1:-1], s)}
+    subjects, patterns = [*random_subjects(rng, 200), *ODD], random_patterns(rng, 60)
+    rows = [(i, s) for i, s in enumerate(subjects)] + [(1000 + i, subjects[0]) for i in range(300)] + [(2000, None)]
+    want = {(i, p) for i, s in rows if s is not None for p in patterns if matches(p, s)}
+    if size != "few":
+        patterns = patterns + [f"unrelated.{i}.*" for i in range(70)]
+    if size == "joined":
+        monkeypatch.setattr(routing, "is_small", lambda table: False)
     events = spark.createDataFrame(rows, "event_id bigint, subject string")
     subs = spark.createDataFrame([(f"s{i}", p) for i, p in enumerate(patterns)], "subscriber string, pattern string")
-    small = {(r.event_id, r.pattern) for r in routing.fan_out(events, subs).collect()}
-    monkeypatch.setattr(routing, "is_small", lambda table: False)
-    large_df = routing.fan_out(events, subs, salt=3)
-    large = [(r.event_id, r.pattern) for r in large_df.collect()]
-    assert small == want
-    assert len(large) == len(set(large)) and set(large) == want
-    plan = large_df._jdf.queryExecution().optimizedPlan().toString()
-    assert "rlike" not in plan.lower()
+    df = routing.fan_out(events, subs)
+    got = [(r.event_id, r.pattern) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "rlike" not in text.lower()
+    groups = routing.deliver_to_groups(events, subs, "subscriber").collect()
+    assert len(groups) == len(want) and {r.event_id for r in groups} == {i for i, _ in want}
+
+
+def test_literal_patterns_follow_the_same_rule(spark):
+    rng = random.Random(12)
+    subjects, patterns = [*random_subjects(rng, 60), *ODD], random_patterns(rng, 40)
+    df = spark.createDataFrame(list(enumerate(subjects)), "i int, subject string")
+    row = df.orderBy("i").select(*[subject_match(F.col("subject"), p).alias(f"m{n}") for n, p in enumerate(patterns)]).collect()
+    for s, hits in zip(subjects, row, strict=True):
+        assert list(hits) == [matches(p, s) for p in patterns], s
 
 
 def test_two_patterns_two_deliveries(spark):
@@ -189,10 +213,7 @@ def test_two_patterns_two_deliveries(spark):
     assert routing.subjects_of(events, ["river.>", "river.stripe.webhook", "x"]).count() == 2
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_consumer_lag(spark, monkeypatch, large):
-    if large:
-        monkeypatch.setattr(logstats, "is_small", lambda table: False)
+def test_consumer_lag(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a.x", "a.y", "b.x"])) for i in range(1, 301)]
     consumers = [("c1", "a.>", 0), ("c2", "a.x", 137), ("c3", "*.x", 299), ("c4", "b.y", 5), ("c5", ">", 900), ("c6", ">", -4)]
@@ -200,6 +221,6 @@ def test_consumer_lag(spark, monkeypatch, large):
     df = spark.createDataFrame(consumers, "consumer string, filter_subject string, position bigint")
     got = {r.consumer: r.pending for r in logstats.consumer_lag(raw, df, "pos", width=50).collect()}
     want = {
-        c: sum(1 for i, s in rows if i > p and re.fullmatch(pattern_to_regex(f)[1:-1], s)) for c, f, p in consumers
+        c: sum(1 for i, s in rows if i > p and matches(f, s)) for c, f, p in consumers
     }
     assert got == want

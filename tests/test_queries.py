@@ -51,7 +51,7 @@ def test_known_answers(spark):
     assert {r.kind: r["count"] for r in live} == {"node": 18, "process": 30}
 
 
-NO_LOOP = [n for n in all_queries.QUERIES if n not in ("route_fanout", "queue_group_assign", "consumer_lag") and not n.startswith("stream_") and n != "state_fold_stream"]
+NO_LOOP = [n for n in all_queries.QUERIES if not n.startswith("stream_") and n != "state_fold_stream"]
 
 
 @pytest.mark.parametrize("name", NO_LOOP)
@@ -60,6 +60,12 @@ def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("name", ["route_fanout", "queue_group_assign", "route_many"])
+def test_few_matches_do_not_shuffle_events(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "event_id" not in "".join(re.findall(r"Exchange hashpartitioning.*", text))
+
+
 def test_history_limits_before_the_shuffle(spark):
     text = plan(state.history(states.log(spark, SF).withColumnRenamed("slot", "revision")))
     assert "WindowGroupLimit" in text and text.index("Final") < text.index("Partial")
