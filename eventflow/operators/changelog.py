@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .events import blank
-from .ordered import SEGMENT_WIDTH, Running, number_rows, running, segment_of
+from .ordered import SEG, SEGMENT_WIDTH, Running, number_rows, running, segment_of
 
 # The three actions and the log's subject prefix.
 ACTIONS = ("create", "update", "delete")
@@ -65,16 +66,27 @@ def read_log(log: DataFrame, after: int = 0) -> DataFrame:
 def retain(log: DataFrame, max_age_s: int, max_rows: int, width: int = SEGMENT_WIDTH) -> DataFrame:
     """Drop-oldest retention by age (relative to the newest entry) and by row count.
 
-    The count limit needs the slot of the oldest of the newest ``max_rows`` entries. Rows are
-    counted per segment from the newest down; segment totals are all that meets in one place.
+    Rows are counted per segment from the newest down; segment totals are all that meets in one
+    place. Only the segment that holds the oldest row to keep is ranked, and its slot then filters
+    the scan, so the log itself is not shuffled.
     """
     newest = log.agg(F.max("ts").alias("ts")).scalar()
     young = log.where(F.col("ts") >= newest - F.make_interval(secs=F.lit(max_age_s)))
-    reverse = young.withColumn("_back", -F.col("slot"))
-    ranked = running(
-        reverse, [], "_back", [Running("_rank", F.lit(1).cast("bigint"), "sum")], width=width
+    newest_first = W.orderBy(F.col(SEG).desc())
+    totals = young.groupBy(segment_of("slot", width).alias(SEG)).agg(F.count("*").alias("_n"))
+    border = (
+        totals.withColumn("_until", F.sum("_n").over(newest_first))
+        .where((F.col("_until") >= max_rows) & (F.col("_until") - F.col("_n") < max_rows))
+        .select(SEG, (F.lit(max_rows) - F.col("_until") + F.col("_n")).alias("_take"))
     )
-    return ranked.where(F.col("_rank") <= max_rows).drop("_rank", "_back")
+    ranked = (
+        young.select("slot", segment_of("slot", width).alias(SEG))
+        .join(F.broadcast(border), SEG)  # one row at most
+        .withColumn("_rank", F.row_number().over(W.partitionBy(SEG).orderBy(F.col("slot").desc())))
+    )
+    oldest = ranked.where(F.col("_rank") == F.col("_take")).agg(F.max("slot").alias("slot")).scalar()
+    every = F.lit(-(1 << 63))
+    return young.where(F.col("slot") >= F.coalesce(oldest, every)) if max_rows > 0 else young.limit(0)
 
 
 def out_of_order(log: DataFrame, arrival: str, width: int = SEGMENT_WIDTH) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -283,19 +287,104 @@ def live_nodes(changes: DataFrame) -> DataFrame:
     )
 
 
-def live_processes(changes: DataFrame) -> DataFrame:
+_TARGETS = "slot bigint, target string"
+
+
+def _take_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The node each removal without a node hits: the first running copy in node order.
+
+    Rows come in order per process; what is kept are the nodes that run the current process.
+    """
+    process, ends, order = None, {}, []
+    for batch in batches:
+        slots, targets = [], []
+        for row in batch.to_pylist():
+            if row["process_id"] != process:
+                process, ends, order = row["process_id"], {}, []
+            node, slot = row["node_id"], row["slot"]
+            if node is not None:
+                if row["until"] is None:
+                    ends.pop(node, None)
+                else:
+                    if node not in ends:
+                        heapq.heappush(order, node)
+                    ends[node] = row["until"]
+                continue
+            while order and ends.get(order[0], 0) < slot:
+                ends.pop(heapq.heappop(order), None)
+            if order:
+                slots.append(slot)
+                targets.append(heapq.heappop(order))
+                ends.pop(targets[-1])
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "target": pa.array(targets, pa.string())})
+
+
+def _open_removal() -> Column:
+    return (F.col("type") == "process_removed") & F.col("node_id").isNull() & F.col("process_id").isNotNull()
+
+
+def _by_node(changes: DataFrame, width: int) -> DataFrame:
+    """Add the node's last add or removal before each change, and the slot of its next one."""
+    node_event = F.col("type").isin(*_NODE_EVENTS)
+    return running(
+        changes,
+        ["node_id"],
+        "slot",
+        [
+            Running("_node", F.when(node_event, F.struct("slot", "type")), "last", strict=True),
+            Running("_node_next", F.when(node_event, F.col("slot")), "next"),
+        ],
+        width=width,
+    )
+
+
+def with_targets(changes: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
+    """Add ``target`` and what ``_by_node`` knows. The target is the change's node; for a removal
+    without a node, the first node in id order that runs the process then (NULL if none does).
+
+    Which copy goes depends on what the removals before it took, so this is the one ordered pass per
+    process. It sees only processes that have such removals, and of the changes between two of them
+    only the last of each node, counted and grouped before that by the sweeps and one combinable
+    aggregate.
+    """
+    t, slot = F.col("type"), F.col("slot")
+    wide = changes.where(_open_removal())
+    concerned = wide.select("process_id").distinct()
+    by_node = _by_node(changes, width)
+    moves = by_node.where(
+        (t == "process_removed") | ((t == "process_added") & (F.col("_node.type") == "land_added"))
+    ).join(concerned, "process_id", "left_semi")
+    until = F.when(t == "process_added", F.coalesce("_node_next", F.lit(1 << 62)))
+    rounds = running(
+        moves.select("slot", "process_id", "node_id", until.alias("until")),
+        ["process_id"],
+        "slot",
+        [Running("_round", F.when(F.col("node_id").isNull(), F.lit(1).cast("bigint")), "sum", strict=True)],
+        width=width,
+    )
+    last = rounds.groupBy("process_id", F.coalesce("_round", F.lit(0)).alias("_round"), "node_id").agg(
+        F.max(slot).alias("slot"), F.max_by("until", slot).alias("until")
+    )
+    dealt = last.repartition("process_id").sortWithinPartitions("process_id", "slot")
+    hits = dealt.select("process_id", "node_id", "slot", "until").mapInArrow(_take_first, _TARGETS)
+    rest = by_node.where(~F.coalesce(_open_removal(), F.lit(False))).withColumn("target", F.col("node_id"))
+    return rest.unionByName(wide.join(hits, "slot", "left"), allowMissingColumns=True)
+
+
+def live_processes(changes: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
     """Processes alive after all changes, one row per (node, process).
 
     A process lives when its node does, and its last add comes after the node's own last add and
-    after its last removal. A removal without a node reaches every node. An update reaches every
-    running copy of the process id.
+    after its last removal. A removal without a node ends the first running copy in node order. An
+    update reaches every running copy of the process id.
     """
     t, slot = F.col("type"), F.col("slot")
     added = t == "process_added"
     removed = t == "process_removed"
     per_copy = (
-        changes.where(added | (removed & F.col("node_id").isNotNull()))
-        .groupBy("node_id", "process_id")
+        with_targets(changes.where(added | removed | t.isin(*_NODE_EVENTS)), width)
+        .where((added | removed) & F.col("target").isNotNull())
+        .groupBy(F.col("target").alias("node_id"), "process_id")
         .agg(
             F.max(F.when(added, slot)).alias("started"),
             F.max_by("ram", F.when(added, slot)).alias("_ram"),
@@ -303,19 +392,15 @@ def live_processes(changes: DataFrame) -> DataFrame:
         )
     )
     per_process = (
-        changes.where((t == "process_updated") | (removed & F.col("node_id").isNull()))
+        changes.where(t == "process_updated")
         .groupBy("process_id")
-        .agg(
-            F.max_by(F.struct("slot", "ram"), F.when(t == "process_updated", slot)).alias("_updated"),
-            F.max(F.when(removed, slot)).alias("_gone_all"),
-        )
+        .agg(F.max_by(F.struct("slot", "ram"), slot).alias("_updated"))
     )
-    last_gone = F.greatest(F.col("_gone"), F.col("_gone_all"), F.lit(-1))
     joined = per_copy.join(live_nodes(changes).select("node_id", "since"), "node_id").join(
         per_process, "process_id", "left"
     )
     return joined.where(
-        (F.col("started") > F.col("since")) & (F.col("started") > last_gone)
+        (F.col("started") > F.col("since")) & (F.col("started") > F.coalesce("_gone", F.lit(-1)))
     ).select(
         "node_id",
         "process_id",
@@ -327,25 +412,15 @@ def live_processes(changes: DataFrame) -> DataFrame:
 def change_outcomes(changes: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
     """Add ``applied`` to every change; a change of an unknown node or process is an error.
 
-    Three sweeps: node events per node, adds and removals per (node, process), and for updates
-    (which name only a process) the latest end of any earlier stay of that process.
+    Three sweeps over the changes with their targets: node events per node, adds and removals per
+    (node, process), and for updates (which name only a process) the latest end of any earlier stay
+    of that process.
     """
     t, slot = F.col("type"), F.col("slot")
-    node_event = F.when(t.isin(*_NODE_EVENTS), F.struct("slot", "type"))
-    by_node = running(
-        changes,
-        ["node_id"],
-        "slot",
-        [
-            Running("_node", node_event, "last", strict=True),
-            Running("_node_next", F.when(t.isin(*_NODE_EVENTS), slot), "next"),
-        ],
-        width=width,
-    )
     node_live = F.coalesce(F.col("_node.type") == "land_added", F.lit(False))
     by_copy = running(
-        by_node,
-        ["node_id", "process_id"],
+        with_targets(changes, width),
+        ["target", "process_id"],
         "slot",
         [
             Running("_added", F.when(t == "process_added", slot), "last", strict=True),
@@ -354,7 +429,7 @@ def change_outcomes(changes: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame
         ],
         width=width,
     )
-    copy_live = (
+    copy_live = F.when(_open_removal(), F.col("target").isNotNull()).otherwise(
         node_live
         & (F.col("_added") > F.col("_node.slot"))
         & (F.col("_added") > F.coalesce("_removed", F.lit(-1)))

@@ -34,33 +34,43 @@ def stream_stats(raw: DataFrame) -> DataFrame:
 
 
 def consumer_lag(raw: DataFrame, consumers: DataFrame, position: str, width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Messages matching each consumer's filter after its position.
+    """Messages matching each consumer's filter after its position, and those delivered but not
+    acknowledged.
 
-    ``consumers`` has ``consumer, filter_subject, position``. The log is counted per (subject,
-    segment) first; whole segments behind a position are summed from the counts, and only the
-    segment a position falls into is looked at row by row.
+    ``consumers`` has ``consumer, filter_subject, position`` and ``acked`` (not above the position).
+    The log is counted per (subject, segment) first; whole segments behind a position are summed
+    from the counts, and only the segment a position falls into is looked at row by row.
     """
-    rules = consumers.select("consumer", F.col("filter_subject").alias("pattern"), F.col("position").alias("_pos"))
+    marks = F.array(
+        F.struct(F.lit(True).alias("delivered"), F.col("position").alias("_pos")),
+        F.struct(F.lit(False).alias("delivered"), F.col("acked").alias("_pos")),
+    )
+    rules = consumers.select("consumer", F.col("filter_subject").alias("pattern"), F.inline(marks))
     counts = raw.groupBy("subject", segment_of(position, width).alias(SEG)).agg(F.count("*").alias("n"))
     subjects = counts.select("subject").distinct()
-    pairs = match_subjects(subjects, rules).select("subject", "consumer", "_pos", segment_of("_pos", width).alias("_pos_seg"))
+    pairs = match_subjects(subjects, rules).select("subject", "consumer", "delivered", "_pos", segment_of("_pos", width).alias("_pos_seg"))
     whole = (
         counts.join(pairs, "subject")
         .where(F.col(SEG) > F.col("_pos_seg"))
-        .groupBy("consumer")
+        .groupBy("consumer", "delivered")
         .agg(F.sum("n").alias("n"))
     )
     edge = (
         raw.select("subject", F.col(position).alias("_at"), segment_of(position, width).alias("_pos_seg"))
         .join(pairs, ["subject", "_pos_seg"])
         .where(F.col("_at") > F.col("_pos"))
-        .groupBy("consumer")
+        .groupBy("consumer", "delivered")
         .agg(F.count("*").alias("n"))
     )
-    pending = whole.unionByName(edge).groupBy("consumer").agg(F.sum("n").alias("n"))
-    return consumers.join(pending, "consumer", "left").withColumn(
-        "pending", F.coalesce("n", F.lit(0)).cast("bigint")
-    ).drop("n")
+    after = whole.unionByName(edge).groupBy("consumer").agg(
+        F.sum(F.when(F.col("delivered"), F.col("n"))).alias("_new"), F.sum(F.when(~F.col("delivered"), F.col("n"))).alias("_open")
+    )
+    new, unsettled = F.coalesce("_new", F.lit(0)), F.coalesce("_open", F.lit(0))
+    return (
+        consumers.join(after, "consumer", "left")
+        .withColumns({"pending": new.cast("bigint"), "ack_pending": (unsettled - new).cast("bigint")})
+        .drop("_new", "_open")
+    )
 
 
 def event_counts(events: DataFrame, by: list[str | Column]) -> DataFrame:

@@ -44,15 +44,17 @@ def _title_step(title: Column, pick: int) -> Column:
     )
 
 
-def score_contacts(contacts: DataFrame) -> DataFrame:
-    """Add ``score`` and ordered ``signals``; contacts without size or title are dropped."""
+def score_contacts(contacts: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Add ``score`` and ordered ``signals``; contacts without size or title are dropped, or with
+    ``keep_all`` stay without a score."""
     size, title = F.col("company_size"), F.col("title")
+    known = size.isNotNull() & title.isNotNull()
     target = F.coalesce(F.col("industry").isin(*TARGET_INDUSTRIES), F.lit(False))
     points = [_size_step(size, 0), _title_step(title, 0), F.when(target, F.lit(INDUSTRY_POINTS))]
     signals = [_size_step(size, 1), _title_step(title, 1), F.when(target, F.lit(INDUSTRY_SIGNAL))]
     total = reduce(add, [F.coalesce(p, F.lit(0)) for p in points])
-    return contacts.where(size.isNotNull() & title.isNotNull()).withColumns(
-        {"score": total.cast("bigint"), "signals": F.array_compact(F.array(*signals))}
+    return (contacts if keep_all else contacts.where(known)).withColumns(
+        {"score": F.when(known, total.cast("bigint")), "signals": F.when(known, F.array_compact(F.array(*signals)))}
     )
 
 

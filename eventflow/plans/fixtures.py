@@ -183,7 +183,7 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
             "event_id + 1 as slot",
             "ts",
             "case event_id % 6 when 0 then 'land_added' when 1 then 'process_added' when 2 then 'process_added' when 3 then 'process_updated' when 4 then case when event_id % 5 = 0 then 'land_removed' else 'land_updated' end else 'process_removed' end as type",
-            "'node-'||cast(user_id % 20 as string) as node_id",
+            "case when event_id % 12 = 5 then null else 'node-'||cast(user_id % 20 as string) end as node_id",
             "'p-'||cast(event_id % 50 as string) as process_id",
             "cast(floor(value*1000) as bigint) as ram",
         ],
@@ -224,7 +224,7 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
 # Fixtures whose queries parse or hash text per row.
 TEXT_HEAVY = {"fx_raw", "fx_requests", "fx_polls", "fx_chat", "fx_contacts"}
 
-# Routing table and consumer positions: subscriptions, not data.
+# Routing table, and consumers with delivered and acknowledged positions in percent of the log.
 PATTERNS = [
     ("parser-pay", "river.stripe.webhook"),
     ("parser-gen", "river.general.>"),
@@ -234,24 +234,25 @@ PATTERNS = [
     ("double", "river.stripe.>"),
 ]
 CONSUMERS = [
-    ("observer-a", "river.general.>", 2500),
-    ("observer-b", "river.stripe.webhook", 5000),
-    ("observer-c", "river.>", 0),
+    ("observer-a", "river.general.>", 25, 20),
+    ("observer-b", "river.stripe.webhook", 50, 50),
+    ("observer-c", "river.>", 99, 10),
 ]
 SMALL = {
     "fx_patterns": "select * from (values "
     + ", ".join(f"('{s}','{p}')" for s, p in PATTERNS)
     + ") as t(subscriber, pattern)",
-    "fx_consumers": "select * from (values "
-    + ", ".join(f"('{c}','{f}',{p})" for c, f, p in CONSUMERS)
-    + ") as t(consumer, filter_subject, position)",
+    "fx_consumers": "select consumer, filter_subject, cast(floor(newest * p / 100) as bigint) as position,"
+    " cast(floor(newest * a / 100) as bigint) as acked from (values "
+    + ", ".join(f"('{c}','{f}',{p},{a})" for c, f, p, a in CONSUMERS)
+    + ") as t(consumer, filter_subject, p, a) cross join (select max(event_id) as newest from {events}) as e",
 }
 
 
 def fixture(spark: SparkSession, folder: str, name: str, stream: bool = False) -> DataFrame:
     """The fixture as a batch or streaming DataFrame."""
     if name in SMALL:
-        return spark.sql(SMALL[name])
+        return spark.sql(SMALL[name], events=load(spark, folder, "events")) if "{" in SMALL[name] else spark.sql(SMALL[name])
     table, columns, where = FIXTURES[name]
     if table in FIXTURES:
         base = fixture(spark, folder, table, stream)
@@ -282,7 +283,7 @@ def with_ctes(names: list[str], body: str) -> str:
     parts = []
     for name in order:
         if name in SMALL:
-            parts.append(f"{name} as ({SMALL[name]})")
+            parts.append(f"{name} as ({SMALL[name].replace('{events}', 'events')})")
         else:
             table, columns, where = FIXTURES[name]
             parts.append(f"{name} as (select {', '.join(columns)} from {table}{f' where {where}' if where else ''})")

@@ -222,15 +222,43 @@ def union_processes(spark, folder):
 # --- change folding -----------------------------------------------------------------------
 
 
+# Which copy a removal without a node ends depends on what earlier ones took, so the SQL recurses.
+SQL_TARGETS = """
+  node_ev as (select node_id, slot, type from fx_fleet_events where type in ('land_added','land_removed')),
+  placed as (select e.*, n.slot as n_slot, n.type as n_type from fx_fleet_events e asof left join node_ev n on e.node_id = n.node_id and e.slot > n.slot),
+  adds as (select node_id, process_id, slot from placed where type = 'process_added' and n_type = 'land_added'),
+  open_rem as (select slot, process_id, row_number() over (partition by process_id order by slot) as k
+    from fx_fleet_events where type = 'process_removed' and node_id is null),
+  last_add as (select o.process_id, o.slot, o.k, a.node_id, max(a.slot) as add_slot
+    from open_rem o join adds a on o.process_id = a.process_id and a.slot < o.slot group by all),
+  cand as (select process_id, slot, list(struct_pack(node := node_id, since := add_slot) order by node_id) as copies from last_add l
+    where not exists (select 1 from node_ev n where n.node_id = l.node_id and n.slot > l.add_slot and n.slot < l.slot)
+      and not exists (select 1 from fx_fleet_events r where r.type = 'process_removed' and r.node_id = l.node_id and r.process_id = l.process_id
+        and r.slot > l.add_slot and r.slot < l.slot) group by process_id, slot),
+  step as (select o.process_id, o.slot, o.k, coalesce(c.copies, []) as copies from open_rem o left join cand c on o.process_id = c.process_id and o.slot = c.slot),
+  hit as (with recursive h as (
+      select process_id, cast(0 as bigint) as k, cast(null as bigint) as slot, cast(null as varchar) as node, cast([] as struct(node varchar, since bigint)[]) as taken
+      from (select distinct process_id from open_rem)
+      union all
+      select process_id, k, slot, node, case when node is null then taken else list_append(taken, struct_pack(node := node, since := slot)) end
+      from (select s.process_id, s.k, s.slot, h.taken,
+          list_filter(s.copies, lambda c: len(list_filter(h.taken, lambda x: x.node = c.node and x.since > c.since)) = 0)[1].node as node
+        from h join step s on s.process_id = h.process_id and s.k = h.k + 1))
+    select slot, node from h where k > 0),
+  changes as (select e.slot, e.type, e.process_id, e.ram, e.node_id, coalesce(e.node_id, hit.node) as target from fx_fleet_events e left join hit on e.slot = hit.slot)
+"""
+
+
 @query(
     "fleet_apply_events",
     "fx_fleet_events",
-    sql="""
+    sql=SQL_TARGETS
+    + """,
     n as (select node_id, max(slot) filter (type = 'land_added') as a, max(slot) filter (type = 'land_removed') as r,
         max_by(ram, slot) filter (type in ('land_added','land_updated')) as ram from fx_fleet_events group by node_id),
     live as (select * from n where a > coalesce(r, 0)),
-    p as (select node_id, process_id, max(slot) filter (type = 'process_added') as a, max(slot) filter (type = 'process_removed') as r,
-        max_by(ram, slot) filter (type = 'process_added') as ram from fx_fleet_events group by node_id, process_id),
+    p as (select target as node_id, process_id, max(slot) filter (type = 'process_added') as a, max(slot) filter (type = 'process_removed') as r,
+        max_by(ram, slot) filter (type = 'process_added') as ram from changes group by target, process_id),
     u as (select process_id, max(slot) as s, max_by(ram, slot) as ram from fx_fleet_events where type = 'process_updated' group by process_id)
     select 'node' as kind, node_id, '' as process_id, ram from live
     union all select 'process', p.node_id, p.process_id, case when u.s > p.a then u.ram else p.ram end
@@ -246,22 +274,24 @@ def fleet_apply_events(spark, folder):
     return node_rows.unionByName(process_rows)
 
 
-SQL_FEED = """
-  node_ev as (select node_id, slot, type from fx_fleet_events where type in ('land_added','land_removed')),
-  a as (select e.*, n.slot as n_slot, n.type as n_type from fx_fleet_events e asof left join node_ev n on e.node_id = n.node_id and e.slot > n.slot),
-  adds as (select node_id, process_id, slot from fx_fleet_events where type = 'process_added'),
-  rems as (select node_id, process_id, slot from fx_fleet_events where type = 'process_removed'),
-  b as (select a.*, adds.slot as add_slot from a asof left join adds on a.node_id = adds.node_id and a.process_id = adds.process_id and a.slot > adds.slot),
-  c as (select b.*, rems.slot as rem_slot from b asof left join rems on b.node_id = rems.node_id and b.process_id = rems.process_id and b.slot > rems.slot),
-  stays as (select c.process_id, c.slot as s, least(coalesce((select min(x.slot) from node_ev x where x.node_id = c.node_id and x.slot > c.slot), 1152921504606846976),
-      coalesce((select min(y.slot) from rems y where y.node_id = c.node_id and y.process_id = c.process_id and y.slot > c.slot), 1152921504606846976)) as e
+SQL_FEED = (
+    SQL_TARGETS
+    + """,
+  a as (select e.*, n.slot as n_slot, n.type as n_type from changes e asof left join node_ev n on e.target = n.node_id and e.slot > n.slot),
+  every_add as (select node_id, process_id, slot from fx_fleet_events where type = 'process_added'),
+  rems as (select target, process_id, slot from changes where type = 'process_removed' and target is not null),
+  b as (select a.*, x.slot as add_slot from a asof left join every_add x on a.target = x.node_id and a.process_id = x.process_id and a.slot > x.slot),
+  c as (select b.*, rems.slot as rem_slot from b asof left join rems on b.target = rems.target and b.process_id = rems.process_id and b.slot > rems.slot),
+  stays as (select c.process_id, c.slot as s, least(coalesce((select min(x.slot) from node_ev x where x.node_id = c.target and x.slot > c.slot), 1152921504606846976),
+      coalesce((select min(y.slot) from rems y where y.target = c.target and y.process_id = c.process_id and y.slot > c.slot), 1152921504606846976)) as e
     from c where type = 'process_added' and n_type = 'land_added'),
-  hit as (select distinct c.slot from c join stays on c.process_id = stays.process_id and c.slot > stays.s and c.slot < stays.e where c.type = 'process_updated'),
+  reached as (select distinct c.slot from c join stays on c.process_id = stays.process_id and c.slot > stays.s and c.slot < stays.e where c.type = 'process_updated'),
   done as (select *, case type when 'land_added' then true when 'land_removed' then coalesce(n_type = 'land_added', false)
       when 'land_updated' then coalesce(n_type = 'land_added', false) when 'process_added' then coalesce(n_type = 'land_added', false)
       when 'process_removed' then coalesce(n_type = 'land_added' and add_slot > n_slot and add_slot > coalesce(rem_slot, 0), false)
-      else slot in (select slot from hit) end as applied from c)
+      else slot in (select slot from reached) end as applied from c)
 """
+)
 
 
 @query("fleet_event_feed", "fx_fleet_events", sql=SQL_FEED + "select slot, type, node_id, process_id from done where applied")

@@ -147,8 +147,7 @@ def score_contact(spark, folder):
 )
 def tier_lead(spark, folder):
     """All contacts; those that could not be scored count as 0."""
-    contacts = fixture(spark, folder, "fx_contacts").select("id")
-    leads = contacts.join(scored(spark, folder).select("id", "score"), "id", "left")
+    leads = transforms.score_contacts(fixture(spark, folder, "fx_contacts"), keep_all=True)
     return transforms.tier_leads(leads).select("id", "tier", "priority")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import documents as doc
 from ..functions.pin import pin
 from ..operators import changelog, logstats, state
-from ..operators.ordered import segment_of
 from ..session import load
 from .fixtures import fixture
 from .ingest import SQL_GENERAL, SQL_PAYMENTS, general_events, payments, text
@@ -329,14 +328,14 @@ def stream_stats(spark, folder):
     "fx_raw",
     "fx_consumers",
     sql="""
-    select consumer, filter_subject, cast(position as bigint) as position, (select count(*) from fx_raw where event_id > c.position and
-      case c.filter_subject when 'river.general.>' then subject like 'river.general.%' when 'river.>' then true
-        else subject = c.filter_subject end) as pending
-    from fx_consumers c""",
+    waiting as (select consumer, count(*) filter (event_id > position) as pending,
+        count(*) filter (event_id > acked and event_id <= position) as ack_pending
+      from fx_consumers c join fx_raw r on case c.filter_subject when 'river.general.>' then subject like 'river.general.%'
+        when 'river.>' then true else subject = c.filter_subject end group by consumer)
+    select c.*, coalesce(pending, 0) as pending, coalesce(ack_pending, 0) as ack_pending from fx_consumers c left join waiting w on c.consumer = w.consumer""",
 )
 def consumer_lag(spark, folder):
-    consumers = fixture(spark, folder, "fx_consumers").withColumn("position", F.col("position").cast("bigint"))
-    return logstats.consumer_lag(fixture(spark, folder, "fx_raw"), consumers, "event_id")
+    return logstats.consumer_lag(fixture(spark, folder, "fx_raw"), fixture(spark, folder, "fx_consumers"), "event_id")
 
 
 @query(
@@ -376,8 +375,8 @@ def threshold_alert(spark, folder):
 def stock_reorder(spark, folder):
     """500 of each part at first; the order line at which fewer than 100 are left."""
     lines = load(spark, folder, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
-    # A day and a range of order keys: no part can have more lines in one segment than the range.
-    segment = F.struct("l_shipdate", segment_of("l_orderkey", 1 << 24).alias("orders"))
+    # A quarter holds few enough lines of one part for a task, and many enough for a short summary.
+    segment = F.date_trunc("quarter", "l_shipdate")
     rows = logstats.reorder_alerts(
         lines, "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", 500.0, 100.0, segment
     )

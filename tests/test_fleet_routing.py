@@ -102,6 +102,8 @@ def sequential_fleet(rows):
             if ok:
                 procs[(node, process)] = ram
         elif kind == "process_removed":
+            if node is None:
+                node = min((n for n, p in procs if p == process), default=None)
             ok = (node, process) in procs
             procs.pop((node, process), None)
         elif kind == "process_updated":
@@ -124,7 +126,10 @@ def test_fleet_changes(spark, seed, width):
     rows = []
     for i in range(500):
         node = "n0" if rng.random() < 0.4 else f"n{rng.randrange(4)}"
-        rows.append((i * 2 + 1, rng.choice(KINDS), node, f"p{rng.randrange(6)}", rng.randrange(1000)))
+        kind = rng.choice(KINDS)
+        if kind == "process_removed" and rng.random() < 0.5:
+            node = None
+        rows.append((i * 2 + 1, kind, node, f"p{rng.randrange(6)}", rng.randrange(1000)))
     nodes, procs, applied = sequential_fleet(rows)
     df = spark.createDataFrame(rows, CHANGES).repartition(3)
     assert {r.node_id: r.ram for r in fleet.live_nodes(df).collect()} == nodes
@@ -136,13 +141,22 @@ def test_fleet_changes(spark, seed, width):
 
 def test_removal_without_node(spark):
     rows = [
-        (1, "land_added", "n1", None, 1),
-        (2, "process_added", "n1", "p1", 1),
-        (3, "process_added", "n1", "p2", 1),
-        (4, "process_removed", None, "p1", None),
+        (1, "land_added", "n2", None, 1),
+        (2, "land_added", "n1", None, 1),
+        (3, "process_added", "n2", "p1", 1),
+        (4, "process_added", "n1", "p1", 1),
+        (5, "process_added", "n1", "p2", 1),
+        (6, "process_removed", None, "p1", None),  # the copy on n1
+        (7, "process_removed", "n1", "p1", None),  # nothing left there
+        (8, "process_removed", None, "p3", None),  # never ran
+        (9, "land_removed", "n2", None, None),
+        (10, "process_removed", None, "p1", None),  # ended with its node
+        (11, "process_removed", None, None, None),
     ]
-    got = fleet.live_processes(spark.createDataFrame(rows, CHANGES)).collect()
-    assert [r.process_id for r in got] == ["p2"]
+    df = spark.createDataFrame(rows, CHANGES)
+    assert [(r.node_id, r.process_id) for r in fleet.live_processes(df).collect()] == [("n1", "p2")]
+    failed = {r.slot for r in fleet.change_outcomes(df, 2).collect() if not r.applied}
+    assert failed == {7, 8, 10, 11}
 
 
 # --- routing ------------------------------------------------------------------------------
@@ -216,11 +230,14 @@ def test_two_patterns_two_deliveries(spark):
 def test_consumer_lag(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a.x", "a.y", "b.x"])) for i in range(1, 301)]
-    consumers = [("c1", "a.>", 0), ("c2", "a.x", 137), ("c3", "*.x", 299), ("c4", "b.y", 5), ("c5", ">", 900), ("c6", ">", -4)]
+    consumers = [
+        ("c1", "a.>", 0, 0), ("c2", "a.x", 137, 20), ("c3", "*.x", 299, 298), ("c4", "b.y", 5, 1), ("c5", ">", 900, 150), ("c6", ">", -4, -9),
+    ]
     raw = spark.createDataFrame(rows, "pos bigint, subject string")
-    df = spark.createDataFrame(consumers, "consumer string, filter_subject string, position bigint")
-    got = {r.consumer: r.pending for r in logstats.consumer_lag(raw, df, "pos", width=50).collect()}
+    df = spark.createDataFrame(consumers, "consumer string, filter_subject string, position bigint, acked bigint")
+    got = {r.consumer: (r.pending, r.ack_pending) for r in logstats.consumer_lag(raw, df, "pos", width=50).collect()}
     want = {
-        c: sum(1 for i, s in rows if i > p and matches(f, s)) for c, f, p in consumers
+        c: (sum(1 for i, s in rows if i > p and matches(f, s)), sum(1 for i, s in rows if a < i <= p and matches(f, s)))
+        for c, f, p, a in consumers
     }
     assert got == want

@@ -250,7 +250,9 @@ def test_retention_and_order(spark):
     rows = [(i, 1_000 + 10 * i) for i in range(1, 101)]
     df = spark.createDataFrame(rows, "slot bigint, at bigint").withColumn("ts", F.timestamp_seconds("at"))
     assert {r.slot for r in changelog.retain(df, 300, 1000, width=7).collect()} == set(range(70, 101))
-    assert {r.slot for r in changelog.retain(df, 10_000, 12, width=7).collect()} == set(range(89, 101))
+    for keep in (0, 1, 7, 12, 99, 100, 101):
+        assert {r.slot for r in changelog.retain(df, 10_000, keep, width=7).collect()} == set(range(101 - min(keep, 100), 101))
+    assert changelog.retain(df.limit(0), 10_000, 12).collect() == []
     arrived = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 9), (5, 8), (6, 10)], "arrival bigint, slot bigint")
     assert [r.arrival for r in changelog.out_of_order(arrived, "arrival", width=2).orderBy("arrival").collect()] == [3, 5]
 
