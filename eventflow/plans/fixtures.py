@@ -242,10 +242,10 @@ SMALL = {
     "fx_patterns": "select * from (values "
     + ", ".join(f"('{s}','{p}')" for s, p in PATTERNS)
     + ") as t(subscriber, pattern)",
-    "fx_consumers": "select consumer, filter_subject, cast(floor(newest * p / 100) as bigint) as position,"
-    " cast(floor(newest * a / 100) as bigint) as acked from (values "
+    "fx_consumers": "select consumer, filter_subject, cast(floor((select max(event_id) from {events}) * p / 100) as bigint) as position,"
+    " cast(floor((select max(event_id) from {events}) * a / 100) as bigint) as acked from (values "
     + ", ".join(f"('{c}','{f}',{p},{a})" for c, f, p, a in CONSUMERS)
-    + ") as t(consumer, filter_subject, p, a) cross join (select max(event_id) as newest from {events}) as e",
+    + ") as t(consumer, filter_subject, p, a)",
 }
 
 

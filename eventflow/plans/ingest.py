@@ -15,7 +15,6 @@ from .registry import query
 
 # Example settings of the queries.
 SECRET = "whsec_example"
-START_NS = 1_704_067_200_000_000_000
 
 
 def text(value) -> Column:
@@ -249,38 +248,26 @@ def poll_cursor(spark, folder):
     )
 
 
-# --- ticks --------------------------------------------------------------------------------
-
-
-def recorded_ticks(spark, folder, stream=False):
-    """The event arrivals taken as the recorded ticks of a 90 Hz clock."""
-    rows = fixture(spark, folder, "fx_raw", stream).select("event_id")
-    return ticks.ticks(rows, F.col("event_id") + 1, START_NS)
-
-
-@query(
-    "tick_source",
-    "fx_raw",
-    sql=f"select event_id + 1 as seq, {START_NS} + (event_id + 1) * 11111111 as ts_ns, 90 as hz from fx_raw",
-)
-def tick_source(spark, folder):
-    return recorded_ticks(spark, folder).select("seq", "ts_ns", "hz")
+# --- count windows ------------------------------------------------------------------------
 
 
 @query(
     "interval_trigger",
     "fx_raw",
-    sql=f"""
-    fired as (select (event_id + 1) // 90 as n, {START_NS} + (event_id + 1) * 11111111 as ts_ns,
-        cast(round((event_id + 1) * 11111111 / 1e9) as bigint) as up from fx_raw where (event_id + 1) % 90 = 0)
-    select 'heartbeat' as source, n as trigger, '1s' as interval, ts_ns, 'sync' as payload,
+    sql="""
+    counted as (select row_number() over (order by event_id) as seq, ts, (epoch_us(ts) - epoch_us((select min(ts) from fx_raw))) / 1e6 as up from fx_raw),
+    fired as (select seq // 90 as n, epoch_us(ts) as ts_us, cast(round(up) as bigint) as up from counted where seq % 90 = 0)
+    select 'heartbeat' as source, n as trigger, '1s' as interval, ts_us, 'sync' as payload,
       cast(90 as bigint) as beat_count,
       case when up >= 3600 then (up // 3600)||'h'||((up % 3600) // 60)||'m'||(up % 60)||'s'
            when up >= 60 then (up // 60)||'m'||(up % 60)||'s' else up||'s' end as uptime
     from fired""",
 )
 def interval_trigger(spark, folder):
-    return ticks.triggers(recorded_ticks(spark, folder), "heartbeat", "1s", payload="sync")
+    """Fires at every 90th recorded event, with that event's time."""
+    rows = fixture(spark, folder, "fx_raw").select("event_id", "ts")
+    fired = ticks.triggers(ticks.numbered(rows, "event_id"), "heartbeat", "1s", payload="sync")
+    return fired.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
 
 
 # --- envelopes ----------------------------------------------------------------------------

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import work_folder
-from ..sources import ticks
 from ..streaming import jobs
 from .fixtures import fixture
-from .ingest import recorded_ticks, text
+from .ingest import text
 from .registry import query
 from .states import SQL_REVISIONS, log
 
@@ -66,11 +65,12 @@ def stream_quarantine(spark, folder):
 @query(
     "stream_count_window",
     "fx_raw",
-    sql="select (event_id + 1) // 180 as trigger, cast(180 as bigint) as beat_count, '2s' as interval from fx_raw where (event_id + 1) % 180 = 0",
+    sql="""
+    counted as (select row_number() over (order by event_id) as seq, ts from fx_raw)
+    select seq // 180 as trigger, cast(180 as bigint) as beat_count, '2s' as interval, epoch_us(ts) as ts_us from counted where seq % 180 = 0""",
 )
 def stream_count_window(spark, folder):
-    """A trigger every 180 ticks of a tick stream."""
-    base = work_folder(spark, "ticks")
-    fired = ticks.triggers(recorded_ticks(spark, folder, stream=True), "heartbeat", "2s")
-    jobs.run_available(fired.drop("payload"), f"{base}/data", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/data").select("trigger", "beat_count", "interval")
+    """A trigger at every 180th event of a stream, counted on from batch to batch."""
+    rows = fixture(spark, folder, "fx_raw", stream=True).select("event_id", "ts")
+    table = jobs.count_windows(rows, "event_id", work_folder(spark, "ticks"), "heartbeat", "2s")
+    return spark.read.parquet(table).select("trigger", "beat_count", "interval", F.unix_micros("ts").alias("ts_us"))

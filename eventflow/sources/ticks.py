@@ -1,4 +1,4 @@
-"""Ticks of a fixed rate, and triggers that fire every N ticks."""
+"""Count windows: recorded rows are numbered, and a trigger fires at every N-th."""
 
 from __future__ import annotations
 
@@ -6,25 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import interval_seconds, interval_text
+from ..operators.ordered import number_rows
 
 # Default rate and default interval.
 DEFAULT_HZ = 90
 DEFAULT_INTERVAL = "60s"
 
 
-def tick_period_ns(hz: int = DEFAULT_HZ) -> int:
-    return 1_000_000_000 // hz
-
-
-def ticks(rows: DataFrame, seq: Column, start_ns: int, hz: int = DEFAULT_HZ) -> DataFrame:
-    """Stamp rows numbered by ``seq`` (1, 2, ..) as ticks ``seq, ts_ns, hz``."""
-    return rows.withColumns(
-        {
-            "seq": seq,
-            "ts_ns": F.lit(start_ns) + seq * F.lit(tick_period_ns(hz)),
-            "hz": F.lit(hz),
-        }
-    )
+def numbered(rows: DataFrame, position: str, last_seq: int = 0) -> DataFrame:
+    """Recorded rows with ``seq`` 1, 2, .. after ``last_seq``, whatever gaps the position has."""
+    return number_rows(rows, position, "seq", last_seq)
 
 
 def tick_stream(spark: SparkSession, hz: int = DEFAULT_HZ) -> DataFrame:
@@ -47,21 +38,26 @@ def ticks_per_trigger(interval: str = DEFAULT_INTERVAL, hz: int = DEFAULT_HZ) ->
 
 
 def triggers(
-    tick_rows: DataFrame,
+    rows: DataFrame,
     source: str,
     interval: str = DEFAULT_INTERVAL,
     hz: int = DEFAULT_HZ,
     payload: str | None = None,
+    started: Column | None = None,
 ) -> DataFrame:
-    """One record per N ticks. Ticks are numbered without gaps, so no window is needed."""
+    """One record per N numbered rows (``seq, ts``), with the time of the row that fires it.
+
+    The uptime is rounded to seconds since ``started``, by default the earliest time of the rows.
+    """
     n = ticks_per_trigger(interval, hz)
-    seq = F.col("seq")
-    up = F.round(seq * F.lit(tick_period_ns(hz)) / F.lit(1e9)).cast("bigint")
-    return tick_rows.where(seq % n == 0).select(
+    if started is None:
+        started = rows.agg(F.min("ts").alias("ts")).scalar()
+    up = F.round((F.unix_micros("ts") - F.unix_micros(started)) / 1e6).cast("bigint")
+    return rows.where(F.col("seq") % n == 0).select(
         F.lit(source).alias("source"),
-        F.floor(seq / n).cast("bigint").alias("trigger"),
+        F.floor(F.col("seq") / n).cast("bigint").alias("trigger"),
         F.lit(interval).alias("interval"),
-        F.col("ts_ns"),
+        "ts",
         F.lit(payload).cast("string").alias("payload"),
         F.lit(n).cast("bigint").alias("beat_count"),
         interval_text(up).alias("uptime"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..operators import state
 from ..operators.ordered import SEGMENT_WIDTH
-from ..sources import rawlog
+from ..sources import rawlog, ticks
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
@@ -100,6 +100,30 @@ def apply_log(log_stream: DataFrame, folder: str, width: int = SEGMENT_WIDTH) ->
     return table, done
 
 
+def count_windows(stream: DataFrame, position: str, folder: str, source: str, interval: str, hz: int = ticks.DEFAULT_HZ) -> str:
+    """Fire a trigger at every N-th row of a stream; returns the path of the triggers.
+
+    Rows must arrive in the order of ``position`` across micro-batches. Each batch leaves its number
+    of rows and first time, from which later ones count on; only earlier batches are read, so a batch
+    that runs twice writes the same again.
+    """
+    fired, totals = f"{folder}/triggers", f"{folder}/totals"
+    spark = stream.sparkSession
+    spark.createDataFrame([], "rows bigint, first timestamp").write.mode("ignore").parquet(f"{totals}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        read = batch.sparkSession.read.parquet(totals).where(F.col("batch") < batch_id)
+        own = batch.agg(F.count("*").alias("rows"), F.min("ts").alias("first"))
+        own.write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
+        before = read.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("first").alias("first")).head()
+        started = F.least(F.lit(before["first"]), batch.agg(F.min("ts").alias("ts")).scalar())
+        rows = ticks.triggers(ticks.numbered(batch, position, before["rows"]), source, interval, hz, started=started)
+        rows.write.mode("overwrite").parquet(f"{fired}/batch={batch_id}")
+
+    run_batches(stream, write, f"{folder}/checkpoint")
+    return fired
+
+
 def track_status(updates: DataFrame, position: str, folder: str) -> str:
     """Keep entities up to date from a stream of status events; returns the table's path.
 

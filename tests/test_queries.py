@@ -48,7 +48,7 @@ def test_known_answers(spark):
     assert counts == {"applied": 6737, "rejected_exists": 1573, "created_by_update": 1256, "noop_delete": 434}
     assert all_queries.QUERIES["state_fold"](spark, folder).count() == 120
     live = all_queries.QUERIES["fleet_apply_events"](spark, folder).groupBy("kind").count().collect()
-    assert {r.kind: r["count"] for r in live} == {"node": 18, "process": 30}
+    assert {r.kind: r["count"] for r in live} == {"node": 18, "process": 26}
 
 
 NO_LOOP = [n for n in all_queries.QUERIES if not n.startswith("stream_") and n != "state_fold_stream"]

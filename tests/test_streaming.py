@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -156,6 +157,21 @@ def test_quarantine_keeps_every_row(spark, tmp_path):
     assert out.where("status = 'bad' and reject_reason is null").count() == 0
 
 
+def test_count_windows(spark, tmp_path):
+    """Triggers count on from batch to batch and across restarts, over positions with gaps."""
+    source = str(tmp_path / "in")
+    schema = "pos bigint, ts timestamp"
+    seen = []
+    for part in range(3):
+        rows = [(i * i, datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(part * 7, part * 7 + 7)]
+        seen += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        fired = jobs.count_windows(stream, "pos", str(tmp_path / "job"), "beat", "1s", 4)
+    got = [(r.trigger, r.ts, r.uptime) for r in spark.read.parquet(fired).orderBy("trigger").collect()]
+    assert got == [(k, seen[4 * k - 1][1], f"{4 * k - 1}s") for k in range(1, 6)]
+
+
 def test_tick_stream_shape(spark):
     stream = ticks.tick_stream(spark, 5)
     assert stream.isStreaming and stream.columns == ["seq", "ts_ns", "hz"]
