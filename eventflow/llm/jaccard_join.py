@@ -41,8 +41,10 @@ from .common import saved
 from .components import connected
 
 U = np.uint64
-#: Distinct words whose hashes a worker remembers.
-KNOWN_WORDS = 500_000
+#: Distinct words whose hashes a worker remembers (some 20 MB; forgotten words are hashed again).
+KNOWN_WORDS = 100_000
+#: Documents whose sets a worker holds before it hands them on.
+HELD = 500
 #: Classes whose texts are fetched by a broadcast of their keys (16 bytes each), else by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SKETCH_WORDS = 8
@@ -164,12 +166,18 @@ def parity(grams: np.ndarray) -> np.ndarray:
 # --- tables
 
 
+def _pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        for at in range(0, max(len(part), 1), HELD):
+            yield part.iloc[at : at + HELD]
+
+
 def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """(key, text hash, size, class, signatures, parity bits) of every document."""
 
     @F.pandas_udf("size long, id long, sigs array<long>, bits array<long>")
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
+        for texts in _pieces(parts):
             rows = []
             for t in texts:
                 g = ngram_set(t, n)
@@ -185,7 +193,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> Da
 
     @F.pandas_udf("array<long>")
     def grams_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+        for texts in _pieces(parts):
             yield pd.Series([ngram_set(t, n).view(np.int64) for t in texts])
 
     # A sized side: 16 bytes a key up to BROADCAST_KEYS of them; beyond, Spark shuffles both.
