@@ -4,8 +4,9 @@ A bounded sample of the vectors gets a neighbour graph, which is cut into balanc
 splits along principal directions, then moves that put neighbours into one part within its room. A
 small network learns to say which parts a vector's neighbours lie in. It places every row in its most
 probable partition and routes each query to its several most probable ones. How many is measured: a
-bounded set of trial vectors is compared with all rows by brute force, and the least number of
-partitions is taken that holds ``RECALL`` of their true neighbours. Candidates are scored exactly.
+bounded set of trial vectors, none of which the router was trained on, is compared with all rows by brute
+force, and the least number of partitions is taken that holds ``RECALL`` of their true neighbours.
+Candidates are scored exactly. Tables of fewer than ``LEAST_ROWS`` vectors are one partition.
 
 Equal vectors are indexed once for each of their k + 1 smallest ids, which are the only ones that can
 be among k nearest, and equal queries are searched once, so copies cost nothing. Rows and queries of a
@@ -24,14 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, saved
+from .common import saved
 
 SAMPLE, TRIALS, GRAPH, RECALL = 4000, 200, 10, 0.97
-ROWS_PER_PARTITION, MOST_PARTITIONS = 1500, 256
+ROWS_PER_PARTITION, MOST_PARTITIONS, LEAST_ROWS = 1500, 256, 200
 ROW_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -172,19 +174,40 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return fine.groupBy("id").agg(F.min(F.transform("vec", lambda x: x + F.lit(0.0))).alias("vec"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, <key>, score): the k nearest of every row for which the column ``is_query``
-    (of ``id``) holds, among all others."""
-    spark = vectors.sparkSession
-    rows = saved(usable(vectors, key, vector), "vectors")
-    ranked = rows.withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
-    index = saved(ranked, "index")
-    total = index.count()
-    wanted = (total / ROWS_PER_PARTITION) if total else 0
-    parts = 1 << max(0, min(int(np.log2(max(wanted, 1))), MOST_PARTITIONS.bit_length() - 1))
-    firsts = index.where("copy = 1")
-    taken = sorted((r["id"], r["vec"]) for r in bounded_sample(firsts, "id", sample).collect()) if parts > 1 else []
-    parts = parts if len(taken) >= 8 * parts else 1
+def parts_for(total: int) -> int:
+    """Partitions for so many indexed rows, a power of two: about a fifth of the root of the rows, and in
+    larger tables one for each ROWS_PER_PARTITION."""
+    if total < LEAST_ROWS:
+        return 1
+    return 1 << min(int(np.log2(max(total**0.5 / 5, total / ROWS_PER_PARTITION, 2))), MOST_PARTITIONS.bit_length() - 1)
+
+
+def split_sample(firsts: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Two bounded sets of rows without a row in common, by the hash of the id: at most about ``sample``
+    to train on and TRIALS to measure on; of small tables four fifths and one fifth."""
+    total, span = max(firsts.count(), 1), 1 << 30
+    train = int(span * min(0.8, sample / total))
+    trial = int(span * min(0.2, TRIALS / total))
+    h = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(span))
+    return firsts.where(h < train), firsts.where(h >= span - trial)
+
+
+@dataclass
+class Layout:
+    """Rows by partition, the router (none for a single partition), sizes, partitions to probe."""
+
+    placed: DataFrame
+    router: Broadcast
+    sizes: np.ndarray
+    probes: int
+
+
+def lay_out(index: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL) -> Layout:
+    """Learns the partitions of the indexed rows (id, vec, copy) and how many to probe."""
+    spark = index.sparkSession
+    parts = parts_for(index.count())
+    taken, trials = ([sorted((r["id"], r["vec"]) for r in s.collect()) for s in split_sample(index.where("copy = 1"), sample)] if parts > 1 else ([], []))
+    parts = parts if len(taken) >= 8 * parts and trials else 1
     x = np.array([v for _, v in taken], np.float64)
     router = spark.sparkContext.broadcast(learn_router(x, parts) if parts > 1 else None)
 
@@ -197,7 +220,19 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
     sizes = np.zeros(parts, np.int64)
     for r in placed.groupBy("part").count().collect():  # one row a partition
         sizes[r["part"]] = r["count"]
-    probes = _probes(placed, x[:: max(1, len(x) // TRIALS)], router.value, parts, k, recall) if parts > 1 else 1
+    probes = _probes(placed, np.array([v for _, v in trials], np.float64), router.value, parts, k, recall) if parts > 1 else 1
+    return Layout(placed, router, sizes, probes)
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, <key>, score): the k nearest of every row for which the column ``is_query``
+    (of ``id``) holds, among all others."""
+    spark = vectors.sparkSession
+    rows = saved(usable(vectors, key, vector), "vectors")
+    ranked = rows.withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
+    index = saved(ranked, "index")
+    layout = lay_out(index, k, sample, recall)
+    placed, router, sizes, probes, parts = layout.placed, layout.router, layout.sizes, layout.probes, len(layout.sizes)
 
     queries = rows.where(is_query)
     distinct = queries.groupBy("vec").agg(F.min("id").alias("q"))

@@ -324,6 +324,28 @@ def test_neighbours(spark):
     assert all(abs(s - dict(expected[q]).get(i, s)) < 1e-12 for q in picked for i, s in found[q])
 
 
+def test_neighbours_are_routed_through_partitions(spark):
+    assert [ann.parts_for(n) for n in (0, 199, 500, 2000, 50_000, 10**9)] == [1, 1, 4, 8, 32, 256]
+    small = ann.usable(table(spark, "/root/testdata/sf0.1", "embeddings"), "vec_id", "embedding").withColumn("copy", F.lit(1))
+    assert len(ann.lay_out(small, 5).sizes) == 8
+    # Forty clouds of a few dimensions each.
+    g = np.random.default_rng(6)
+    made = [(i, (c + g.normal(0, 0.3, 24)).tolist()) for i, c in enumerate(np.repeat(g.normal(size=(40, 24)), 75, axis=0))]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(4)
+    index = ann.usable(df, "vec_id", "embedding").withColumn("copy", F.lit(1))
+    train, trials = ({r.id for r in s.collect()} for s in ann.split_sample(index, ann.SAMPLE))
+    assert len(train) > 2200 and len(trials) > 100 and not train & trials
+    layout = ann.lay_out(index, 5)
+    assert len(layout.sizes) == 8 and min(layout.sizes) > 0 and layout.probes < 8
+    # Queries that the router was not trained on, and that chose no number of partitions.
+    unseen = sorted({i for i, _ in made} - train - trials)
+    expected = ann.brute_force(dict(made), unseen, 5)
+    found: dict = {}
+    for r in ann.search(df, F.col("id").isin(unseen)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(unseen) > 100 and np.mean([len(found[q] & {i for i, _ in expected[q]}) / 5 for q in unseen]) >= 0.9
+
+
 def test_neighbours_on_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [0.0, 1.0], 1), (7, [None, 1.0], 1), (None, [1.0, 1.0], 1), (8, [1.0], 1), (1, [1.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
