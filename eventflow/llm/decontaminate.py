@@ -10,8 +10,9 @@ scaled to unit variance.
 A second pass slides over every document, for each benchmark length class with windows of that
 length, and takes windows whose cosine with an item reaches ``COSINE`` as candidates. A candidate
 counts if the longest common subsequence of the item's and the window's words covers ``OVERLAP`` of the
-item, and that of the item's answer (its last line, or its last third) ``ANSWER`` of the answer. Word
-order is kept and gaps are free, so paraphrases that change or insert words are found as well.
+item. Of an item that carries a question and an answer (``answer_of``), an overlap below ``STRONG`` counts
+only if ``ANSWER`` of the answer is covered too; other items have no answer (null). Word order is kept and
+gaps are free, so paraphrases that change or insert words, and copies that lack a part, are found as well.
 
 Defined results: null and empty texts have no hits; items that are null or shorter than ``MIN_WORDS``
 words take no part; repeated items are reported each, repeated documents each; an item found several
@@ -20,6 +21,7 @@ times in a document is one row, its best window, ties to the first; empty tables
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,7 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
-COSINE, OVERLAP, ANSWER, MIN_WORDS = 0.4, 0.6, 0.5, 5
+COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.4, 0.6, 0.8, 0.5, 5
+#: Marks of a last line that answers, and of a line before it that asks.
+ANSWERS = re.compile(r"\s*(?:answer|a|solution|respuesta|réponse|antwort)\s*[:=)]", re.I)
+ASKS = re.compile(r"[?？؟][\s\"'”»)\]]*$|^\s*(?:question|q|problem|pregunta|frage)\s*[:=)]", re.I)
 #: Items that are broadcast at once (about 10 kB each); larger benchmarks are searched in parts.
 ITEMS_AT_ONCE = 1000
 #: Documents are taken together up to about so many characters; hashes and sums of longer ones go slice by slice.
@@ -248,9 +253,18 @@ def item_of(key: int | None, text: str | None) -> Item | None:
     words = words_of(text)
     if len(words) < MIN_WORDS:
         return None
-    lines = [x for x in (text or "").split("\n") if words_of(x)]
-    answer = words_of(lines[-1]) if len(lines) > 1 else words[-max(1, len(words) // 3) :]
-    return Item(key, words, answer)
+    return Item(key, words, answer_of(text or ""))
+
+
+def answer_of(text: str) -> list[bytes]:
+    """Words of the last line, if it is marked as an answer or a line before it asks; else none."""
+    lines = [x for x in text.split("\n") if words_of(x)]
+    if len(lines) < 2:
+        return []
+    label = ANSWERS.match(lines[-1])
+    if not label and not any(ASKS.search(x) for x in lines[:-1]):
+        return []
+    return words_of(lines[-1][label.end() :] if label else lines[-1])
 
 
 def masks_of(pattern: list[bytes]) -> dict[bytes, int]:
@@ -333,8 +347,8 @@ class Searcher:
         n = common(masks, size, part, OVERLAP * size)
         if n < OVERLAP * size:
             return None
-        answer = common(answer_masks, len(item.answer), part) / len(item.answer)
-        if answer < ANSWER:
+        answer = common(answer_masks, len(item.answer), part) / len(item.answer) if item.answer else None
+        if answer is not None and answer < ANSWER and n < STRONG * size:
             return None
         return item.key, n, size, n / size, answer, near, lo, hi
 

@@ -131,6 +131,30 @@ def test_decontamination_finds_paraphrases_and_leaves_the_rest(spark):
     assert decontaminate.contaminated(every.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_copies_with_an_edited_or_missing_end(spark):
+    docs = table(spark, SF1, "documents")
+    rows = sorted(table(spark, SF1, "benchmark").collect(), key=lambda r: r.item_id)
+    line = next(r.text for r in rows if len(r.text.splitlines()) == 1 and len(r.text.split()) >= 30).split()
+    ended = next(r.text for r in rows if len(r.text.splitlines()) > 1 and r.item_id > 5).split()
+    asked = " ".join(line[:24]) + "?\nAnswer: " + " ".join(ended[:12])
+    made = [(1, " ".join(line)), (2, " ".join(ended) + "\nLast."), (3, asked)]
+    host = docs.where("lang = 'en' and n_chars > 900").orderBy("doc_id").head().text.split()
+    planted = {
+        -1: line[: -(-len(line) * 2 // 3)],  # two thirds of a one-line item
+        -2: [*ended, "changed"],  # another last word
+        -3: [*line[:24], *ended[:12]],  # question and answer
+        -4: line[:23],  # 0.64 of an item with an answer, without the answer
+    }
+    more = spark.createDataFrame([(i, " ".join(host[:60] + w + host[60:120])) for i, w in planted.items()], "doc_id long, text string")
+    items = spark.createDataFrame(made, "item_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(more)
+    found = {(r.doc_id, r.item_id): r.answer for r in decontaminate.contaminated(every, items).collect() if r.doc_id < 0}
+    assert {(-1, 1), (-2, 2), (-3, 3)} <= set(found) and (-4, 3) not in found
+    assert found[-1, 1] is None and found[-2, 2] is None and found[-3, 3] == 1.0
+    assert decontaminate.answer_of("Some prose.\nMore of it.") == decontaminate.answer_of("Is it? Yes.") == []
+    assert decontaminate.answer_of("Is it?\nYes, it is.") == [b"yes", b"it", b"is"] and decontaminate.answer_of("Say it.\nA: Yes") == [b"yes"]
+
+
 def test_common_subsequence():
     g = np.random.default_rng(2)
     for _ in range(200):
