@@ -3,9 +3,11 @@
 A page is read as a sequence of tags and runs of words. Every tag scores negative, every word
 positive, unless it stands inside elements that the labelled pages show around menus, adverts,
 comments and the like; one linear scan then finds the contiguous region with the highest sum. Inside
-that region runs in such elements are left out. Weights come from labelled pages: a logistic
-regression of "is main text" on the names, classes, ids and roles of the open elements weighs words,
-and log odds of a tag standing inside or outside main text weigh tags.
+that region runs in such elements are left out. However long they are, all such elements between two
+words of main text cost ``SKIP`` once, tags and runs together, so only tags outside them end a region.
+Weights come from labelled pages: a logistic regression of "is main text" on the names, classes, ids
+and roles of the open elements weighs words, and log odds of a tag standing inside or outside main
+text weigh tags.
 
 Scripts, styles, the head and comments in the markup never count as words. White space is one space,
 character references are decoded, an element that HTML treats as a block parts words.
@@ -41,7 +43,7 @@ BLOCK = frozenset(
 )
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCK - frozenset("body br button caption dd dt frameset head html legend li option optgroup select summary tbody td textarea tfoot th thead tr".split())
-#: Cost of a left-out run inside a region.
+#: Cost of all that is left out between two words of a region.
 SKIP = 0.5
 
 
@@ -52,7 +54,8 @@ GOOD, BAD = 0.8, -1.0
 
 @dataclass
 class Run:
-    """Words between two tags, or a tag (``words`` 0)."""
+    """Words between two tags, or a tag (``words`` 0); ``keys`` are those of the open elements, a tag's
+    own element included."""
 
     tag: str = ""
     words: int = 0
@@ -102,31 +105,33 @@ def read_page(page: str) -> Iterator[Run]:
         elif not name:
             continue
         elif m[1] or m[4]:
+            keys = stack[-1][1] if stack else ()
             if opened[name]:
                 while stack:
-                    top = stack.pop()[0]
+                    top, keys = stack.pop()
                     opened[top] -= 1
                     if top == name:
                         break
-            yield Run(tag=name, block=name in BLOCK)
+            yield Run(tag=name, keys=keys, block=name in BLOCK)
         else:
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else end
-                yield Run(tag=name, block=name in BLOCK)
+                yield Run(tag=name, keys=stack[-1][1] if stack else (), block=name in BLOCK)
                 continue
             if name in ENDS_P and opened["p"]:
                 _close(stack, opened, "p")
             elif name == "li" and stack and stack[-1][0] == "li":
                 _close(stack, opened, "li")
-            yield Run(tag=name, block=name in BLOCK)
+            above = keys = stack[-1][1] if stack else ()
             if name not in VOID:
-                above = stack[-1][1] if stack else ()
                 # A header inside the article is the article's own.
                 key = "article header" if name == "header" and ("article" in above or "main" in above) else name
                 new = tuple(k for k in element_keys(key, m[3] or m[6] or "") if k not in above)
-                stack.append((name, above + new if new else above))
+                keys = above + new if new else above
+                stack.append((name, keys))
                 opened[name] += 1
+            yield Run(tag=name, keys=keys, block=name in BLOCK)
 
 
 def _close(stack: list, opened: Counter, name: str) -> None:
@@ -162,13 +167,18 @@ class Extractor:
         total, begin = 0.0, 0
         tags = self.weights.tags
         kept = [False] * len(runs)
+        skipped = False
         for i, r in enumerate(runs):
-            if r.tag:
-                total += tags.get(r.tag, -0.2)
-            elif r.words:
+            if r.tag or r.words:
                 score = self.word_score(r.keys)
-                kept[i] = score > 0
-                total += min(score, 1.0) * r.words if score > 0 else -SKIP
+                if score <= 0:
+                    total -= 0 if skipped else SKIP
+                    skipped = True
+                elif r.tag:
+                    total += tags.get(r.tag, -0.2)
+                else:
+                    kept[i], skipped = True, False
+                    total += min(score, 1.0) * r.words
             if total <= 0:
                 total, begin = 0.0, i + 1
             elif total > best:

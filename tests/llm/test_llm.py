@@ -335,6 +335,24 @@ def test_page_shapes(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_long_left_out_elements_do_not_split_main_text():
+    extract = html_extract.Extractor(html_extract.learn()).extract
+    intro, end = "A short introduction of a few words.", "The last words of it."
+    items = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(200))
+    for apart in (
+        f"<nav><ul>{items}</ul></nav>",
+        f"<div class='share'><ul>{items}</ul></div>",
+        "".join(f"<div class='comment'><p>nice {i}</p></div>" for i in range(200)),
+        f"<aside><h3>Adverts</h3><ul>{items}</ul>",  # unclosed
+    ):
+        close = "" if apart.endswith("</nav>") or apart.endswith("</div>") else "</aside>"
+        page = f"<article><h1>Title</h1><p>{intro}</p>{apart}{close}<p>{'story ' * 300}</p>{apart}{close}<p>{end}</p></article>"
+        assert extract(page) == f"Title {intro} {'story ' * 300}{end}"
+    assert extract(f"<nav><ul>{items}</ul></nav>") == ""
+    # Tags outside such elements still end a region.
+    assert extract(f"<p>one two</p>{'<hr>' * 100}<p>{'story ' * 30}</p>") == ("story " * 30).strip()
+
+
 def test_neighbours(spark):
     folder = "/root/testdata/sf0.1"
     vectors = {r.vec_id: r.embedding for r in table(spark, folder, "embeddings").collect()}
