@@ -7,7 +7,7 @@ Texts of any length are read in slices of bounded size, of which only the blocks
 
 The network is trained on the driver by Adam on a bounded sample of labelled documents
 (``MAX_TRAIN`` rows of at most ``MAX_TRAIN_CHARS`` characters; longer ones are not trained on). Both
-classes weigh the same in training; the log odds then lean by ``LEAN`` towards good documents.
+classes weigh the same in training, and the threshold applies to that probability as it is.
 
 Defined results: null and empty text are one block of padding and get a score like any other;
 repeated rows get equal scores; labels other than 0 and 1 and null labels are not learned from; with
@@ -32,8 +32,6 @@ MAX_TRAIN_CHARS = 6000
 DIM, WIDTH, FILTERS, BLOCK = 6, 6, 16, 128
 SLICE = BLOCK * 512
 THRESHOLD = 0.3
-#: Added to the balanced log odds, so that doubtful documents are kept.
-LEAN = 0.3
 
 
 @dataclass
@@ -117,7 +115,6 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 32
             mb += 0.1 * (gb - mb)
             vb += 0.001 * (gb * gb - vb)
             net.out_bias -= now * (mb / (1 - 0.9**step)) / ((vb / (1 - 0.999**step)) ** 0.5 + 1e-8)
-    net.prior = LEAN
     return net
 
 

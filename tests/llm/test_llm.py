@@ -240,6 +240,18 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.45
 
 
+def test_quality_is_not_shifted(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    net = quality.fit(docs, labels)
+    assert net.prior == 0
+    held = docs.join(labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0), "doc_id")
+    rows = quality.score(held, net).collect()
+    # Measured: 0.9986 and 0.082.
+    assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.99
+    assert np.mean([r.predicted for r in rows if r.quality == 0]) < 0.1
+
+
 def test_quality_reads_whole_texts_and_odd_rows(odd):
     net = quality.train(["good words here and there"] * 20 + ["###!!! ***"] * 20, [1] * 20 + [0] * 20)
     long = "good words here and there " * 20_000
