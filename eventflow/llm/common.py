@@ -40,3 +40,10 @@ def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 7) -> DataFrame:
     span = 1 << 30
     limit = int(span * (n / total))
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(span)) < limit)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

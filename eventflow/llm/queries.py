@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, jaccard_join, language, mixing, pii, quality, token_files, url_filter
-from .common import fold, table
+from . import ann, decontaminate, html_extract, jaccard_join, language, mixing, periodic_runs, pii, prefix_trie, quality, token_counts, token_files, url_filter
+from .common import WORD, fold, table
 
 #: (host, path, verdict); the longest rule that fits a url counts.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -60,8 +60,37 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048).drop("text")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten repeat some of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words))  # null for all others
+    n = F.size("words")
+    docs = docs.withColumns({"a": F.when(n > 0, (g % n).cast("int")), "n": n})
+    docs = docs.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (g % 8 + 3)) + 1).cast("int"))
+    at = lambda i: F.element_at("words", F.col("a") + i % F.col("p") + 1)
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), at)
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), head, block=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_pii, op4_ann, op5_language, op6_jaccard_join, op7_mixing, op8_quality, op9_token_files, op10_html_extract)
+    f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_pii, op4_ann, op5_language, op6_jaccard_join, op7_mixing, op8_quality, op9_token_files, op10_html_extract, op11_token_counts, op12_periodic_runs, op13_prefix_trie)
 }
 
 _LOWER = "translate(regexp_extract({}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,5 +119,33 @@ ranked as (
 taken as (
  select doc_id, r.source, size, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate, shift, n from ranked r join goals g on r.source is not distinct from g.source)
 select doc_id, source, size, source_size, target, cast(least(floor(shift + rate * n) - floor(shift + rate * (n - 1)), ceil(rate)) as bigint) * size as taken from taken
+""",
+    # crc32 bit by bit through a table of 256 entries, then the trie by lists of turns.
+    "op13_prefix_trie": """
+with bytes as (
+ select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+convs as (
+ select conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 6 as h
+ from (select distinct conv_id from conversations where conv_id is not null), bytes),
+told as (
+ select conv_id, list([coalesce(role, ''), coalesce(text, '')] order by turn nulls first) as turns from conversations where conv_id is not null group by conv_id),
+rebuilt as (
+ select c.conv_id, list_concat(coalesce(b.turns[1:h], []), t.turns[h + 1:]) as turns
+ from convs c join told t on c.conv_id = t.conv_id left join told b on b.conv_id = c.conv_id - c.conv_id % 100),
+paths as (
+ select conv_id, unnest(range(len(turns) + 1)) as depth, turns from rebuilt),
+keyed as (
+ select conv_id, depth, sha256(turns[1:depth]::varchar) || '/' || depth as node, case when depth > 0 then sha256(turns[1:depth - 1]::varchar) || '/' || (depth - 1) end as parent,
+  depth = len(turns) as last, case when depth > 0 then length(turns[depth][2]) else 0 end as points from paths),
+nodes as (
+ select node, any_value(depth) as depth, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, max(points) as points,
+  coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '') as ends from keyed group by node),
+kids as (select parent as node, count(*) as n_children from nodes where parent is not null group by parent),
+told_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids k on n.node = k.node),
+sums as (
+ select k.node, count(*) filter (n.n_children = 0) as n_leaves, cast(sum((n.n_convs - 1) * n.points) as bigint) as saved_tokens
+ from told_nodes n join keyed k on k.conv_id = n.conv_id and k.depth <= n.depth group by k.node)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(n.ends) as ends_sha256
+from told_nodes n join sums s on n.node = s.node left join nodes p on n.parent = p.node
 """,
 }
