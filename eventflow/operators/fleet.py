@@ -5,11 +5,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cases import first_case
@@ -105,11 +105,18 @@ def detect_processes(subscriptions: DataFrame) -> DataFrame:
 
 
 def detect_consumers(consumers: DataFrame) -> DataFrame:
-    """One process per (stream, consumer)."""
+    """One process per (stream, consumer); of several rows the one with the smallest filter counts."""
     rows = consumers.where(F.length("filter_subject") > 0)
+    keyed = rows.groupBy("stream_name", F.coalesce("name", F.lit("")).alias("name")).agg(F.min("filter_subject").alias("filter_subject"))
     named = F.coalesce(F.nullif("name", F.lit("")), process_name(F.col("filter_subject")))
-    keyed = rows.dropDuplicates(["stream_name", "name"]).withColumn("n_subjects", F.lit(1).cast("bigint"))
-    return _as_process(keyed, F.col("filter_subject"), named)
+    return _as_process(keyed.withColumn("n_subjects", F.lit(1).cast("bigint")), F.col("filter_subject"), named)
+
+
+def detect_connections(connections: DataFrame, service: str) -> DataFrame:
+    """One process per (connection, subject) of the service's own connections, which carry its name."""
+    inner = connections.where(F.col("name").contains(service) & visible(F.col("subject")))
+    groups = inner.groupBy(F.col("name").alias("connection"), "subject").agg(F.lit(1).cast("bigint").alias("n_subjects"))
+    return _as_process(groups, F.col("subject"), process_name(F.col("subject")))
 
 
 def _as_process(rows: DataFrame, subject: Column, name: Column) -> DataFrame:
@@ -227,10 +234,18 @@ def capacity_by_class(nodes: DataFrame) -> DataFrame:
 
 
 def snapshot(nodes: DataFrame, processes: DataFrame) -> DataFrame:
-    """The whole inventory as (section, id, ram, body) rows; ``body`` is the member's JSON.
+    """The whole inventory as (section, id, ram, body) rows; ``body`` is the member's JSON, and one row
+    of the section ``summary`` holds the totals.
 
     Members stay rows: a fleet is never gathered into one document in one task.
     """
+    totals = summary(nodes, processes)
+    total_row = totals.select(
+        F.lit("summary").alias("section"),
+        F.lit("").alias("id"),
+        F.col("total_ram").alias("ram"),
+        F.to_json(F.struct(*totals.columns)).alias("body"),
+    )
     node_rows = nodes.select(
         F.lit("nodes").alias("section"),
         F.col("node_id").alias("id"),
@@ -243,7 +258,7 @@ def snapshot(nodes: DataFrame, processes: DataFrame) -> DataFrame:
         F.col("ram_allocated").alias("ram"),
         F.to_json(F.struct(*processes.columns)).alias("body"),
     )
-    return node_rows.unionByName(process_rows)
+    return node_rows.unionByName(process_rows).unionByName(total_row)
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
@@ -257,6 +272,43 @@ def changed_since(rows: DataFrame, previous: DataFrame | None) -> bool:
     return previous is None or fingerprint(rows).exceptAll(previous).limit(1).count() > 0
 
 
+#: Buckets of members in a published snapshot.
+MEMBER_BUCKETS = 64
+
+
+def publish(rows: DataFrame, folder: str, version: int, buckets: int = MEMBER_BUCKETS) -> None:
+    """Write a version of the snapshot by buckets of members, with one digest per bucket."""
+    bucket = F.pmod(F.xxhash64("section", "id"), F.lit(buckets)).cast("int")
+    members = f"{folder}/members/version={version}"
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(members)
+    read = rows.sparkSession.read.schema(f"{_MEMBER}, bucket int").parquet(members)
+    row = F.xxhash64("section", "id", "ram", "body")
+    digests = read.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(row).alias("mix"), F.sum(row.cast("decimal(38,0)")).alias("total"))
+    digests.write.mode("overwrite").parquet(f"{folder}/digests/version={version}")
+
+
+_MEMBER = "section string, id string, ram bigint, body string"
+
+
+def published_changes(spark: SparkSession, folder: str, before: int, after: int) -> DataFrame:
+    """What changed between two published versions: ``change`` (added, changed, removed) and the member,
+    for a removed one as it was.
+
+    Digests are compared first; members are read only of the buckets that differ, of both versions.
+    """
+    old, new = (spark.read.parquet(f"{folder}/digests/version={v}") for v in (before, after))
+    same = reduce(and_, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("members", "mix", "total")])
+    pairs = old.alias("o").join(new.alias("n"), F.col("o.bucket") == F.col("n.bucket"), "full_outer").where(~same)
+    differ = [r[0] for r in pairs.select(F.coalesce("o.bucket", "n.bucket")).collect()]  # at most as many as buckets
+    was, now = (
+        spark.read.schema(f"{_MEMBER}, bucket int").parquet(f"{folder}/members/version={v}").where(F.col("bucket").isin(differ)).select("section", "id", F.struct("ram", "body").alias(name))
+        for v, name in ((before, "was"), (after, "now"))
+    )
+    both = was.join(now, ["section", "id"], "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+    return both.select(kind.alias("change"), "section", "id", F.coalesce("now", "was").alias("m")).select("change", "section", "id", "m.*")
+
+
 def listing(subscriptions: DataFrame, rows: int = LISTING_ROWS) -> DataFrame:
     """First subscriptions by subject (a distributed top-k)."""
     return subscriptions.orderBy("subject", "sub_id").limit(rows)

@@ -9,28 +9,46 @@ from .ordered import SEG, SEGMENT_WIDTH, Running, running, segment_of
 from .routing import match_subjects
 
 
+def _uptime() -> Column:
+    """Whole seconds from the first row to the last."""
+    return F.floor(F.unix_micros(F.max("ts")) / 1_000_000) - F.floor(F.unix_micros(F.min("ts")) / 1_000_000)
+
+
 def poll_stats(responses: DataFrame) -> DataFrame:
-    """Per source: polls, failed polls (see ``captures.capture_polls``), last poll time."""
+    """Per source: polls, failed polls (see ``captures.capture_polls``), last poll time and uptime."""
     return responses.groupBy("source").agg(
-        F.count("*").alias("polls"), F.count_if("failed").alias("errors"), F.max("ts").alias("last_poll")
+        F.count("*").alias("polls"), F.count_if("failed").alias("errors"), F.max("ts").alias("last_poll"), _uptime().alias("uptime_s")
     )
 
 
-def trigger_stats(ticks: DataFrame, per_trigger: int) -> DataFrame:
-    """Triggers fired and ticks since the last one."""
+def trigger_stats(beats: DataFrame, per_trigger: int) -> DataFrame:
+    """Per source: triggers fired, beats since the last one, time of the last beat and uptime."""
     n = F.count("*")
-    return ticks.agg(F.floor(n / per_trigger).cast("bigint").alias("triggers"), (n % per_trigger).alias("beats"))
+    return beats.groupBy("source").agg(
+        F.floor(n / per_trigger).cast("bigint").alias("triggers"), (n % per_trigger).alias("beats"), F.max("ts").alias("last_beat"), _uptime().alias("uptime_s")
+    )
 
 
-def stream_stats(raw: DataFrame) -> DataFrame:
-    """Messages and payload bytes per subject, and per stream in rows with subject ``''``."""
+def source_stats(polled: DataFrame, timed: DataFrame) -> DataFrame:
+    """Statistics of polled and timed sources in one table; what a kind does not count is 0."""
+    both = polled.withColumnRenamed("last_poll", "last_at").unionByName(timed.withColumnRenamed("last_beat", "last_at"), allowMissingColumns=True)
+    return both.fillna(0, ["polls", "errors", "triggers", "beats"])
+
+
+def stream_stats(raw: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Messages and payload bytes per subject, and per stream, with its number of consumers, in rows
+    with subject ``''``. Each message adds to two running groups before the shuffle; consumers are
+    counted per stream before they are joined."""
     stream = F.substring_index("subject", ".", 1)
-    return (
+    readers = consumers.groupBy(F.substring_index("filter_subject", ".", 1).alias("stream")).agg(F.count("*").alias("consumers"))
+    counted = (
         raw.withColumn("stream", stream)
         .groupingSets([["stream", "subject"], ["stream"]], "stream", "subject")
         .agg(F.count("*").alias("messages"), F.sum(F.octet_length("data")).cast("bigint").alias("bytes"))
         .withColumn("subject", F.coalesce("subject", F.lit("")))
     )
+    of_stream = F.when(F.col("subject") == "", F.col("consumers"))
+    return counted.join(readers, "stream", "left").withColumn("consumers", F.coalesce(of_stream, F.lit(0)))
 
 
 def consumer_lag(raw: DataFrame, consumers: DataFrame, position: str, width: int = SEGMENT_WIDTH) -> DataFrame:

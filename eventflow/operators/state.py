@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import documents as doc
 from ..functions.subjects import subject_match
 from .changelog import ACTIONS
 from .events import blank
@@ -270,6 +271,28 @@ def status_upsert(updates: DataFrame, position: str, width: int = SEGMENT_WIDTH)
     )
 
 
+def status_documents(updates: DataFrame, stored: DataFrame, position: str, width: int = SEGMENT_WIDTH) -> DataFrame:
+    """Merge status events into the stored entities: ``position, entity, action, data`` for each event.
+
+    An entity that is stored keeps its id, ``created_at`` and all other fields and is updated; one that is
+    not gets its id and ``created_at`` from its first event. Each event then sets status, message and
+    ``last_update``. ``stored`` has one row per ``entity`` with its JSON ``data``; data that is no object
+    counts as an empty one. As an event replaces all that the ones before it set, no event waits for
+    another: the join and one sweep are all it takes.
+    """
+    merged = status_upsert(updates, position, width)
+    old = stored.select("entity", F.col("data").alias("_stored"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    there = F.col("_stored").isNotNull()
+    base = F.when(there, F.when(doc.is_object(F.col("_stored")), F.col("_stored")).otherwise("{}")).otherwise(
+        F.to_json(F.struct(F.col("entity_id").alias("id"), stamp("created_at").alias("created_at")))
+    )
+    fields = {"status": F.col("status"), "last_update": stamp("last_update"), "message": F.col("message")}
+    return merged.join(old, "entity", "left").select(
+        position, "entity", F.when(there, "update").otherwise(F.col("action")).alias("action"), doc.merge_fields(base, fields).alias("data")
+    )
+
+
 def status_compact(updates: DataFrame, position: str) -> DataFrame:
     """First and last status event per entity (one combinable aggregate)."""
     known = updates.where(F.col("entity_id").isNotNull())

@@ -34,6 +34,12 @@ STATUS = (
     """ when 1 then '{"type":"order.shipped","n":'||cast(event_id as string)||'}' else '{"no_type":1}' end"""
 )
 
+# A text inside a JSON string.
+ESCAPED = (
+    "replace(replace(replace(replace(replace(said, chr(92), chr(92)||chr(92)), chr(34), chr(92)||chr(34)),"
+    " chr(10), chr(92)||'n'), chr(13), chr(92)||'r'), chr(9), chr(92)||'t')"
+)
+
 # name -> (table or fixture, expressions, filter)
 FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
     "fx_raw": (
@@ -136,19 +142,29 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
             "'node-'||cast(p_partkey % 110 + 1 as string) as node_id",
             "case p_partkey % 10 when 0 then 'river.stripe.webhook' when 1 then 'river.general.>' when 2 then 'contact.created'"
             " when 3 then 'lead.scored' when 4 then 'payment.completed' when 5 then 'payment.>' when 6 then '*.failed'"
-            " when 7 then '_INBOX.abc' when 8 then 'x.treehouse.y' else 'misc.*' end as subject",
+            " when 7 then '_INBOX.abc' when 8 then case when p_partkey % 20 = 8 then 'payment.treehouse.x' else 'x.treehouse.y' end else 'misc.*' end as subject",
             "case when p_partkey % 3 = 0 then 'workers' else '' end as queue",
             "cast(p_size as bigint)*67108864 as ram_allocated",
         ],
         None,
     ),
-    "fx_chat": (
+    # Whole turns behind a sender in quotes and a backslash, so that every text needs escaping.
+    "fx_said": (
         "conversations",
+        ["conv_id", "turn", "role", "chr(34)||role||chr(34)||' '||chr(92)||' '||text as said"],
+        None,
+    ),
+    "fx_chat": (
+        "fx_said",
         [
             "conv_id",
             "turn",
             "role",
-            """'{"update_id":'||cast(conv_id*1000+turn as string)||case when role='system' then '}' else ',"message":{"message_id":'||cast(turn as string)||',"from":{"id":'||cast(conv_id % 17 as string)||',"first_name":"'||role||'"},"chat":{"id":'||cast(conv_id as string)||',"type":"private"},"date":'||cast(1704067200 + conv_id*60 + turn as string)||',"text":"@bot hello '||cast(turn as string)||'","entities":[{"type":"mention","offset":0,"length":4}]'||case when turn > 0 then ',"reply_to_message":{"message_id":'||cast(turn-1 as string)||'}' else '' end||'}}' end as body""",
+            "said",
+            "cast(floor(length(said) / 2) as bigint) as middle",
+            """'{"update_id":'||cast(conv_id*1000+turn as string)||case when role='system' then '}' else ',"message":{"message_id":'||cast(turn as string)||',"from":{"id":'||cast(conv_id % 17 as string)||',"first_name":"'||role||'"},"chat":{"id":'||cast(conv_id as string)||',"type":"private"},"date":'||cast(1704067200 + conv_id*60 + turn as string)||',"text":"'||"""
+            + ESCAPED
+            + """||'","entities":[{"type":"bold","offset":2,"length":3},{"type":"mention","offset":0,"length":'||cast(length(role) + 2 as string)||'},{"type":"text_mention","offset":'||cast(cast(floor(length(said) / 2) as bigint) as string)||',"length":7}]'||case when turn > 0 then ',"reply_to_message":{"message_id":'||cast(turn-1 as string)||'}' else '' end||'}}' end as body""",
         ],
         None,
     ),
@@ -194,12 +210,20 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
         [
             "event_id as arrival",
             "'e'||cast(user_id as string) as entity",
-            "event_id % 3 as expected_revision",
+            "(event_id * 7 + user_id) % 11 as expected_revision",
             "user_id % 3 as current_revision",
             "'v'||cast(event_id as string) as data",
         ],
         None,
     ),
+    "fx_entities": (
+        "customer",
+        [
+            "'entity-user-'||cast(c_custkey as string) as entity",
+            """'{"id":"user-'||cast(c_custkey as string)||'","created_at":"2023-05-0'||cast(c_custkey % 9 + 1 as string)||'T00:00:00Z","owner":{"name":"'||c_name||'"},"credit":'||cast(c_custkey * 10 as string)||',"status":"old"}' as data""",
+        ],
+        "c_custkey % 3 = 0",
+    ),
     "fx_topics": (
         "events",
         ["event_id", "user_id", "event_type", "'orders.'||cast(user_id as string)||'.'||event_type as subject"],
@@ -217,6 +241,25 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
         ],
         None,
     ),
+    "fx_consumer_rows": (
+        "part",
+        [
+            "'stream-'||cast(p_partkey % 3 as string) as stream_name",
+            "case when p_partkey % 7 = 0 then '' else 'worker-'||cast(p_partkey % 41 as string) end as name",
+            "case p_partkey % 6 when 0 then '' when 1 then 'river.general.>' when 2 then 'contact.created'"
+            " when 3 then 'payment.>' when 4 then 'payment.treehouse.x' else 'x.treehouse.y' end as filter_subject",
+        ],
+        None,
+    ),
+    "fx_connections": (
+        "part",
+        [
+            "case p_partkey % 4 when 0 then 'browser' else 'eventflow-'||cast(p_partkey % 29 as string) end as name",
+            "case p_partkey % 5 when 0 then '_INBOX.abc' when 1 then 'lead.scored' when 2 then 'river.stripe.webhook'"
+            " when 3 then 'payment.completed' else '$SYS.ping' end as subject",
+        ],
+        None,
+    ),
     "fx_snapshot_old": ("part", ["p_partkey as id", "p_name as name"], "p_partkey % 7 <> 0"),
     "fx_snapshot_new": ("part", ["p_partkey as id", "p_name as name"], "p_partkey % 5 <> 0"),
 }

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fleet
+from ..session import work_folder
 from .fixtures import fixture
 from .registry import query
 
-SQL_KIND = """case when starts_with(subject, 'river.') then 'tree'
-      when subject in ('contact.created','lead.scored') or subject like '%treehouse%' then 'treehouse' else 'nim' end"""
+# By the beginning alone, and by the patterns first: a payment subject is a nim whatever else it names.
+SQL_BY_PREFIX = """case when starts_with(subject, 'river.') then 'tree'
+      when starts_with(subject, 'contact.') or starts_with(subject, 'lead.scored') or subject like '%treehouse%' then 'treehouse' else 'nim' end"""
+SQL_KIND = f"case when starts_with(subject, 'payment.') then 'nim' else {SQL_BY_PREFIX} end"
 SQL_PROCESSES = f"""
   seen as (select * from fx_subscriptions where subject <> '' and not regexp_matches(subject, '^[_$]')),
   procs as (select sub_id, coalesce(n.node_id, (select min(node_id) from fx_nodes)) as node_id, {SQL_KIND} as kind, s.ram_allocated
@@ -47,7 +50,7 @@ def node_capability(spark, folder):
     )
 
 
-@query("classify_process", "fx_subscriptions", sql=f"select sub_id, {SQL_KIND} as kind, {SQL_KIND} as by_prefix from fx_subscriptions")
+@query("classify_process", "fx_subscriptions", sql=f"select sub_id, {SQL_KIND} as kind, {SQL_BY_PREFIX} as by_prefix from fx_subscriptions")
 def classify_process(spark, folder):
     subject = F.upper("subject")
     return fixture(spark, folder, "fx_subscriptions").select(
@@ -76,19 +79,35 @@ def drop_internal_subjects(spark, folder):
     return fixture(spark, folder, "fx_subscriptions").where(fleet.visible(F.col("subject"))).select("sub_id", "subject")
 
 
+SQL_NAME = "coalesce(nullif(replace(regexp_replace(regexp_replace(subject, '^river[.]', ''), '[.][>*]$', ''), '.', '-'), ''), 'unknown')"
+
+
 @query(
     "process_dedupe",
     "fx_subscriptions",
+    "fx_consumer_rows",
+    "fx_connections",
     sql=f"""
-    select subject, queue, count(*) as n_subjects, {SQL_KIND} as kind,
-      {SQL_KIND}||'-'||case subject when 'river.stripe.webhook' then 'stripe-webhook' when 'river.general.>' then 'general'
-      when 'payment.>' then 'payment' when 'misc.*' then 'misc' else replace(subject, '.', '-') end as process_id,
-      cast(268435456 as bigint) as ram_allocated
-    from fx_subscriptions where not regexp_matches(subject, '^[_$]') group by subject, queue""",
+    subs as (select 'subscription' as origin, queue as owner, subject, count(*) as n_subjects, {SQL_NAME} as name
+      from fx_subscriptions where not regexp_matches(subject, '^[_$]') group by queue, subject),
+    cons as (select 'consumer', stream_name, min(filter_subject) as subject, 1, name as given
+      from fx_consumer_rows where filter_subject <> '' group by stream_name, name),
+    conns as (select distinct 'connection', name, subject, 1, {SQL_NAME} from fx_connections where contains(name, 'eventflow') and not regexp_matches(subject, '^[_$]')),
+    every_one as (select * from subs union all select * replace (case when given = '' then {SQL_NAME} else given end as given) from cons union all select * from conns)
+    select origin, owner, subject, n_subjects, {SQL_KIND} as kind, {SQL_KIND}||'-'||name as process_id, cast(268435456 as bigint) as ram_allocated from every_one""",
 )
 def process_dedupe(spark, folder):
-    rows = fleet.detect_processes(fixture(spark, folder, "fx_subscriptions"))
-    return rows.select("subject", "queue", "n_subjects", "kind", "process_id", "ram_allocated")
+    """Processes of subscriptions, of consumers and of the service's own connections."""
+    found = {
+        "subscription": (fleet.detect_processes(fixture(spark, folder, "fx_subscriptions")), "queue"),
+        "consumer": (fleet.detect_consumers(fixture(spark, folder, "fx_consumer_rows")).withColumnRenamed("filter_subject", "subject"), "stream_name"),
+        "connection": (fleet.detect_connections(fixture(spark, folder, "fx_connections"), "eventflow"), "connection"),
+    }
+    parts = [
+        rows.select(F.lit(origin).alias("origin"), F.col(owner).alias("owner"), "subject", "n_subjects", "kind", "process_id", "ram_allocated")
+        for origin, (rows, owner) in found.items()
+    ]
+    return fleet.union_processes(*parts)
 
 
 @query(
@@ -151,12 +170,40 @@ def fleet_capacity_by_class(spark, folder):
     "fx_nodes",
     sql=SQL_PROCESSES
     + """select 'nodes' as section, node_id as id, ram_total as ram, hostname as detail from fx_nodes
-    union all select kind||'s', cast(sub_id as varchar), ram_allocated, node_id from procs""",
+    union all select kind||'s', cast(sub_id as varchar), ram_allocated, node_id from procs
+    union all select 'summary', '', (select cast(sum(ram_total) as bigint) from fx_nodes),
+      cast(count(*) filter (kind = 'tree') as varchar)||' trees, '||cast(sum(ram_allocated) as varchar) from procs""",
 )
 def fleet_snapshot(spark, folder):
     rows = fleet.snapshot(nodes(spark, folder), processes(spark, folder))
-    detail = F.coalesce(F.get_json_object("body", "$.hostname"), F.get_json_object("body", "$.node_id"))
-    return rows.select("section", "id", "ram", detail.alias("detail"))
+    part = lambda path: F.get_json_object("body", path)
+    totals = F.concat(part("$.tree_count"), F.lit(" trees, "), part("$.total_allocated"))
+    return rows.select("section", "id", "ram", F.coalesce(part("$.hostname"), part("$.node_id"), totals).alias("detail"))
+
+
+@query(
+    "fleet_snapshot_changes",
+    "fx_subscriptions",
+    "fx_nodes",
+    sql=SQL_PROCESSES
+    + """, moved as (select kind||'s' as section, cast(sub_id as varchar) as id, ram_allocated as ram,
+        case when sub_id % 13 = 0 then 'added' when sub_id % 19 = 0 then 'removed' when sub_id % 17 = 0 then 'changed' end as change from procs)
+    select change, section, id, ram from moved where change is not null
+    union all select 'changed', 'nodes', node_id, ram_total from fx_nodes where s_suppkey % 9 = 0
+    union all select 'changed', 'summary', '', cast(sum(ram_total) as bigint) from fx_nodes""",
+)
+def fleet_snapshot_changes(spark, folder):
+    """Two published versions of the inventory: nodes renamed, processes added, removed and grown."""
+    base, key = work_folder(spark, "inventory"), F.col("process_id")
+    new_nodes, rows = nodes(spark, folder), processes(spark, folder)
+    renamed = F.when(F.substring_index("node_id", "-", -1).cast("int") % 9 == 0, F.concat("hostname", F.lit("-old")))
+    old_nodes = new_nodes.withColumn("hostname", F.coalesce(renamed, F.col("hostname")))
+    ram = F.when((key % 17 == 0) & (key % 19 != 0), F.col("ram_allocated") + 1).otherwise(F.col("ram_allocated"))
+    old_rows = rows.where(key % 13 != 0).withColumn("ram_allocated", ram)
+    new_rows = rows.where((key % 19 != 0) | (key % 13 == 0))
+    fleet.publish(fleet.snapshot(old_nodes, old_rows), base, 1, buckets=8)
+    fleet.publish(fleet.snapshot(new_nodes, new_rows), base, 2, buckets=8)
+    return fleet.published_changes(spark, base, 1, 2).select("change", "section", "id", "ram")
 
 
 @query("fleet_nodes_sorted", "fx_nodes", sql="select node_id, hostname from fx_nodes order by node_id")

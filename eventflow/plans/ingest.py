@@ -184,13 +184,15 @@ def chat_updates(spark, folder, broken=True):
     sql="""
     select conv_id, turn, case when (conv_id + turn) % 13 = 0 then 400 else 200 end as status,
       (conv_id + turn) % 13 <> 0 and role <> 'system' as landed,
-      case when (conv_id + turn) % 13 <> 0 and role <> 'system' then cast(conv_id*1000 + turn as varchar) else '' end as update_id
+      case when (conv_id + turn) % 13 <> 0 and role <> 'system' then cast(conv_id*1000 + turn as varchar) else '' end as update_id,
+      case when (conv_id + turn) % 13 <> 0 and role <> 'system' then said else '' end as text
     from fx_chat""",
 )
 def chat_update_capture(spark, folder):
     rows = captures.capture_chat(chat_updates(spark, folder), "chat", "river.telegram.messages")
-    update_id = text(F.get_json_object("data", "$.body.update_id"))
-    return rows.select("conv_id", "turn", "status", "landed", update_id.alias("update_id"))
+    found = {"update_id": "$.body.update_id", "text": "$.body.message.text"}
+    fields = [text(F.get_json_object("data", p)).alias(n) for n, p in found.items()]
+    return rows.select("conv_id", "turn", "status", "landed", *fields)
 
 
 SQL_CURSORS = """
@@ -451,7 +453,7 @@ def chat_messages(spark, folder):
     "fx_chat",
     sql="""
     select conv_id, turn, 'telegram' as platform, cast(conv_id as varchar) as chat_id, cast(conv_id % 17 as varchar) as user_id,
-      role as username, '@bot hello '||cast(turn as varchar) as text, '@bot' as mentions,
+      role as username, said as text, '"'||role||'"|'||substr(said, middle + 1, 7) as mentions,
       case when turn > 0 then cast(turn - 1 as varchar) else '' end as reply_to, 'private' as chat_type,
       false as has_title,
       strftime(make_timestamp((1704067200 + conv_id*60 + turn) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as timestamp
@@ -467,7 +469,7 @@ def parse_chat(spark, folder):
         "user_id",
         "username",
         "text",
-        F.array_join("mentions", ",").alias("mentions"),
+        F.array_join("mentions", "|").alias("mentions"),
         "reply_to",
         F.col("metadata")["chat_type"].alias("chat_type"),
         F.map_contains_key("metadata", "chat_title").alias("has_title"),

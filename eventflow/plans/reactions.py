@@ -404,16 +404,16 @@ def archive_general(spark, folder):
     "dynamic_subject",
     "fx_chat",
     sql="""
-    select conv_id, turn, 'song.telegram.'||cast(conv_id as varchar)||'.{missing}.'||case when turn % 2 = 0 then 'true' else '1.5' end as subject
+    select conv_id, turn, 'song.telegram.'||cast(conv_id as varchar)||'.{missing}.'||case when turn % 2 = 0 then 'true' else '1.5' end||'.'||said as subject
     from fx_chat""",
 )
 def dynamic_subject(spark, folder):
-    """Chat ids are text in even turns and numbers in odd ones."""
+    """Chat ids are text in even turns and numbers in odd ones; the whole text ends the subject."""
     even = F.col("turn") % 2 == 0
     body = F.when(
-        even, F.to_json(F.struct(F.lit("telegram").alias("platform"), F.col("conv_id").cast("string").alias("chat_id"), F.lit(True).alias("flag")))
-    ).otherwise(F.to_json(F.struct(F.lit("telegram").alias("platform"), F.col("conv_id").alias("chat_id"), F.lit(1.5).alias("flag"))))
-    subject = resolve_subject("song.{platform}.{chat_id}.{missing}.{flag}", doc.decode(body))
+        even, F.to_json(F.struct(F.lit("telegram").alias("platform"), F.col("conv_id").cast("string").alias("chat_id"), F.lit(True).alias("flag"), F.col("said").alias("text")))
+    ).otherwise(F.to_json(F.struct(F.lit("telegram").alias("platform"), F.col("conv_id").alias("chat_id"), F.lit(1.5).alias("flag"), F.col("said").alias("text"))))
+    subject = resolve_subject("song.{platform}.{chat_id}.{missing}.{flag}.{text}", doc.decode(body))
     return fixture(spark, folder, "fx_chat").select("conv_id", "turn", subject.alias("subject"))
 
 
@@ -489,20 +489,21 @@ def chat_events(spark, folder) -> DataFrame:
     sql=f"""
     select conv_id, turn, case when role <> 'system' then cast(conv_id as varchar) else '' end as chat_id,
       case when role <> 'system' then '{responder.CHAT_REPLY}' else '' end as text,
-      case when role <> 'system' then '' else 'medium' end as priority
+      case when role <> 'system' then '' else 'medium' end as priority, case when role <> 'system' then length(said) + length(cast(conv_id as varchar)) + 50 else 0 end as asked
     from fx_chat""",
 )
 def rule_responder(spark, folder):
     """Chat prompts for turns with a message, a lead prompt for the others."""
     prompt = F.when(
         F.col("role") != "system",
-        F.concat(F.lit('Reply as {"platform": "telegram", "chat_id":  "'), F.col("conv_id").cast("string"), F.lit('"}')),
+        F.concat(F.col("said"), F.lit('\nReply as {"platform": "telegram", "chat_id":  "'), F.col("conv_id").cast("string"), F.lit('"}')),
     ).otherwise(F.lit("Should we pursue this lead?"))
     answer = responder.ask_rules(prompt)
     return fixture(spark, folder, "fx_chat").select(
         "conv_id",
         "turn",
         *[text(F.get_json_object(answer, f"$.{f}")).alias(f) for f in ("chat_id", "text", "priority")],
+        F.when(F.col("role") != "system", F.length(prompt)).otherwise(0).cast("bigint").alias("asked"),
     )
 
 
@@ -511,13 +512,14 @@ def rule_responder(spark, folder):
     "fx_chat",
     sql=f"""
     select conv_id, turn, 'song.telegram.'||cast(conv_id as varchar) as subject, cast(conv_id as varchar) as chat_id,
-      '{responder.CHAT_REPLY}' as text
+      '{responder.CHAT_REPLY}' as text, md5('Message from '||role||' (telegram): '||said||case when turn > 0 then ' (reply to '||cast(turn - 1 as varchar)||')' else '' end
+        ||chr(10)||'Answer as {{"platform": "telegram", "chat_id": "'||cast(conv_id as varchar)||'", "text": "..."}}') as asked
     from fx_chat where role <> 'system'""",
 )
 def outbox_messages(spark, folder):
     """Incoming chat to answers on dynamic subjects to the outbox."""
     answers = responder.model_step(chat_events(spark, folder), "chat", CHAT_PROMPT, "song.telegram.{chat_id}")
-    events = answers.select("conv_id", "turn", "subject", F.col("answer").alias("data"), "source")
+    events = answers.select("conv_id", "turn", "subject", F.col("answer").alias("data"), "source", F.md5("prompt").alias("asked"))
     return outbox.messages(events, "song.telegram.>", "telegram")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as doc
 from ..functions.pin import pin
-from ..operators import changelog, logstats, state
-from ..session import load
+from ..operators import chained, changelog, logstats, state
+from ..session import load, work_folder
+from ..streaming import snapshots, statetable, status
 from .fixtures import fixture
 from .ingest import SQL_GENERAL, SQL_PAYMENTS, general_events, payments, text
 from .registry import query
@@ -93,8 +94,13 @@ def revision_assign(spark, folder):
     return state.revisions(log(spark, folder)).select("slot", "entity", "revision")
 
 
-def state_table(spark, folder) -> DataFrame:
-    return state.current(state.revisions(log(spark, folder)))
+#: The entities here are few; a table's buckets go by how many it is to hold.
+FEW_BUCKETS = 4
+
+
+def state_table(spark, folder) -> str:
+    """The state table that a stream over the log maintains; returns its folder."""
+    return statetable.maintain(log(spark, folder, stream=True), work_folder(spark, "state"), FEW_BUCKETS)
 
 
 @query(
@@ -108,7 +114,8 @@ def state_get(spark, folder):
     """One lookup per customer; most customers have no state."""
     contacts = fixture(spark, folder, "fx_contacts")
     asked = contacts.select(F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("entity"))
-    return state.get(state_table(spark, folder), asked).select("entity", "found", text("data").alias("data"), "revision")
+    hit = statetable.get_many(spark, state_table(spark, folder), asked)
+    return hit.select("entity", "found", text("data").alias("data"), "revision")
 
 
 @query("state_keys", "fx_changelog", sql=SQL_REVISIONS + "select entity from cur")
@@ -119,10 +126,19 @@ def state_keys(spark, folder):
 @query(
     "state_watch",
     "fx_changelog",
-    sql=SQL_REVISIONS + "select revision, entity, data from rev where action <> 'delete'",
+    sql=SQL_REVISIONS
+    + """, fed as (select *, lag(action) over w as old_action, lag(data) over w as old from rev window w as (partition by entity order by slot))
+    select revision, entity, data, case when old_action <> 'delete' then old else '' end as before from fed where action <> 'delete'""",
 )
 def state_watch(spark, folder):
-    return state.watch(state.revisions(log(spark, folder)), "*").select("revision", "entity", "data")
+    """The feed of the maintained table, each write with the value it replaced. The first half of the log
+    is delivered twice, which the feed does not show."""
+    base = work_folder(spark, "watch")
+    entries = log(spark, folder)
+    half = entries.agg(F.floor(F.max("slot") / 2)).head()[0]
+    for batch_id, part in enumerate((entries.where(F.col("slot") <= half), entries)):
+        statetable.apply(part, batch_id, base, FEW_BUCKETS)
+    return statetable.watch(spark, base, "*").select("revision", "entity", "data", text("before").alias("before"))
 
 
 @query(
@@ -149,10 +165,14 @@ def state_history(spark, folder):
     from upd full outer join cre on upd.entity = cre.entity""",
 )
 def state_at(spark, folder):
-    """State after three quarters of the log."""
-    entries = log(spark, folder)
-    position = entries.agg(F.floor(F.max("slot") * 3 / 4)).scalar()
-    return state.state_at(entries, position)
+    """State after three quarters of the log, from the last snapshot before and the segments since."""
+    base, entries = work_folder(spark, "snapshots"), log(spark, folder)
+    newest = entries.agg(F.max("slot")).head()[0]
+    width = max(newest // 16, 1)  # some sixteen segments at any size of the log
+    changelog.write_log(entries, f"{base}/log", width)
+    stored = spark.read.parquet(f"{base}/log")
+    snapshots.take(stored, f"{base}/snapshots", every=5, width=width)
+    return snapshots.state_at(stored, f"{base}/snapshots", newest * 3 // 4, width)
 
 
 @query(
@@ -188,13 +208,8 @@ def state_lookup(spark, folder):
     events = fixture(spark, folder, "fx_raw").select(
         "event_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity")
     )
-    rows = state.lookup(events, state_table(spark, folder))
-    return rows.select(
-        "event_id",
-        "entity",
-        text("state_data").alias("state_data"),
-        F.coalesce("state_revision", F.lit(0)).cast("bigint").alias("state_revision"),
-    )
+    rows = statetable.get_many(spark, state_table(spark, folder), events)
+    return rows.select("event_id", "entity", text("data").alias("state_data"), F.col("revision").alias("state_revision"))
 
 
 @query(
@@ -214,14 +229,21 @@ def state_put_delete(spark, folder):
     "cas_resolve",
     "fx_cas",
     sql="""
-    won as (select entity, arrival from fx_cas where expected_revision = current_revision
-      qualify row_number() over (partition by entity order by arrival) = 1)
-    select fx_cas.arrival, fx_cas.entity, case when won.arrival is not null then case when expected_revision = 0 then 'created' else 'updated' end
-      when expected_revision = 0 then 'conflict_exists' else 'conflict_revision' end as outcome
-    from fx_cas left join won on fx_cas.entity = won.entity and fx_cas.arrival = won.arrival""",
+    -- A won attempt is followed by the entity's next attempt that expects one revision more.
+    linked as materialized (select f.arrival, f.entity, f.expected_revision, n.arrival as next from fx_cas f
+      asof left join (select arrival, entity, expected_revision from fx_cas) n on f.entity = n.entity and f.expected_revision + 1 = n.expected_revision and f.arrival < n.arrival),
+    won as (with recursive chain as (
+        select entity, min(arrival) as arrival from fx_cas where expected_revision = current_revision group by entity
+        union all select l.entity, l.next from chain join linked l on chain.arrival = l.arrival where l.next is not null)
+      select chain.entity, chain.arrival, expected_revision + 1 as revision from chain join fx_cas on chain.arrival = fx_cas.arrival),
+    met as (select f.*, w.arrival is not null as hit, coalesce(max(w.revision) over (partition by f.entity order by f.arrival rows between unbounded preceding and 1 preceding),
+        current_revision) as met_revision from fx_cas f left join won w on f.arrival = w.arrival)
+    select arrival, entity, met_revision, case when hit then case when expected_revision = 0 then 'created' else 'updated' end
+      when expected_revision = 0 then 'conflict_exists' else 'conflict_revision' end as outcome from met""",
 )
 def cas_resolve(spark, folder):
-    return state.compare_and_set(fixture(spark, folder, "fx_cas")).select("arrival", "entity", "outcome")
+    """Chains of attempts: each write that wins decides which revision the next ones meet."""
+    return chained.resolve(fixture(spark, folder, "fx_cas")).select("arrival", "entity", "met_revision", "outcome")
 
 
 @query(
@@ -236,29 +258,48 @@ def snapshot_diff(spark, folder):
     return state.snapshot_diff(fixture(spark, folder, "fx_snapshot_old"), fixture(spark, folder, "fx_snapshot_new"))
 
 
-@query(
-    "status_upsert",
-    "fx_raw",
-    sql=SQL_GENERAL
-    + """, upd as (select *, json_extract_string(doc, '$.entity_id') as entity_id from parsed where subject = 'status.update')
-    select event_id, 'entity-'||entity_id as entity, json_extract_string(doc, '$.status') as status, json_extract_string(doc, '$.message') as message,
-      case when row_number() over (partition by entity_id order by event_id) = 1 then 'create' else 'update' end as action,
-      epoch_us(first_value(ts) over (partition by entity_id order by event_id)) as created_us, epoch_us(ts) as updated_us
-    from upd where entity_id is not null""",
+SQL_STATUS = (
+    SQL_GENERAL
+    + """, upd as (select *, 'entity-'||json_extract_string(doc, '$.entity_id') as entity from parsed where subject = 'status.update'
+      and json_extract_string(doc, '$.entity_id') is not null),
+    seen as (select event_id, upd.entity, ts, first_value(ts) over w as first_ts, row_number() over w as n, doc, data as old
+      from upd left join fx_entities e on upd.entity = e.entity window w as (partition by upd.entity order by event_id))
+    select event_id, entity, case when old is not null or n > 1 then 'update' else 'create' end as action,
+      case when old is null then json_extract_string(doc, '$.entity_id') else coalesce(json_extract_string(old, '$.id'), '') end as id,
+      json_extract_string(doc, '$.status') as status, json_extract_string(doc, '$.message') as message,
+      case when old is null then strftime(first_ts, '%Y-%m-%dT%H:%M:%SZ') else json_extract_string(old, '$.created_at') end as created_at,
+      strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as last_update,
+      coalesce(json_extract_string(old, '$.owner.name'), '') as owner, coalesce(json_extract(old, '$.credit')::varchar, '') as credit
+    from seen"""
 )
+
+
+def status_rows(documents: DataFrame, position: str) -> DataFrame:
+    """Fields of the merged documents; owner and credit are none that an event sets."""
+    paths = {c: f"$.{c}" for c in ("id", "status", "message", "created_at", "last_update", "credit")} | {"owner": "$.owner.name"}
+    fields = {c: F.get_json_object("data", p) for c, p in paths.items()}
+    optional = {c: text(fields[c]) for c in ("id", "owner", "credit")}
+    return documents.select(F.col(position).alias("event_id"), "entity", "action", *[c.alias(n) for n, c in (fields | optional).items()])
+
+
+def status_events(spark, folder, stream=False) -> DataFrame:
+    events = general_events(spark, folder, stream).where(F.col("subject") == "status.update")
+    return pin(events, {f: doc.scalar_text(doc.field(F.col("payload"), f)) for f in ("entity_id", "status", "message")})
+
+
+@query("status_upsert", "fx_raw", "fx_entities", sql=SQL_STATUS)
 def status_upsert(spark, folder):
-    events = general_events(spark, folder).where(F.col("subject") == "status.update")
-    fields = {f: doc.scalar_text(doc.field(F.col("payload"), f)) for f in ("entity_id", "status", "message")}
-    rows = state.status_upsert(pin(events, fields), "event_id")
-    return rows.select(
-        "event_id",
-        "entity",
-        "action",
-        "status",
-        "message",
-        F.unix_micros("created_at").alias("created_us"),
-        F.unix_micros("last_update").alias("updated_us"),
-    )
+    """Status events merged into entities, of which many are stored already, with fields of their own."""
+    stored = fixture(spark, folder, "fx_entities").select("entity", "data")
+    return status_rows(state.status_documents(status_events(spark, folder), stored, "event_id"), "event_id")
+
+
+@query("status_upsert_stream", "fx_raw", "fx_entities", sql=SQL_STATUS)
+def status_upsert_stream(spark, folder):
+    """The same in keyed streaming state that starts from the stored entities."""
+    stored = fixture(spark, folder, "fx_entities").select("entity", "data")
+    sink = status.keep_status(status_events(spark, folder, stream=True), "event_id", stored, work_folder(spark, "status"))
+    return status_rows(spark.read.parquet(sink), "position")
 
 
 # --- retention and order ------------------------------------------------------------------
@@ -302,25 +343,31 @@ def slot_order_check(spark, folder):
     "fx_polls",
     sql="""
     select source, count(*) as polls, cast(count(*) filter (status_code is null or body is null or not json_valid(body)) as bigint) as errors,
-      epoch_us(max(ts)) as last_us
-    from fx_polls group by source""",
+      epoch_us(max(ts)) as last_us, 0 as triggers, 0 as beats, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 as uptime_s
+    from fx_polls group by source
+    union all select 'every-'||event_type, 0, 0, epoch_us(max(ts)), count(*) // 180, count(*) % 180,
+      epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 from events group by event_type""",
 )
 def source_stats(spark, folder):
+    """Polled sources, and timed ones that take each kind of event as their beat."""
     rows = fixture(spark, folder, "fx_polls")
     failed = F.col("status_code").isNull() | doc.decode(F.col("body")).isNull()
-    stats = logstats.poll_stats(rows.withColumn("failed", failed))
-    return stats.select("source", "polls", "errors", F.unix_micros("last_poll").alias("last_us"))
+    polled = logstats.poll_stats(rows.withColumn("failed", failed))
+    beats = load(spark, folder, "events").select(F.concat(F.lit("every-"), "event_type").alias("source"), "ts")
+    stats = logstats.source_stats(polled, logstats.trigger_stats(beats, 180))
+    return stats.select("source", "polls", "errors", F.unix_micros("last_at").alias("last_us"), "triggers", "beats", "uptime_s")
 
 
 @query(
     "stream_stats",
     "fx_raw",
+    "fx_consumers",
     sql="""
-    select 'river' as stream, subject, count(*) as messages, cast(sum(octet_length(encode(data))) as bigint) as bytes from fx_raw group by subject
-    union all select 'river', '', count(*), cast(sum(octet_length(encode(data))) as bigint) from fx_raw""",
+    select 'river' as stream, subject, count(*) as messages, cast(sum(octet_length(encode(data))) as bigint) as bytes, 0 as consumers from fx_raw group by subject
+    union all select 'river', '', count(*), cast(sum(octet_length(encode(data))) as bigint), (select count(*) from fx_consumers) from fx_raw""",
 )
 def stream_stats(spark, folder):
-    return logstats.stream_stats(fixture(spark, folder, "fx_raw"))
+    return logstats.stream_stats(fixture(spark, folder, "fx_raw"), fixture(spark, folder, "fx_consumers"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import work_folder
+from ..session import load, work_folder
 from ..streaming import jobs
 from .fixtures import fixture
 from .ingest import text
@@ -18,12 +18,58 @@ def state_fold_stream(spark, folder):
     return jobs.folded(spark, table)
 
 
-@query("stream_dedupe_replay", "fx_changelog", sql=SQL_REVISIONS + "select entity, data, slot from cur")
+DELIVERIES = 4
+
+
+def deliver(spark, rows, base):
+    """Append the rows of one ``delivery`` after another to a folder, and hand out a stream over it each time."""
+    for k in range(DELIVERIES):
+        rows.where(F.col("delivery") == k).write.mode("append").parquet(f"{base}/in")
+        yield spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+
+
+@query("stream_dedupe_replay", "fx_changelog", sql="select slot, entity, action, coalesce(data, '') as data from fx_changelog")
 def stream_dedupe_replay(spark, folder):
-    """The whole log delivered twice folds to the same state."""
-    once, again = log(spark, folder, stream=True), log(spark, folder, stream=True)
-    table = jobs.fold(once.unionByName(again), work_folder(spark, "replay"))
-    return jobs.folded(spark, table)
+    """Four deliveries, each of which repeats the second half of the one before; slots are kept for eight
+    days of event time."""
+    base, entries = work_folder(spark, "replay"), log(spark, folder)
+    newest = entries.agg(F.max("slot")).head()[0]
+    share = F.col("slot") * DELIVERIES / (newest + 1)
+    again = entries.where((share - F.floor(share) >= 0.5) & (share < DELIVERIES - 1))
+    rows = entries.withColumn("delivery", F.floor(share)).unionByName(again.withColumn("delivery", F.floor(share) + 1))
+    for stream in deliver(spark, rows, base):
+        sink = jobs.replay_free(stream, base, "8 days")
+    return spark.read.parquet(sink).select("slot", "entity", "action", text("data").alias("data"))
+
+
+SQL_ARRIVAL = (
+    "least(3, floor(event_id * 4 / ((select max(event_id) from events) + 1)) + case when event_id % 97 = 0 then 2 when event_id % 89 = 0 then 1 else 0 end)"
+)
+
+
+@query(
+    "threshold_alert_stream",
+    sql=f"""
+    come as (select *, cast({SQL_ARRIVAL} as bigint) as arrival, time_bucket(interval 1 hour, ts) as start from events),
+    marks as (select arrival + 1 as arrival, max(epoch_ms(max(ts))) over (order by arrival) - 5 * 86400000 as closed from come group by arrival),
+    judged as (select come.*, coalesce(epoch_ms(start) + 3600000 <= closed, false) as late from come left join marks on come.arrival = marks.arrival)
+    select epoch_us(start) as start_us, user_id, count(*) filter (not late) as readings, min(value) filter (not late) as low, max(value) filter (not late) as high,
+      cast(count(*) filter (not late and value > 200) as bigint) as over, count(*) filter (not late and value > 200) > 0 as alert, count(*) filter (late) as late
+    from judged where epoch_ms(start) + 3600000 <= (select max(closed) from marks) group by 1, 2 having count(*) filter (not late) > 0""",
+)
+def threshold_alert_stream(spark, folder):
+    """Windows as the watermark closes them, over four deliveries with late readings, which are set aside
+    and counted beside the window that they missed."""
+    base, events = work_folder(spark, "alerts"), load(spark, folder, "events")
+    newest = events.agg(F.max("event_id")).head()[0]
+    later = F.when(F.col("event_id") % 97 == 0, 2).when(F.col("event_id") % 89 == 0, 1).otherwise(0)
+    arrival = F.least(F.lit(3), F.floor(F.col("event_id") * DELIVERIES / (newest + 1)) + later)
+    rows = events.select("ts", "user_id", "value", arrival.alias("delivery"))
+    for stream in deliver(spark, rows, base):
+        windows, late = jobs.alerts(stream, base, "user_id", "value", 200, "1 hour", 5 * 86400)
+    missed = spark.read.parquet(late).groupBy(F.window("ts", "1 hour").getField("start").alias("start"), "user_id").agg(F.count("*").alias("late"))
+    found = spark.read.parquet(windows).join(missed, ["start", "user_id"], "left")
+    return found.withColumns({"late": F.coalesce("late", F.lit(0)), "start_us": F.unix_micros("start")}).drop("start")
 
 
 @query(

@@ -108,6 +108,14 @@ def load_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return _instants(spark.readStream.schema(schema).parquet(globbed))
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table into a fresh folder of its own and read it again. That cuts lineage, and a lost
+    executor costs no earlier stage."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder for tables and stream checkpoints.
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import state
+from ..operators import logstats, state
 from ..operators.ordered import SEGMENT_WIDTH
 from ..sources import rawlog, ticks
+from . import parts
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
@@ -53,17 +54,25 @@ def quarantine(stream: DataFrame, folder: str) -> str:
     return f"{folder}/split"
 
 
+_ENTRY = "struct<slot: bigint, data: string>"
+COMPACTED = parts.Kind(f"entity string, gone bigint, written {_ENTRY}, created {_ENTRY}", lambda rows, oldest: state.combine(rows))
+
+
 def fold(log_stream: DataFrame, folder: str, width: int = SEGMENT_WIDTH) -> str:
-    """Keep a compacted state table up to date from a change-log stream.
+    """Keep a compacted state table up to date from a change-log stream; returns the table's folder.
 
-    Every micro-batch is compacted on its own and overwrites its own partition, so a batch that
-    runs twice changes nothing, and a replayed log entry is harmless. There is no per-key state
-    in one task: a hot entity is spread over segments as in the batch fold.
+    Every micro-batch is compacted on its own and added as a part; parts are merged by size while the
+    stream runs, so a reader opens a number of parts that grows with the logarithm of the batches.
+    A batch that runs twice changes nothing, and a replayed log entry is harmless. There is no per-key
+    state in one task: a hot entity is spread over segments as in the batch fold.
     """
-    table = f"{folder}/compacted"
+    table = f"{folder}/table"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state.compact(batch, width).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        known = parts.latest(batch.sparkSession, table)
+        if batch_id > known.batch:
+            added = {"compacted": parts.write_part(state.compact(batch, width), table, "compacted", batch_id, COMPACTED)}
+            parts.commit(batch.sparkSession, table, known, batch_id, added, {"compacted": COMPACTED}, {})
 
     run_batches(log_stream, write, f"{folder}/checkpoint")
     return table
@@ -71,54 +80,29 @@ def fold(log_stream: DataFrame, folder: str, width: int = SEGMENT_WIDTH) -> str:
 
 def folded(spark: SparkSession, table: str) -> DataFrame:
     """Current state of a table that ``fold`` maintains."""
-    return state.merge(spark.read.parquet(table))
-
-
-def apply_log(log_stream: DataFrame, folder: str, width: int = SEGMENT_WIDTH) -> tuple[str, str]:
-    """Maintain the state table and also record what every log entry did.
-
-    Returns the paths of the compacted table and of the outcome table. For each micro-batch the
-    entities it touches are looked up in the state before it, stand in as one entry each, and
-    the batch operator does the rest. Entries must arrive in slot order across batches. Only
-    parts of earlier batches are read, so a batch that runs twice writes the same again.
-    """
-    table, done = f"{folder}/compacted", f"{folder}/outcomes"
-    spark = log_stream.sparkSession
-    nothing = spark.createDataFrame([], log_stream.schema)
-    state.compact(nothing, width).write.mode("ignore").parquet(f"{table}/batch=-1")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = batch.sparkSession.read.parquet(table).where(F.col("batch") < batch_id)
-        touched = state.merge(earlier).join(batch.select("entity").distinct(), "entity", "left_semi")
-        stand_ins = touched.withColumns({"action": F.lit("update"), "_stand_in": F.lit(True)})
-        both = batch.withColumn("_stand_in", F.lit(False)).unionByName(stand_ins, allowMissingColumns=True)
-        outcomes = state.outcomes(both, width).where(~F.col("_stand_in")).drop("_stand_in")
-        outcomes.write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-        state.compact(batch, width).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    run_batches(log_stream, write, f"{folder}/checkpoint")
-    return table, done
+    return state.merge(parts.read(spark, table, "compacted", COMPACTED))
 
 
 def count_windows(stream: DataFrame, position: str, folder: str, source: str, interval: str, hz: int = ticks.DEFAULT_HZ) -> str:
     """Fire a trigger at every N-th row of a stream; returns the path of the triggers.
 
-    Rows must arrive in the order of ``position`` across micro-batches. Each batch leaves its number
-    of rows and first time, from which later ones count on; only earlier batches are read, so a batch
-    that runs twice writes the same again.
+    Rows must arrive in the order of ``position`` across micro-batches. The number of rows so far and
+    the first time stand in a manifest, from which a batch counts on; one that runs twice writes the same.
     """
     fired, totals = f"{folder}/triggers", f"{folder}/totals"
-    spark = stream.sparkSession
-    spark.createDataFrame([], "rows bigint, first timestamp").write.mode("ignore").parquet(f"{totals}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        read = batch.sparkSession.read.parquet(totals).where(F.col("batch") < batch_id)
-        own = batch.agg(F.count("*").alias("rows"), F.min("ts").alias("first"))
-        own.write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
-        before = read.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("first").alias("first")).head()
-        started = F.least(F.lit(before["first"]), batch.agg(F.min("ts").alias("ts")).scalar())
-        rows = ticks.triggers(ticks.numbered(batch, position, before["rows"]), source, interval, hz, started=started)
-        rows.write.mode("overwrite").parquet(f"{fired}/batch={batch_id}")
+        spark = batch.sparkSession
+        known = parts.latest(spark, totals)
+        if batch_id <= known.batch:
+            return
+        own = batch.agg(F.count("*").alias("rows"), F.unix_micros(F.min("ts")).alias("first")).head()
+        if own["rows"]:
+            before, first = known.notes.get("rows", 0), min(own["first"], known.notes.get("first", own["first"]))
+            numbered = ticks.numbered(batch, position, before)
+            rows = ticks.triggers(numbered, source, interval, hz, started=F.timestamp_micros(F.lit(first)))
+            rows.write.mode("overwrite").parquet(f"{fired}/batch={batch_id}")
+            parts.commit(spark, totals, known, batch_id, {}, {}, {"rows": before + own["rows"], "first": first})
 
     run_batches(stream, write, f"{folder}/checkpoint")
     return fired
@@ -139,15 +123,54 @@ def track_status(updates: DataFrame, position: str, folder: str) -> str:
     return table
 
 
-def rewrite(spark: SparkSession, table: str, into: str) -> None:
-    """Write a maintained table anew with one row per entity, as batch -1 of another folder.
-
-    For a maintenance run while the stream is stopped: many small batches become one, deletes
-    stay recorded so that late or repeated entries still meet them.
-    """
-    state.combine(spark.read.parquet(table)).write.mode("overwrite").parquet(f"{into}/batch=-1")
-
-
 def dedupe(log_stream: DataFrame, delay: str) -> DataFrame:
     """Drop repeated slots that arrive within ``delay`` of each other (bounded state)."""
     return log_stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["slot"])
+
+
+def replay_free(log_stream: DataFrame, folder: str, delay: str) -> str:
+    """Append log entries whose slot was not seen within ``delay`` of event time; returns the sink's path.
+    Slots are forgotten as the watermark passes, across micro-batches and restarts."""
+    run_available(dedupe(log_stream, delay), f"{folder}/entries", f"{folder}/checkpoint")
+    return f"{folder}/entries"
+
+
+def split_late(readings: DataFrame, folder: str, every: str, delay_s: int) -> tuple[str, str]:
+    """Part a stream of readings into those that come in time and those whose window is closed already;
+    returns both paths.
+
+    A window is closed once it ends ``delay_s`` before the newest time of the micro-batches before. The
+    folders of a batch are put in place by renames, so a stream that follows them sees each row once.
+    """
+    ready, late, notes = f"{folder}/ready", f"{folder}/late", f"{folder}/watermark"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = parts.latest(spark, notes)
+        if batch_id <= known.batch:
+            return
+        closed = known.notes.get("closed_ms")
+        ends = F.window("ts", every).getField("end")
+        is_late = F.lit(False) if closed is None else F.coalesce(ends <= F.timestamp_millis(F.lit(closed)), F.lit(False))
+        marked = batch.withColumn("_late", is_late)
+        parts.place(marked.where(~F.col("_late")).drop("_late"), f"{ready}/batch={batch_id}")
+        parts.place(marked.where("_late").drop("_late"), f"{late}/batch={batch_id}")
+        newest = batch.agg(F.unix_millis(F.max("ts"))).head()[0]
+        known_ms = [ms for ms in (closed, None if newest is None else newest - 1000 * delay_s) if ms is not None]
+        parts.commit(spark, notes, known, batch_id, {}, {}, {"closed_ms": max(known_ms)} if known_ms else {})
+
+    run_batches(readings, write, f"{folder}/checkpoint-split")
+    return ready, late
+
+
+def alerts(readings: DataFrame, folder: str, key: str, value: str, limit: float, every: str, delay_s: int) -> tuple[str, str]:
+    """Window metrics of a stream of readings (``ts``, key, value), each window appended once, when the
+    watermark closes it; returns the paths of the windows and of the late readings.
+
+    Late readings are set aside before the windows, by the same rule, so none is lost in silence.
+    """
+    ready, late = split_late(readings, folder, every, delay_s)
+    kept = readings.sparkSession.readStream.schema(readings.schema).parquet(ready)
+    metrics = logstats.threshold_metrics(kept.withWatermark("ts", f"{delay_s} seconds"), key, value, limit, every)
+    run_available(metrics, f"{folder}/windows", f"{folder}/checkpoint-windows")
+    return f"{folder}/windows", late

@@ -89,23 +89,6 @@ def test_fold_over_several_batches(spark, tmp_path):
     assert got == {r.entity: r.data for r in whole.collect()}
 
 
-def test_outcomes_over_batches_equal_the_whole_log(spark, tmp_path):
-    rng = random.Random(5)
-    rows = []
-    for slot in range(1, 121):
-        action = rng.choice(["create", "update", "delete"])
-        rows.append((slot, rng.choice(["hot", "hot", "a", "b", "c"]), action, None if action == "delete" else f"v{slot}"))
-    source, base = str(tmp_path / "log"), str(tmp_path / "job")
-    for cut in (0, 40, 80):
-        spark.createDataFrame(rows[cut : cut + 40], LOG).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(LOG).parquet(source)
-        table, done = jobs.apply_log(stream, base, width=16)
-    whole = spark.createDataFrame(rows, LOG)
-    want = {r.slot: r.outcome for r in state.outcomes(whole).collect()}
-    assert {r.slot: r.outcome for r in spark.read.parquet(done).collect()} == want
-    assert {r.entity: r.data for r in jobs.folded(spark, table).collect()} == {r.entity: r.data for r in state.fold(whole).collect()}
-
-
 def test_status_table_equals_batch(spark, tmp_path):
     source = str(tmp_path / "s")
     schema = "pos bigint, entity_id string, status string, message string"
@@ -121,26 +104,6 @@ def test_status_table_equals_batch(spark, tmp_path):
     same(got, want)
 
 
-def test_rewritten_table_still_meets_late_entries(spark, tmp_path):
-    rows = [(1, "a", "create", "x"), (5, "a", "delete", None), (6, "b", "create", "y"), (9, "b", "update", "z")]
-    old, new = str(tmp_path / "old"), str(tmp_path / "new")
-    for i, row in enumerate(rows):
-        state.compact(spark.createDataFrame([row], LOG)).write.parquet(f"{old}/batch={i}")
-    jobs.rewrite(spark, old, new)
-    assert spark.read.parquet(new).count() == 2
-    late = spark.createDataFrame([(3, "a", "update", "late"), (7, "b", "create", "no"), (8, "c", "create", "c")], LOG)
-    state.compact(late).write.parquet(f"{new}/batch=0")
-    assert {r.entity: r.data for r in jobs.folded(spark, new).collect()} == {"b": "z", "c": "c"}
-
-
-def test_rerun_of_a_batch_changes_nothing(spark, tmp_path):
-    rows = [(1, "a", "create", "x"), (2, "a", "update", "y")]
-    part = state.compact(spark.createDataFrame(rows, LOG))
-    for _ in range(2):
-        part.write.mode("overwrite").parquet(str(tmp_path / "t" / "batch=0"))
-    assert [r.data for r in jobs.folded(spark, str(tmp_path / "t")).collect()] == ["y"]
-
-
 def test_dedupe_within_delay(spark, tmp_path):
     source = str(tmp_path / "d")
     rows = [(1, 10), (2, 11), (1, 12), (3, 13), (2, 14)]
