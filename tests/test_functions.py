@@ -143,15 +143,20 @@ def test_encode_keeps_empty_arrays_and_nulls(one):
 @pytest.mark.parametrize(
     ("size", "want"),
     [
-        (0, "0B"),
-        (512, "512B"),
-        (1024, "1KB"),
-        (1024**2, "1MB"),
-        (1024**3, "1GB"),
-        (16 * 1024**3, "16GB"),
-        (1024**4, "1.0TB"),
-        (12 * 1024 + 512, "12KB"),
-        (13 * 1024 + 512, "14KB"),
+        (1, "1B"),
+        (1023, "1023B"),
+        # Ties go to the even unit: 2.5 and 3.5 KB, 6.5 and 7.5 MB.
+        (2 * 1024 + 512, "2KB"),
+        (3 * 1024 + 512, "4KB"),
+        (13 * 1024**2 // 2, "6MB"),
+        (15 * 1024**2 // 2, "8MB"),
+        # The largest size below a unit is rounded up without changing to it.
+        (1024**2 - 1, "1024KB"),
+        (1024**4 - 1, "1024GB"),
+        (7 * 1024**3, "7GB"),
+        # Terabytes have one decimal and are the last unit.
+        (5 * 1024**4 // 4, "1.2TB"),
+        (2048 * 1024**4, "2048.0TB"),
     ],
 )
 def test_format_bytes(one, size, want):
@@ -196,7 +201,15 @@ def test_intervals(one, spelled, seconds):
 
 @pytest.mark.parametrize(
     ("interval", "hz", "want"),
-    [("30s", 90, 2700), ("1m", 90, 5400), ("1h", 90, 324000), ("5m", 90, 27000), ("10s", 100, 1000), ("500ms", 90, 1), ("0", 0, 5400)],
+    [
+        ("7s", 11, 77),
+        ("1h2m3s", 2, 7446),
+        ("2.9s", 50, 100),  # whole seconds count
+        ("999ms", 60, 1),  # never less than one
+        ("45s", -3, 4050),  # a rate that is no rate takes the default
+        ("-5s", 10, 600),  # as does an interval that does not last
+        ("0", 7, 420),
+    ],
 )
 def test_ticks_per_trigger(interval, hz, want):
     assert ticks_per_trigger(interval, hz) == want
