@@ -9,13 +9,19 @@ Weights come from labelled pages: a logistic regression of "is main text" on the
 and roles of the open elements weighs words, and log odds of a tag standing inside or outside main
 text weigh tags.
 
+Three things are told by more than an element's own name. Neighbouring blocks of which nearly every word
+is linked are link lines, a key of its own that the labelled pages weigh (a lone link, a heading that is a
+link and links inside sentences are none). Compound class words that name a state or a topic of the page
+(has-sidebar, tag-legal, header-fixed), or soften a word of main text (entry-header), say nothing, nor do
+classes of html and body. A form that holds more than half of the page's unlinked words is its frame.
+
 Scripts, styles, the head and comments in the markup never count as words. White space is one space,
 character references are decoded, an element that HTML treats as a block parts words.
 
 Defined results: null html is empty; a page without words, or whose every region scores at most 0,
 has empty text; of equally good regions the first and shortest counts; unclosed elements, comments
 and scripts reach to the page's end or to their parent's end tag; repeated rows each get their text;
-columns named like an output are replaced.
+pages of any length are read whole; an empty table gives an empty table; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +40,19 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<!--|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Compound class words that name a state or a topic of the page, not a part of it: by their first word
+#: (has-sidebar, tag-legal) or their last (header-fixed).
+STATE_FIRST = frozenset("has no not is with without tag category cat format status type layout template theme lang author".split())
+STATE_LAST = frozenset("fixed sticky enabled disabled open closed active visible".split())
+#: In a compound with a word for main text (entry-header, news-alert-story) these do not speak against it.
+MAIN_PART = frozenset("article entry post story content main body text".split())
+SOFT_PART = frozenset("header heading head title banner alert notice notification legal terms".split())
+#: Elements that may frame a whole page; one that holds more than half of its unlinked words is no part of it.
+FRAMES = ("form", ".form")
+#: The key of blocks, and of tags between them, that are links one after another: least number of links, and
+#: share of their words that are linked.
+LINKS, LEAST_LINKS, LINKED = "link line", 2, 2 / 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg math title select object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -72,15 +91,60 @@ class Weights:
 
 
 def element_keys(name: str, attributes: str) -> tuple[str, ...]:
-    """The element's name and the words of its class, id and role."""
+    """The element's name and the words of its class, id and role. What stands on the page's own frame
+    (html, body) describes the page and is left aside, as are compounds that name no part of a page."""
     keys = [name]
-    if attributes and "=" in attributes or "hidden" in attributes:
+    if name not in ("html", "body") and (attributes and "=" in attributes or "hidden" in attributes):
         for m in ATTRIBUTE.finditer(attributes):
-            value = m[2] or m[3] or m[4] or m[5] or ""
-            keys += [f".{p.lower()}" for p in PART.findall(value)]
+            for word in (m[2] or m[3] or m[4] or m[5] or "").split():
+                parts = [p.lower() for p in PART.findall(word)]
+                if len(parts) > 1:
+                    if parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+                        continue
+                    if not MAIN_PART.isdisjoint(parts):
+                        parts = [p for p in parts if p not in SOFT_PART]
+                keys += [f".{p}" for p in parts]
     return tuple(dict.fromkeys(keys))
 
 
+def page_runs(page: str) -> list[Run]:
+    """The page's runs with what only the whole page tells: link lines, and forms around everything."""
+    runs = list(read_page(page))
+    _mark_link_lines(runs)
+    for frame in FRAMES:
+        words = [(r.words, frame in r.keys) for r in runs if r.words and LINKS not in r.keys]
+        if 2 * sum(n for n, inside in words if inside) > sum(n for n, _ in words):
+            for r in runs:
+                if frame in r.keys:
+                    r.keys = tuple(k for k in r.keys if k != frame)
+    return runs
+
+
+def _mark_link_lines(runs: list[Run]) -> None:
+    """Neighbouring blocks (headings apart) of which nearly every word is linked, with several links."""
+    blocks: list[tuple[int, int, int, bool]] = []  # first and last run with words, links, linked
+    first, last, words, linked, links, heading = -1, -1, 0, 0, 0, False
+    for i, r in enumerate([*runs, Run(tag="end", block=True)]):
+        if r.words:
+            first, last = (i if first < 0 else first), i
+            words += r.words
+            heading |= not HEADINGS.isdisjoint(r.keys)
+            if "a" in r.keys:
+                linked, links = linked + r.words, links + 1
+        elif r.block and words:
+            blocks.append((first, last, links, linked >= LINKED * words and not heading))
+            first, last, words, linked, links, heading = -1, -1, 0, 0, 0, False
+    at = 0
+    while at < len(blocks):
+        to = at
+        while to < len(blocks) and blocks[to][3]:
+            to += 1
+        if sum(b[2] for b in blocks[at:to]) >= LEAST_LINKS:
+            for r in runs[blocks[at][0] : blocks[to - 1][1] + 1]:
+                r.keys = (*r.keys, LINKS)
+        at = max(to, at + 1)
+
+
 def read_page(page: str) -> Iterator[Run]:
     """Tags and runs of words in page order, with the keys of all open elements."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -162,7 +226,7 @@ class Extractor:
         return score
 
     def extract(self, page: str) -> str:
-        runs = list(read_page(page))
+        runs = page_runs(page)
         best, best_from, best_to = 0.0, 0, 0
         total, begin = 0.0, 0
         tags = self.weights.tags
@@ -222,6 +286,11 @@ OTHER = """
 <footer><p>{}</p></footer>
 <footer>{}</footer>
 <menu><li>{}</li></menu>
+<ul><li><a>{}</a></li><li><a>{}</a></li><li><a>{}</a></li></ul>
+<div><a>{}</a> <a>{}</a></div>
+<div><ul><li><a>{}</a></li><li><a>{}</a></li></ul></div>
+<p><a>{}</a> <a>{}</a> <a>{}</a></p>
+<table><tr><td><a>{}</a></td><td><a>{}</a></td></tr></table>
 """
 OTHER_WORDS = (
     "nav menu navbar navigation topbar masthead header banner logo breadcrumb breadcrumbs sidebar complementary related recommended widget popular trending toc pagination pager "
@@ -248,7 +317,9 @@ def learn(pages: list[tuple[str, bool]] | None = None, steps: int = 3000, rate:
     """Weights from labelled fragments: full-batch gradient descent on a few hundred runs."""
     rows, tags = [], {True: Counter(), False: Counter()}
     for page, label in pages if pages is not None else labelled_pages():
-        for run in read_page(page.replace("{}", "word")):
+        runs = list(read_page(page.replace("{}", "word")))
+        _mark_link_lines(runs)
+        for run in runs:
             if run.tag:
                 tags[label][run.tag] += 1
             elif run.words:
