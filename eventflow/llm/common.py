@@ -11,8 +11,20 @@ from eventflow.session import ship, work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once. Whole texts are long: with Spark's default of 10,000 a batch
+#: of them, held by the JVM and by the worker in several forms, is what fills an executor.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +36,7 @@ def fold(key: str | Column, k: int) -> Column:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,3 +60,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+def set_aside(df: DataFrame, inner: tuple[str, ...]) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """The table with its columns of the given names renamed, the new name of every column, and how to
+    rename them back: an operator can then use those names for itself."""
+    there = {c: fresh(df, f"_{c}") for c in df.columns if c in inner}
+    renamed = df.withColumnsRenamed(there)
+    return renamed, {c: there.get(c, c) for c in df.columns}, {new: old for old, new in there.items()}

@@ -188,8 +188,9 @@ def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Dat
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), describe(text).alias("d")).select("key", "hash", "d.*")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(id, grams) of the wanted (id, key, hash)."""
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """(id, grams) of the wanted (id, key, hash). ``repeated`` has the (key, hash) of several rows: only
+    their texts are sorted, to keep one of each."""
 
     @F.pandas_udf("array<long>")
     def grams_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -200,7 +201,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> Da
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     met = found.join(side, found["key"].eqNullSafe(side["key"]) & (found["hash"] == side["hash"])).select("id", "text")
-    return met.dropDuplicates(["id"]).select("id", grams_of("text").alias("grams"))
+    if not repeated.isEmpty():
+        several = wanted.join(repeated, wanted["key"].eqNullSafe(repeated["key"]) & (wanted["hash"] == repeated["hash"]), "left_semi").select("id")
+        met = met.join(several, "id", "left_anti").unionByName(met.join(several, "id", "left_semi").dropDuplicates(["id"]))
+    return met.select("id", grams_of("text").alias("grams"))
 
 
 def _may_link(percent: int) -> Column:
@@ -210,14 +214,14 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (apart * (100 + percent) <= (100 - percent) * total)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """Those of the (a, b) that are similar."""
     info = classes.select("id", "size", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(info.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
     pairs = saved(pairs.where(_may_link(percent)).select("a", "b", "size_a", "size_b"), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = saved(_sets(docs, saved(classes.join(ids, "id", "left_semi").select("id", "key", "hash"), "wanted"), n, key, text), "sets")
+    sets = saved(_sets(docs, saved(classes.join(ids, "id", "left_semi").select("id", "key", "hash"), "wanted"), repeated, n, key, text), "sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -228,6 +232,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     """(documents as key, hash, size, id; classes as id, component, key and hash of the first)."""
     rows = saved(described(docs, n, percent, key, text), "described")
     documents = rows.select("key", "hash", "size", "id")
+    repeated = saved(documents.groupBy("key", "hash").count().where("count > 1").select("key", "hash"), "repeated")
     filled = rows.where("size > 0")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("hash"))
     firsts = filled.groupBy("id").agg(F.min(order).alias("first"), F.max("size").alias("size"))
@@ -237,7 +242,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     met = once.select("id", F.explode("sigs").alias("sig")).withColumns({"first": F.min("id").over(group), "last": F.max("id").over(group)})
     groups = saved(met.where("first <> last").select("sig", "id", "first"), "groups")
     pairs = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = saved(_linked(pairs, classes, docs, n, percent, key, text), "linked")
+    links = saved(_linked(pairs, classes, docs, repeated, n, percent, key, text), "linked")
     components = connected(links)
     done, step = 1, 8
     while True:
@@ -251,7 +256,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
             break
         heads = left.where(F.col("rank") < done + step).select("sig", F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"), F.col("size_b").alias("size_a"), F.col("bits_b").alias("bits_a"))
         pairs = heads.join(left, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")) & _may_link(percent)).select("a", F.col("id").alias("b")).distinct()
-        more = saved(_linked(pairs, classes, docs, n, percent, key, text), "linked")
+        more = saved(_linked(pairs, classes, docs, repeated, n, percent, key, text), "linked")
         if not more.isEmpty():
             components = connected(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         done, step = done + step, step * 8
