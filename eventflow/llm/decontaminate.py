@@ -8,21 +8,28 @@ depend on the corpus. Passages and benchmark items are projected to the singular
 scaled to unit variance.
 
 A second pass slides over every document, for each benchmark length class with windows of that
-length, and takes windows whose cosine with an item reaches ``COSINE`` as candidates. A candidate
-counts if the longest common subsequence of the item's and the window's words covers ``OVERLAP`` of the
+length, and takes windows whose cosine with an item reaches ``COSINE`` as candidates, if enough of their
+words are the item's at all. A window begins at every eighth word, so it holds up to 15 words that are not
+the copy's, and the cosine of a short copy can be small; windows with as many of the item's words as the
+item has are therefore candidates whatever their cosine, so that no verbatim copy is lost. A candidate
+that shares enough words with the item, each counted as often as both have it, counts if the longest common subsequence of the item's and the window's words covers ``OVERLAP`` of the
 item. Of an item that carries a question and an answer (``answer_of``), an overlap below ``STRONG`` counts
 only if ``ANSWER`` of the answer is covered too; other items have no answer (null). Word order is kept and
 gaps are free, so paraphrases that change or insert words, and copies that lack a part, are found as well.
 
 Defined results: null and empty texts have no hits; items that are null or shorter than ``MIN_WORDS``
 words take no part; repeated items are reported each, repeated documents each; an item found several
-times in a document is one row, its best window, ties to the first; empty tables give an empty table.
+times in a document is one row, its best window, ties to the first; texts of any length are searched
+whole; empty tables give an empty table. ``clean`` hands on the columns of its input whatever they are
+called; ``with_hits`` replaces a column that is called like its result, and ``contaminated`` names the
+item ``item_id`` (``found_item_id`` if that is the documents' key).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,8 +38,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
-COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.4, 0.6, 0.8, 0.5, 5
+COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.1, 0.6, 0.8, 0.5, 5
 #: Marks of a last line that answers, and of a line before it that asks.
 ANSWERS = re.compile(r"\s*(?:answer|a|solution|respuesta|réponse|antwort)\s*[:=)]", re.I)
 ASKS = re.compile(r"[?？؟][\s\"'”»)\]]*$|^\s*(?:question|q|problem|pregunta|frage)\s*[:=)]", re.I)
@@ -293,12 +302,13 @@ class Searcher:
     def __init__(self, space: Space, items: list[Item]):
         self.project, self.items = with_none(space.project), items
         self.masks = [(masks_of(i.words), masks_of(i.answer)) for i in items]
+        self.counts = [Counter(i.words) for i in items]
         width = np.array([-(-len(i.words) // BLOCK) + 1 for i in items], int)
         #: Items by width of their windows; ``holds`` has a column for each in this order.
         self.order = np.argsort(width, kind="stable")
         #: Whether an item has a word of a feature.
         self.holds = np.zeros((FEATURES + 1, len(items)), np.uint8)
-        self.classes: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        self.classes: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         for c, i in enumerate(self.order):
             self.holds[features_of(items[i].words), c] = 1
         for w, lo, n in zip(*np.unique(width[self.order], return_index=True, return_counts=True), strict=True):
@@ -306,7 +316,8 @@ class Searcher:
             y = np.stack([space.project[features_of(words)].sum(axis=0) for words in of])
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-20)
             least = np.ceil([OVERLAP * len(words) for words in of]).astype(np.int64)
-            self.classes.append((int(w), int(lo), int(lo + n), y.T.astype(np.float32), least))
+            whole = np.array([len(words) for words in of], np.int64)
+            self.classes.append((int(w), int(lo), int(lo + n), y.T.astype(np.float32), least, whole))
 
     def search(self, chunk: Words) -> list[list[tuple]]:
         """Hits of each document."""
@@ -323,14 +334,16 @@ class Searcher:
         # only differences over a window count.
         widest = max(w for w, *_ in self.classes) * BLOCK
         shared = _running(summed(self.holds, blocks), np.uint16 if widest < 1 << 16 else np.uint32)
-        for width, lo, hi, items, least in self.classes:
+        for width, lo, hi, items, least, whole in self.classes:
             begin = np.flatnonzero((np.arange(len(owner)) + width <= last) | (inside == 0))
             end = np.minimum(begin + width, last[begin])
             z = run[end] - run[begin]
             near = z @ items
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)
+            met = shared[end, lo:hi] - shared[begin, lo:hi]
             candidate = near >= (COSINE * norm)[:, None]
-            candidate &= shared[end, lo:hi] - shared[begin, lo:hi] >= least.astype(shared.dtype)
+            candidate |= met >= whole.astype(shared.dtype)
+            candidate &= met >= least.astype(shared.dtype)
             for x in np.flatnonzero(candidate).tolist():
                 r, c = divmod(x, hi - lo)
                 d, i = int(owner[begin[r]]), int(self.order[lo + c])
@@ -344,6 +357,9 @@ class Searcher:
     def _check(self, i: int, part: list[bytes], lo: int, hi: int, near: float) -> tuple | None:
         item, (masks, answer_masks) = self.items[i], self.masks[i]
         size = len(item.words)
+        # No subsequence is longer than the words that both have, each as often as both have it.
+        if (Counter(part) & self.counts[i]).total() < OVERLAP * size:
+            return None
         n = common(masks, size, part, OVERLAP * size)
         if n < OVERLAP * size:
             return None
@@ -399,13 +415,16 @@ def _struct() -> str:
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row for each document and item found in it."""
-    found = with_hits(docs, items, **options)
-    return found.select(key, F.explode("hits").alias("_hit")).select(key, "_hit.*")
+    name = fresh(docs, "hits")
+    found = with_hits(docs, items, name=name, **options).select(key, F.explode(name).alias("hit"))
+    columns = [F.col(f"hit.{n}").alias(f"found_{n}" if n == key else n) for n in _NAMES]
+    return found.select(key, *columns)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no item was found."""
-    return with_hits(docs, items, name="_hits", **options).where(F.size("_hits") == 0).select(docs.columns)
+    name = fresh(docs, "hits")
+    return with_hits(docs, items, name=name, **options).where(F.size(name) == 0).select(docs.columns)
 
 
 def checksum(space: Space) -> int:

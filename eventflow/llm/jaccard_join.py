@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 from .components import connected
 
 U = np.uint64
@@ -287,13 +287,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     kept = rows.join(first.withColumn("is_first", F.lit(True)), rows["key"].eqNullSafe(first["key"]) & (rows["hash"] == first["hash"]), "left").select(rows["key"], rows["hash"], "size", "copies", "is_first")
     gone = saved(kept.where("size > 0 and is_first is null").select("key", "hash"), "gone")
     again = kept.where("size > 0 and is_first and copies > 1").select("key", "hash")
-    named = docs.withColumns({"_key": F.col(key), "_hash": F.xxhash64(text)})
+    k, h = fresh(docs, "key"), fresh(docs, "hash")
+    named = docs.withColumns({k: F.col(key), h: F.xxhash64(text)})
     side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    left = named.join(side, named["_key"].eqNullSafe(side["key"]) & (named["_hash"] == side["hash"]), "left_anti")
+    left = named.join(side, named[k].eqNullSafe(side["key"]) & (named[h] == side["hash"]), "left_anti")
     again = saved(again, "repeated")
     if again.isEmpty():
         return left.select(docs.columns)
     # Repeated rows of a first document: one of them stays.
-    twice = left.join(again, left["_key"].eqNullSafe(again["key"]) & (left["_hash"] == again["hash"]), "left_semi").dropDuplicates(["_key", "_hash"])
-    single = left.join(again, left["_key"].eqNullSafe(again["key"]) & (left["_hash"] == again["hash"]), "left_anti")
+    twice = left.join(again, left[k].eqNullSafe(again["key"]) & (left[h] == again["hash"]), "left_semi").dropDuplicates([k, h])
+    single = left.join(again, left[k].eqNullSafe(again["key"]) & (left[h] == again["hash"]), "left_anti")
     return single.unionByName(twice).select(docs.columns)

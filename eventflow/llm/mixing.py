@@ -13,7 +13,9 @@ buckets. Same rows, same seed: same result, in whatever order the rows come.
 
 Defined results: null text has size 0; documents of size 0 are ranked like others and add no words;
 a null source is a source of its own, ordered last; a source without words gets target 0 and is not
-taken; repeated rows are documents of their own; an empty table gives an empty table.
+taken; repeated rows are documents of their own; texts of any length are counted whole; an empty table
+gives an empty table. Input columns named like a result are replaced, all others are handed on, also those
+named like a column used on the way.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, fresh, saved, set_aside
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
+RESULT = ("size", "source_size", "target", "copies", "taken")
+#: Names of columns used on the way; the documents' columns of these names are set aside meanwhile.
+INNER = ("_src", "_band", "_hash", "_digest", "_bucket", "_start", "_rank")
 
 
 def word_count(text: str | Column) -> Column:
@@ -62,7 +67,9 @@ def _unit(text: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The documents' columns with size, source_size, target, copies and taken (words)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    docs = docs.select(*[c for c in docs.columns if c not in RESULT])
+    docs, name, back = set_aside(docs, INNER)
+    own, key, text, source = docs.columns, name[key], name[text], name[source]
     binary = F.bin("size")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     base = docs.select(*own, word_count(F.col(text)).alias("size"))
@@ -81,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     offset = _unit(F.concat(F.lit(f"offset {seed}:"), F.col("_src")))
     copies = F.floor(offset + rate * F.col("_rank")) - F.floor(offset + rate * (F.col("_rank") - 1))
     copies = F.least(copies, F.ceil(rate)).cast("long")
-    return ranked.select(*own, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    mixed = ranked.select(*own, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return mixed.withColumnsRenamed(back)
 
 
 def _starts(counts: DataFrame, group: list[str], step: str, name: str) -> DataFrame:
@@ -92,4 +100,5 @@ def _starts(counts: DataFrame, group: list[str], step: str, name: str) -> DataFr
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row for each copy taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    copy = fresh(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy)

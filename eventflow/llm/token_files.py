@@ -9,7 +9,7 @@ the frames that hold the documents asked for; any zstandard tool can decompress
 
 Ids are little-endian, two bytes each where the vocabulary fits, else four. Documents are written in
 ascending order of their key (null first, ties by text): the rows are range-partitioned and sorted
-by Spark, each task writes one file of its range. Tasks may run more than once: each attempt writes a
+by Spark, each task writes one file of its range, and there are as many as the documents' bytes need. Tasks may run more than once: each attempt writes a
 file of its own, and only the files that the finished job lists in the manifest are part of the
 table.
 
@@ -45,6 +45,8 @@ FRAME_BYTES = 1 << 18
 #: Fixed values of the public seekable zstandard format.
 SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
+#: Bytes of stored documents for one file and task.
+BYTES_PER_FILE = 256 << 20
 #: Distinct pieces a worker remembers: about 150 bytes each.
 CACHE_PIECES = 1_000_000
 #: White space as the tokenizer's own pattern has it (Unicode's White_Space).
@@ -243,10 +245,18 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def files_for(docs: DataFrame) -> int:
+    """How many files the documents need, by the bytes of the tables they come from as the planner knows
+    them, so that nothing is read for it."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return -(-size // BYTES_PER_FILE)
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Writes the documents' ids to files in the folder and returns the manifest (read again)."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), files_for(docs))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, F.asc("doc_id"), F.crc32("text")).sortWithinPartitions("doc_id", "text")
     last = np.array([end_id], f"<u{width}").tobytes()
