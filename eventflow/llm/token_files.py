@@ -47,6 +47,8 @@ SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 #: Bytes of stored documents for one file and task.
 BYTES_PER_FILE = 256 << 20
+#: Sizes from here on are the planner's word for not known.
+UNKNOWN = 1 << 60
 #: Distinct pieces a worker remembers: about 150 bytes each.
 CACHE_PIECES = 1_000_000
 #: White space as the tokenizer's own pattern has it (Unicode's White_Space).
@@ -247,10 +249,10 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def files_for(docs: DataFrame) -> int:
     """How many files the documents need, by the bytes of the tables they come from as the planner knows
-    them, so that nothing is read for it."""
+    them, so that nothing is read for it. Rows that are in no table have no such size and add none."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    return -(-size // BYTES_PER_FILE)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return -(-sum(s for s in sizes if s < UNKNOWN) // BYTES_PER_FILE)
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
