@@ -6,11 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Texts below this size always fit a VARIANT.
+VARIANT_FITS = 2 * 1024 * 1024
+
+
 def decode(text: Column) -> Column:
-    """Text to VARIANT; NULL when the text is not JSON."""
+    """Text to VARIANT; NULL when the text is not JSON, or too large (see ``too_large``)."""
     return F.try_parse_json(text)
 
 
+def too_large(text: Column) -> Column:
+    """Valid JSON that no VARIANT can hold (Spark's limit on its encoded size)."""
+    long = F.octet_length(text) > VARIANT_FITS
+    return F.coalesce(long & decode(text).isNull() & F.get_json_object(text, "$").isNotNull(), F.lit(False))
+
+
 def encode(value: Column) -> Column:
     """Struct, map, array or VARIANT to JSON text, NULL fields kept."""
     return F.to_json(value, {"ignoreNullFields": "false"})

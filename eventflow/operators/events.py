@@ -45,11 +45,12 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def guard_payload(df: DataFrame, payload: str = "data") -> DataFrame:
-    """Add ``reject_reason``: payloads must be JSON objects (JSON null is not one)."""
+    """Add ``reject_reason``: payloads must be JSON objects (JSON null is not one). Valid JSON too large
+    for a VARIANT is told apart from text that is no JSON."""
     text = F.col(payload)
+    unread = F.when(doc.too_large(text), "too large").otherwise("not json")
     return df.withColumn(
-        "reject_reason",
-        F.when(~doc.is_object(text), F.when(doc.decode(text).isNull(), "not json").otherwise("not an object")),
+        "reject_reason", F.when(~doc.is_object(text), F.when(doc.decode(text).isNull(), unread).otherwise("not an object"))
     )
 
 

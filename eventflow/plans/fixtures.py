@@ -189,7 +189,8 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
             "'api-'||cast(user_id % 5 as string) as source",
             "case when event_id % 35 = 0 then null when event_id % 15 = 0 then 500 else 200 end as status_code",
             """case when event_id % 35 = 0 then null when event_id % 50 = 1 then '{broken' else case event_id % 4 when 0 then '{"meta":{}}' when 1 then '{"meta":{"cursor":"c'||cast(event_id as string)||'"}}' when 2 then '{"meta":{"cursor":'||cast(event_id as string)||'}}' else '{"meta":{"cursor":null}}' end end as body""",
-            "'https://api.example.com/items/'||cast(user_id % 5 as string) as url",
+            "'https://api.example.com/items/'||cast(user_id % 5 as string)||case event_id % 6 when 1 then '?since=old'"
+            " when 2 then '?since=old&limit=5' when 3 then '?limit=5&since=old' when 4 then '?limit=5' else '' end as url",
         ],
         None,
     ),

@@ -195,6 +195,8 @@ def chat_update_capture(spark, folder):
     return rows.select("conv_id", "turn", "status", "landed", *fields)
 
 
+# A cursor replaces the one that the URL has; other parameters stay.
+SQL_SENT = """case when rc is null then url else split_part(url, '?', 1)||case when contains(url, 'limit') then '?limit=5&' else '?' end||'since='||rc end"""
 SQL_CURSORS = """
   found as (select *, case when json_valid(body) and json_type(body, '$.meta.cursor') in ('VARCHAR','UBIGINT','BIGINT')
       then nullif(json_extract_string(body, '$.meta.cursor'), '') end as f from fx_polls),
@@ -209,10 +211,9 @@ SQL_CURSORS = """
     "poll_capture",
     "fx_polls",
     sql=SQL_CURSORS
-    + """
+    + f"""
     select event_id, source, status_code is null or body is null or not json_valid(body) as failed,
-      case when status_code is null or body is null or not json_valid(body) then '' else
-        case when rc is null then url else url||'?since='||rc end end as url,
+      case when status_code is null or body is null or not json_valid(body) then '' else {SQL_SENT} end as url,
       case when status_code is null or body is null or not json_valid(body) then 0 else status_code end as status_code,
       case when status_code is null or body is null or not json_valid(body) then '' else coalesce(c, '') end as cursor
     from cursors""",
@@ -235,8 +236,8 @@ def poll_capture(spark, folder):
     "poll_cursor",
     "fx_polls",
     sql=SQL_CURSORS
-    + """
-    select event_id, source, coalesce(f, '') as found, coalesce(rc, '') as request_cursor, coalesce(c, '') as cursor
+    + f"""
+    select event_id, source, coalesce(f, '') as found, coalesce(rc, '') as request_cursor, coalesce(c, '') as cursor, {SQL_SENT} as request_url
     from cursors""",
 )
 def poll_cursor(spark, folder):
@@ -247,6 +248,7 @@ def poll_cursor(spark, folder):
         doc.path_text(F.col("body"), "$.meta.cursor").alias("found"),
         text("request_cursor").alias("request_cursor"),
         text("cursor").alias("cursor"),
+        "request_url",
     )
 
 

@@ -55,7 +55,8 @@ def capture_webhooks(
     """Give every captured request its response ``status``; accepted ones get ``subject, data``.
 
     Columns read: ``method, path, source_running, headers (map), body, captured_at``.
-    ``secrets`` maps a request path to its signing secret; other paths are not checked.
+    ``secrets`` maps a request path to its signing secret; other paths are not checked. A body that is
+    no JSON gets 500, valid JSON too large to be wrapped 413.
     """
     source = F.lit(source) if isinstance(source, str) else source
     subject = F.lit(subject) if isinstance(subject, str) else subject
@@ -69,6 +70,7 @@ def capture_webhooks(
         F.when(F.col("method") != "POST", 405)
         .when(~F.col("source_running"), 503)
         .when(verdict != "ok", 401)
+        .when(doc.too_large(body), 413)
         .when(doc.decode(body).isNull(), 500)
         .otherwise(200)
     )

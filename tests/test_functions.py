@@ -17,6 +17,7 @@ from eventflow.functions.subjects import (
     subject_match,
 )
 from eventflow.functions.templates import render
+from eventflow.operators import events as ev
 from eventflow.operators import fleet, responder
 from eventflow.sources.ticks import ticks_per_trigger
 
@@ -361,3 +362,10 @@ def test_process_name(spark):
 
 def test_visible(spark):
     assert values(spark, ["", "_INBOX.x", "$SYS.y", "a._b"], fleet.visible) == [False, False, False, True]
+
+
+def test_json_too_large_has_a_reason_of_its_own(spark):
+    big = F.concat(F.lit('{"a":["'), F.repeat(F.concat(F.repeat(F.lit("x"), 1000), F.lit('","')), 140_000), F.lit('"]}'))
+    rows = spark.range(1).select(F.explode(F.array(big, F.lit('{"a":1}'), F.lit("{broken}"), F.lit("[1]"), F.repeat(F.lit("{"), 3_000_000))).alias("data"))
+    got = ev.guard_payload(rows).select(F.length("data").alias("n"), "reject_reason").collect()
+    assert {r.n: r.reject_reason for r in got} == {140_420_010: "too large", 7: None, 8: "not json", 3: "not an object", 3_000_000: "not json"}
