@@ -72,8 +72,10 @@ def apply(batch: DataFrame, batch_id: int, folder: str, buckets: int = BUCKETS,
     parts.commit(spark, folder, known, batch_id, added, KINDS, notes)
 
 
-def _touched(spark: SparkSession, folder: str, known: parts.Manifest, new: DataFrame, buckets: int) -> DataFrame:
-    """Live rows of the entities of a batch, read from their buckets alone."""
+def _touched(spark: SparkSession, folder: str, known: parts.Manifest, new: DataFrame, buckets: int) -> DataFrame | None:
+    """Live rows of the entities of a batch, read from their buckets alone; None while there are no parts."""
+    if not known.paths("state"):
+        return None
     asked = new.select("entity").distinct()
     near = _of_buckets(parts.read(spark, folder, "state", STATE, known), asked, buckets)
     return _newest(near.join(asked, "entity", "left_semi")).where("action <> 'delete'").drop("bucket")
@@ -85,11 +87,13 @@ def _of_buckets(stored: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     return stored.where(F.col("bucket").isin(wanted))
 
 
-def _outcomes(new: DataFrame, stored: DataFrame, last_revision: int, width: int) -> DataFrame:
+def _outcomes(new: DataFrame, stored: DataFrame | None, last_revision: int, width: int) -> DataFrame:
     """Entries with their outcome, revision (null if nothing changed) and the value before them. Stored
     entities stand in as one update each, before all new slots."""
-    stand_ins = stored.select("slot", "entity", F.lit("update").alias("action"), "data", F.lit(True).alias("_stored"))
-    both = state.outcomes(new.withColumn("_stored", F.lit(False)).unionByName(stand_ins), width)
+    both = new.withColumn("_stored", F.lit(False))
+    if stored is not None:
+        both = both.unionByName(stored.select("slot", "entity", F.lit("update").alias("action"), "data", F.lit(True).alias("_stored")))
+    both = state.outcomes(both, width)
     applied = F.col("outcome").isin("applied", "created_by_update")
     value = F.when(applied, F.struct("action", "data"))
     seen = running(both, ["entity"], "slot", [Running("_old", value, "last", strict=True)], width=width).where(~F.col("_stored"))
