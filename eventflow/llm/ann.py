@@ -15,7 +15,8 @@ partition meet block by block; a large partition is many tasks.
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or are not of
 the most frequent dimension take no part, as rows or queries; ties go to the smaller id; with fewer
 candidates than k all are returned; rows without an id take no part; repeated rows (same id) count
-once; an empty table gives an empty table.
+once; an empty table gives an empty table; columns other than id and vector, whatever their names, are
+not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_AT_ONCE))
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system. Workers outlive their tasks, and what the
+    allocator keeps of large arrays adds up over the stages of a job."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     small_batches(spark)

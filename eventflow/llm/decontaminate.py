@@ -35,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, give_back, saved
 
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
 COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.1, 0.6, 0.8, 0.5, 5
@@ -47,6 +48,8 @@ ANSWERS = re.compile(r"\s*(?:answer|a|solution|respuesta|réponse|antwort)\s*[:=
 ASKS = re.compile(r"[?？؟][\s\"'”»)\]]*$|^\s*(?:question|q|problem|pregunta|frage)\s*[:=)]", re.I)
 #: Items that are broadcast at once (about 10 kB each); larger benchmarks are searched in parts.
 ITEMS_AT_ONCE = 1000
+#: Sums that one task adds up, or the driver.
+SUMS_AT_ONCE = 8
 #: Documents are taken together up to about so many characters; hashes and sums of longer ones go slice by slice.
 CHARS_AT_ONCE = 200_000
 BLOCKS_AT_ONCE = 1 << 11
@@ -194,28 +197,42 @@ def _chunks(texts: Iterable[str | None]) -> Iterator[Words]:
 def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
     """(passages, passage counts of features, Gram matrix times tests) over all documents.
 
-    Each task sends one sum of fixed size (4 MB), and sums are added up on executors in a tree, so
-    that the driver receives a few of them however many tasks there are."""
-
-    def task(batches):
-        import pyarrow as pa
+    Each task sends one sum of fixed size (4 MB). Sums are added up ``SUMS_AT_ONCE`` at a time, in rounds
+    over tables, until so few are left; the driver receives these, however many tasks there were.
+    """
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Statistics()
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
                 sums.add(chunk)
         if sums.n:
-            yield pa.RecordBatch.from_arrays([pa.array([sums.packed()], pa.binary())], names=["sums"])
-
-    parts = docs.select(text).mapInArrow(task, "sums binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    total = parts.treeAggregate(None, _plus, _plus, depth=3)
+            yield _packed(sums.packed())
+        give_back()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _total(value.as_py() for batch in batches for value in batch.column(0))
+        if total is not None:
+            yield _packed(total.tobytes())
+
+    sums = saved(docs.select(text).mapInArrow(task, "sums binary"), "passage-sums")
+    while (n := sums.count()) > SUMS_AT_ONCE:
+        sums = saved(sums.repartition(-(-n // SUMS_AT_ONCE)).mapInArrow(add_up, "sums binary"), "passage-sums")
+    total = _total(r[0] for r in sums.collect())
     if total is None:
         return 0, np.zeros(FEATURES), np.zeros((FEATURES, RANK))
     return int(total[0]), total[1 : FEATURES + 1], total[FEATURES + 1 :].reshape(RANK, FEATURES).T
 
 
-def _plus(a, b):
-    return b if a is None else a if b is None else a + b
+def _packed(sums: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([sums], pa.binary())], names=["sums"])
+
+
+def _total(sums: Iterable[bytes]) -> np.ndarray | None:
+    total = None
+    for part in sums:
+        total = np.frombuffer(part).copy() if total is None else np.add(total, np.frombuffer(part), out=total)
+    return total
 
 
 @dataclass
@@ -402,6 +419,7 @@ def _hits_of(searcher):
             for chunk in _chunks(texts):
                 found += searcher.value.search(chunk)
             yield pd.Series([[dict(zip(_NAMES, h, strict=True)) for h in hits] for hits in found])
+        give_back()
 
     return hits_of
 

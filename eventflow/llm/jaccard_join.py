@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import fresh, give_back, saved
 from .components import connected
 
 U = np.uint64
@@ -184,6 +184,7 @@ def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Dat
                 whole = mixed(np.array([mixed(g, 401).sum(dtype=U)], U) + U(len(g)), 5).view(np.int64)[0]
                 rows.append((len(g), whole, signatures(g, percent).view(np.int64), parity(g)))
             yield pd.DataFrame(rows, columns=["size", "id", "sigs", "bits"])
+        give_back()
 
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), describe(text).alias("d")).select("key", "hash", "d.*")
 
@@ -196,6 +197,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, n: int, key:
     def grams_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in _pieces(parts):
             yield pd.Series([ngram_set(t, n).view(np.int64) for t in texts])
+        give_back()
 
     # A sized side: 16 bytes a key up to BROADCAST_KEYS of them; beyond, Spark shuffles both.
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted

@@ -10,8 +10,9 @@ confidence from which ``PRECISION`` of that fifth were right.
 
 Defined results: null text, and text without any letter, is ``und`` with score 0 and not accepted;
 ties go to the language first in code point order; with no labelled rows every text is ``und``; null
-languages are not learned from; repeated rows get equal results; columns named like an output are
-replaced.
+languages are not learned from; texts of any length are read whole, slice by slice; repeated rows get
+equal results; an empty table gives an empty table; columns named like an output are replaced, all
+others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, fresh
 
 MAX_TRAIN = 3000
 MAX_TRAIN_CHARS = 6000
@@ -161,4 +162,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame([predict(known, t) for t in texts], columns=["lang_pred", "score", "accepted"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-    return docs.select(*kept, judged(text).alias("_judged")).select(*kept, "_judged.*")
+    found = fresh(docs, "judged")
+    return docs.select(*kept, judged(text).alias(found)).select(*kept, f"{found}.*")

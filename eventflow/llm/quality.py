@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, give_back
 
 MAX_TRAIN = 2400
 MAX_TRAIN_CHARS = 6000
@@ -179,5 +179,6 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text: str
         model = shared.value
         for texts in parts:
             yield pd.Series([probability(model, t) for t in texts], dtype="float64")
+        give_back()
 
     return docs.drop("score", "predicted").withColumn("score", scored(text)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

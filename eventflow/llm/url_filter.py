@@ -10,8 +10,9 @@ meet the urls through equality joins on (host suffix, whole leading path segment
 gives the same verdicts.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty host fits
-no rule; empty rule tables give every url the default verdict; repeated rows each get their own
-verdict; columns named like an output are replaced, all others stay.
+no rule; empty rule tables give every url the default verdict; rules with a null host, path or verdict
+are left aside; urls of any length are read whole; repeated rows each get their own verdict; an empty
+table of urls gives an empty table; columns named like an output are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 RULES_SCHEMA = "host string, path string, verdict string"
 #: About 200 bytes a rule as Python objects: 40 MB in each worker at most.
 MAX_BROADCAST_RULES = 200_000
@@ -108,7 +111,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
             found = [look_up(tree, h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["verdict", "rule"])
 
-    return df.withColumn("_judged", judge("host", "path")).select(*df.columns, F.col("_judged.rule").alias("rule"), F.col("_judged.verdict").alias("verdict"))
+    judged = fresh(df, "judged")
+    return df.withColumn(judged, judge("host", "path")).select(*df.columns, F.col(f"{judged}.rule").alias("rule"), F.col(f"{judged}.verdict").alias("verdict"))
 
 
 def _by_join(df: DataFrame, rules: DataFrame, default: str) -> DataFrame:
