@@ -354,19 +354,20 @@ class Searcher:
         for width, lo, hi, items, least, whole in self.classes:
             begin = np.flatnonzero((np.arange(len(owner)) + width <= last) | (inside == 0))
             end = np.minimum(begin + width, last[begin])
-            z = run[end] - run[begin]
-            near = z @ items
-            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)
             met = shared[end, lo:hi] - shared[begin, lo:hi]
-            candidate = near >= (COSINE * norm)[:, None]
-            candidate |= met >= whole.astype(shared.dtype)
-            candidate &= met >= least.astype(shared.dtype)
-            for x in np.flatnonzero(candidate).tolist():
-                r, c = divmod(x, hi - lo)
+            row, column = np.nonzero(met >= least.astype(shared.dtype))
+            # The cosine of pairs that share enough words at all; few windows do.
+            near = np.empty(len(row), np.float32)
+            for at in range(0, len(row), WORDS_AT_ONCE):
+                r, c = row[at : at + WORDS_AT_ONCE], column[at : at + WORDS_AT_ONCE]
+                z = run[end[r]] - run[begin[r]]
+                near[at : at + WORDS_AT_ONCE] = np.einsum("ij,ij->i", z, items[:, c].T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)
+            candidate = (near >= COSINE) | (met[row, column] >= whole[column])
+            for r, c, cosine in zip(row[candidate].tolist(), column[candidate].tolist(), near[candidate].tolist(), strict=True):
                 d, i = int(owner[begin[r]]), int(self.order[lo + c])
                 first = int(inside[begin[r]]) * BLOCK
                 after = min(first + int(end[r] - begin[r]) * BLOCK, int(chunk.count[d]))
-                hit = self._check(i, chunk.slice(d, first, after), first, after, float(near[r, c] / norm[r]))
+                hit = self._check(i, chunk.slice(d, first, after), first, after, cosine)
                 if hit and (i not in hits[d] or hit[1] > hits[d][i][1]):
                     hits[d][i] = hit
         return [[h[i] for i in sorted(h)] for h in hits]
