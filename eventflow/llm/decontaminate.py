@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import fresh, give_back, saved
 
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
-COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.1, 0.6, 0.8, 0.5, 5
+COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.25, 0.6, 0.8, 0.5, 5
 #: Marks of a last line that answers, and of a line before it that asks.
 ANSWERS = re.compile(r"\s*(?:answer|a|solution|respuesta|réponse|antwort)\s*[:=)]", re.I)
 ASKS = re.compile(r"[?？؟][\s\"'”»)\]]*$|^\s*(?:question|q|problem|pregunta|frage)\s*[:=)]", re.I)
