@@ -51,32 +51,40 @@ BYTES_PER_FILE = 256 << 20
 UNKNOWN = 1 << 60
 #: Distinct pieces a worker remembers: about 150 bytes each.
 CACHE_PIECES = 1_000_000
+#: Texts are cut into pieces together up to about so many characters.
+CHARS_AT_ONCE = 200_000
 #: White space as the tokenizer's own pattern has it (Unicode's White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = re.compile(f"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
 ODD = re.compile(f"[{SPACE}]")
-#: Latin letters, then ASCII marks other than the apostrophe (which may open a contraction).
-MARKED = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Latin letters, perhaps after a line feed, then ASCII marks other than the apostrophe (which may open a contraction).
+MARKED = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 MANIFEST = "file string, width int, first_doc_id long, n_docs long, n_ids long, n_frames long, bytes long"
 
 
 class Encoder:
     """Texts to little-endian ids; remembers the pieces it has met.
 
-    A piece is what stands between two single spaces or line feeds, with the one before it. Letters
-    followed by ASCII marks up to the piece's end are learned apart, as the pre-tokenizer parts them
-    too. Texts with any other white space (or runs of it) are cut by ``PIECES`` instead.
+    A piece is what stands between two single spaces or line feeds, with the one before it. Latin letters
+    are one word of the model and go to it directly; ASCII marks after them, up to the piece's end, are
+    learned apart, as the pre-tokenizer parts them too. Texts with any other white space (or runs of it) are cut by ``PIECES`` instead.
     """
 
     def __init__(self, vocabulary: str, width: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.width = f"<u{width}", width
         self.known: dict[str, bytes] = {}
         # Byte-level tokens write a space as \u0120 and a line feed as \u010a.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        #: Each id as it is written, a line feed's, and the characters that stand for a letter's bytes.
+        self.raw = [i.to_bytes(width, "little") for i in range(len(self.opens))]
+        self.feed = self._word("\u010a")
+        self.mapped = {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token[0] in "\u0120\u010a"
 
@@ -84,48 +92,59 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts are taken together up to about ``CHARS_AT_ONCE`` characters, so that what they have new
+        is learned at once; only such pieces are looked up twice."""
+        held, n = [], 0
         for text in texts:
-            # The first piece counts as if a line feed stood before it, whose id is cut off again.
-            pieces = ("\n" + text.replace("\n", " \n")).split(" ")
-            found = [self.known.get(p) for p in pieces]
-            if None in found:
-                self._learn(dict.fromkeys(p for p, ids in zip(pieces, found, strict=True) if ids is None))
-                found = [self.known.get(p) for p in pieces]
-            if None in found:
-                yield self._general(text)
-            else:
-                yield b"".join(found)[self.width :]
+            held.append(text)
+            n += len(text)
+            if n >= CHARS_AT_ONCE:
+                yield from self._together(held)
+                held, n = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        # The first piece counts as if a line feed stood before it, whose id is cut off again.
+        cut = [("\n" + text.replace("\n", " \n")).split(" ") for text in texts]
+        found = [list(map(self.known.get, pieces)) for pieces in cut]
+        new = [None if all(ids) else [i for i, x in enumerate(ids) if x is None] for ids in found]
+        if any(new):
+            self._learn({pieces[i]: None for pieces, at in zip(cut, new, strict=True) if at for i in at})
+        known = self.known
+        for text, pieces, ids, at in zip(texts, cut, found, new, strict=True):
+            for i in at or ():
+                ids[i] = known.get(pieces[i])
+            yield b"".join(ids)[self.width :] if all(ids) else self._general(text)
 
     def _learn(self, pieces: dict[str, None]) -> None:
         if len(self.known) + len(pieces) > CACHE_PIECES:
-            keep = self.known
-            self.known = {p: keep[p] for p in pieces if p in keep}
+            self.known = {}
         spaced, lined, parted = [], [], []
+        known, raw, tokenize = self.known, self.raw, self.tokenizer.model.tokenize
         for p in pieces:
-            if not p:
-                continue
             if p.isascii() and p.isalpha():
-                self._stem(p)
+                known[p] = b"".join([raw[t.id] for t in tokenize("\u0120" + p)])
             elif m := MARKED.fullmatch(p):
-                parted.append((p, m[1], "\n" + m[2]))
-            elif not ODD.search(p, 1) and p != "\n":
+                stem = m[2] if m[2].isascii() else m[2].translate(self.mapped)
+                ids = self.feed + self._word(stem) if m[1] else self._word("\u0120" + stem)
+                if m[3]:
+                    parted.append((p, ids, "\n" + m[3]))
+                else:
+                    known[p] = ids
+            elif p and not ODD.search(p, 1) and p != "\n":
                 if p[0] == "\n":
                     lined.append(p)
                 elif not ODD.match(p):
                     spaced.append(p)
-        for x in {x for _, *two in parted for x in two if x not in self.known}:
-            if x.isascii() and x.isalpha():
-                self._stem(x)
-            else:
-                (lined if x[0] == "\n" else spaced).append(x)
-        self._add(lined, "")
+        lined += {marks for _, _, marks in parted if marks not in known}
+        self._add(list(dict.fromkeys(lined)), "")
         self._add(spaced, " ")
-        for p, stem, marks in parted:
-            self.known[p] = self.known[stem] + self.known[marks][self.width :]
+        for p, ids, marks in parted:
+            known[p] = ids + known[marks][self.width :]
 
-    def _stem(self, p: str) -> None:
-        """ASCII letters after a space are one word of the model, written as they are."""
-        self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize("\u0120" + p)], dtype=self.kind).tobytes()
+    def _word(self, word: str) -> bytes:
+        """Letters, with or without the space before them, are one word of the model."""
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(word)])
 
     def _add(self, pieces: list[str], before: str) -> None:
         """Ids of many pieces at once: each begins with the one token that opens with white space."""

@@ -120,3 +120,24 @@ def test_columns_named_like_inner_ones_stay(spark):
             assert (r["_hash"], r["_band"], r["_src"], r["_bucket"], r["_digest"]) == (want, want, "mine", 1, "d") and r["_key"] == r["_copy"] == f"h{want}"
     by_key = mixing.mix(docs.withColumnsRenamed({"doc_id": "_rank", "text": "_start", "source": "_unused"}), text="_start", source="_src", key="_rank")
     assert {"_rank", "_start", "_src"} <= set(by_key.columns) and by_key.count() == 21
+
+
+def test_words_new_to_several_texts_are_learned_together():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from eventflow.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    words = ["über", "\nÉté,", "naïve***", "\n", "it's", "", "ß", "x\ty", "中文,", "<|endoftext|>", "a×b", "\nword", "co-op", "3km", "Ñu.\n\nÀ"]
+    texts = [" ".join(f"{w}{'abcdefgh'[i % 8] * (i // 8)}" for w in words[i % 7 :]) for i in range(40)] + ["", " ", "ÿ", "\n"]
+    e = token_files.Encoder(path, 2)
+    rounds, learn = [], e._learn
+    e._learn = lambda pieces: (rounds.append(len(pieces)), learn(pieces))
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u2").tolist() for ids in e.encode(texts)]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(rounds) <= 2, "one round for new pieces, one for those that have to be cut otherwise"
