@@ -12,7 +12,8 @@ length, and takes windows whose cosine with an item reaches ``COSINE`` as candid
 words are the item's at all. A window begins at every eighth word, so it holds up to 15 words that are not
 the copy's, and the cosine of a short copy can be small; windows with as many of the item's words as the
 item has are therefore candidates whatever their cosine, so that no verbatim copy is lost. A candidate
-that shares enough words with the item, each counted as often as both have it, counts if the longest common subsequence of the item's and the window's words covers ``OVERLAP`` of the
+that shares enough words with the item, each counted as often as both have it (first by features, for all
+candidates at once, then by words), counts if the longest common subsequence of the item's and the window's words covers ``OVERLAP`` of the
 item. Of an item that carries a question and an answer (``answer_of``), an overlap below ``STRONG`` counts
 only if ``ANSWER`` of the answer is covered too; other items have no answer (null). Word order is kept and
 gaps are free, so paraphrases that change or insert words, and copies that lack a part, are found as well.
@@ -323,11 +324,14 @@ class Searcher:
         width = np.array([-(-len(i.words) // BLOCK) + 1 for i in items], int)
         #: Items by width of their windows; ``holds`` has a column for each in this order.
         self.order = np.argsort(width, kind="stable")
-        #: Whether an item has a word of a feature.
-        self.holds = np.zeros((FEATURES + 1, len(items)), np.uint8)
+        features = [np.unique(features_of(items[i].words), return_counts=True) for i in self.order]
+        most = max((int(n.max()) for _, n in features), default=1)
+        #: How many words of a feature an item has, and whether it has any.
+        self.times = np.zeros((FEATURES + 1, len(items)), np.min_scalar_type(most))
         self.classes: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-        for c, i in enumerate(self.order):
-            self.holds[features_of(items[i].words), c] = 1
+        for c, (feature, n) in enumerate(features):
+            self.times[feature, c] = n
+        self.holds = (self.times > 0).astype(np.uint8)
         for w, lo, n in zip(*np.unique(width[self.order], return_index=True, return_counts=True), strict=True):
             of = [items[i].words for i in self.order[lo : lo + n]]
             y = np.stack([space.project[features_of(words)].sum(axis=0) for words in of])
@@ -363,7 +367,9 @@ class Searcher:
                 z = run[end[r]] - run[begin[r]]
                 near[at : at + WORDS_AT_ONCE] = np.einsum("ij,ij->i", z, items[:, c].T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-20)
             candidate = (near >= COSINE) | (met[row, column] >= whole[column])
-            for r, c, cosine in zip(row[candidate].tolist(), column[candidate].tolist(), near[candidate].tolist(), strict=True):
+            row, column, near = row[candidate], column[candidate], near[candidate]
+            alike = self._alike(blocks, begin[row], end[row], width, lo + column) >= least[column]
+            for r, c, cosine in zip(row[alike].tolist(), column[alike].tolist(), near[alike].tolist(), strict=True):
                 d, i = int(owner[begin[r]]), int(self.order[lo + c])
                 first = int(inside[begin[r]]) * BLOCK
                 after = min(first + int(end[r] - begin[r]) * BLOCK, int(chunk.count[d]))
@@ -372,6 +378,24 @@ class Searcher:
                     hits[d][i] = hit
         return [[h[i] for i in sorted(h)] for h in hits]
 
+    def _alike(self, blocks: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, column: np.ndarray) -> np.ndarray:
+        """For pairs of a window and an item, how many features both have, each as often as both have it.
+        Words of one feature count as one word, so it is never less than the words that both have."""
+        out = np.empty(len(begin), np.int64)
+        place = np.arange(width * BLOCK, dtype=np.int32)
+        step = max(1, 8 * WORDS_AT_ONCE // len(place))
+        for at in range(0, len(begin), step):
+            of = begin[at : at + step, None] + np.arange(width)
+            window = blocks[np.minimum(of, len(blocks) - 1)].astype(np.int16)
+            window[of >= end[at : at + step, None]] = FEATURES
+            window = np.sort(window.reshape(len(of), -1), axis=1)
+            # The n-th occurrence counts if the item has so many.
+            opens = np.zeros(window.shape, np.int32)
+            np.copyto(opens[:, 1:], place[1:], where=window[:, 1:] != window[:, :-1])
+            nth = place - np.maximum.accumulate(opens, axis=1)
+            out[at : at + step] = (nth < self.times[window, column[at : at + step, None]]).sum(axis=1)
+        return out
+
     def _check(self, i: int, part: list[bytes], lo: int, hi: int, near: float) -> tuple | None:
         item, (masks, answer_masks) = self.items[i], self.masks[i]
         size = len(item.words)
