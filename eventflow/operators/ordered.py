@@ -22,6 +22,8 @@ from ..functions.pin import pin
 
 # Positions per segment: 2^22 rows sort in one task with little or no spill.
 SEGMENT_WIDTH = 1 << 22
+# Without keys all rows of a segment are in one task, so its segments are narrower.
+KEYLESS_WIDTH = 1 << 20
 
 SEG = "_segment"
 
@@ -90,8 +92,8 @@ def running(
     """Add running values per key.
 
     ``order`` is unique within a key. With a single integer column, segments are ranges of
-    ``width`` positions; otherwise pass ``segment``, any expression that never decreases along
-    the order.
+    ``width`` positions (``KEYLESS_WIDTH`` at most if there are no keys); otherwise pass ``segment``,
+    any expression that never decreases along the order.
 
     The rows are computed and shuffled once, by (key, segment). Both the windowed rows and the
     summary read that one shuffle, and the summary returns to the rows through a join on (key,
@@ -100,7 +102,7 @@ def running(
     """
     order = [order] if isinstance(order, str) else order
     if segment is None:
-        segment = segment_of(order[0], width)
+        segment = segment_of(order[0], width if keys else min(width, KEYLESS_WIDTH))
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     dealt = df.withColumn(SEG, segment).repartition(*keys, SEG)
     # Pinned columns are not pruned, so both readers ask for the same shuffle and Spark reuses it.
@@ -158,7 +160,7 @@ def number_rows(
     """Number all rows 1, 2, 3.. after ``start`` along an integer position.
 
     Never one global sort: rows are counted per segment, and only the segment totals (one row
-    per ``width`` positions) meet in one place.
+    per ``width`` positions, or fewer) meet in one place.
     """
     numbered = running(df, [], order, [Running(name, F.lit(1).cast("bigint"), "sum")], width=width)
     return numbered.withColumn(name, F.col(name) + F.lit(start)) if start else numbered

@@ -58,7 +58,7 @@ def apply(batch: DataFrame, batch_id: int, folder: str, buckets: int = BUCKETS,
         return
     buckets = known.notes.get("buckets", buckets)
     last_slot, last_revision = known.notes.get("slot", 0), known.notes.get("revision", 0)
-    new = batch.where(F.col("slot") > last_slot).select("slot", "entity", "action", "data").dropDuplicates(["slot"]).persist()
+    new = _unseen(batch, last_slot).persist()
     try:
         done = _outcomes(new, _touched(spark, folder, known, new, buckets), last_revision, width)
         added = {"log": parts.write_part(done, folder, "log", batch_id, LOG)}
@@ -72,6 +72,13 @@ def apply(batch: DataFrame, batch_id: int, folder: str, buckets: int = BUCKETS,
     parts.commit(spark, folder, known, batch_id, added, KINDS, notes)
 
 
+def _unseen(batch: DataFrame, last_slot: int) -> DataFrame:
+    """Each entry after the last slot once. Rows are dealt by slot before that: hardly any repeat, and where
+    they are scanned a task would sort its whole split to find out."""
+    young = batch.where(F.col("slot") > last_slot).select("slot", "entity", "action", "data")
+    return young.repartition("slot").dropDuplicates(["slot"])
+
+
 def _touched(spark: SparkSession, folder: str, known: parts.Manifest, new: DataFrame, buckets: int) -> DataFrame | None:
     """Live rows of the entities of a batch, read from their buckets alone; None while there are no parts."""
     if not known.paths("state"):

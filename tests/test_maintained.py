@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from eventflow.operators import chained, changelog, logstats, state
+from eventflow.operators import chained, changelog, logstats, ordered, state
 from eventflow.streaming import jobs, parts, snapshots, statetable, status
 
 LOG = "slot bigint, entity string, action string, data string"
@@ -352,3 +352,14 @@ def test_slots_are_forgotten_behind_the_watermark(spark, tmp_path):
         seen += rows
     assert table_rows(spark.read.parquet(str(tmp_path / "out")), "slot") == sorted((s,) for s, _ in seen)
     assert max(sizes) <= 400 < len(seen)
+
+
+def test_no_task_of_the_state_table_grows_with_a_split_or_a_keyless_segment(spark, monkeypatch):
+    log = spark.createDataFrame([(i + 1, f"e{i % 5}", "update", f"v{i}") for i in range(100)] + [(7, "e1", "update", "v6")], LOG)
+    plan = statetable._unseen(log, 10)._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert sorted(r.slot for r in statetable._unseen(log, 5).collect()) == list(range(6, 101))
+    monkeypatch.setattr(ordered, "KEYLESS_WIDTH", 16)
+    numbered = ordered.number_rows(log.dropDuplicates(["slot"]).where("slot % 3 <> 0"), "slot", "n")
+    assert re.search(r" div (cast\()?16\b", numbered._jdf.queryExecution().analyzed().toString())
+    assert [r.n for r in numbered.orderBy("slot").collect()] == list(range(1, 68))
