@@ -35,9 +35,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(mixing.mix(docs)).select(docs.columns)
 
 
+#: The executors' memory has grown in the stages before: a worker remembers fewer pieces than where it encodes only.
+PIECES = 200_000
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files; a row for each document, read back from them."""
-    return token_files.encode_table(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.encode_table(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, pieces=PIECES)
 
 
 STAGES = [

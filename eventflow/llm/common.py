@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that go to a Python worker at once. Whole texts are long: with Spark's default of 10,000 a batch
 #: of them, held by the JVM and by the worker in several forms, is what fills an executor.
 ROWS_AT_ONCE = 1000
+#: Nor more bytes than these (and one row more): rows of megabytes would else fill batches of 64 MB.
+BYTES_AT_ONCE = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
         spark.conf.set(name, str(ROWS_AT_ONCE))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).lower().removesuffix("b")
+    if size.isdigit() and int(size) > BYTES_AT_ONCE:
+        spark.conf.set(name, str(BYTES_AT_ONCE))
 
 
 def give_back() -> None:
@@ -36,6 +43,22 @@ def give_back() -> None:
         pass  # another C library, which has no such call
 
 
+#: How to forget what an operator keeps in this worker between its tasks.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def takes_over(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """Called when a task of the operator begins: what other operators keep in this worker goes. One worker
+    serves all stages of a job, and would else hold their caches together."""
+    others = [_KEPT.pop(name) for name in list(_KEPT) if name != operator]
+    for drop in others:
+        drop()
+    if others:
+        give_back()
+    if forget is not None:
+        _KEPT[operator] = forget
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     small_batches(spark)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, saved
+from .common import fresh, give_back, saved, takes_over
 
 FEATURES, RANK, PASSAGE, BLOCK = 1 << 13, 64, 64, 8
 COSINE, OVERLAP, STRONG, ANSWER, MIN_WORDS = 0.25, 0.6, 0.8, 0.5, 5
@@ -203,6 +203,7 @@ def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.nda
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("decontaminate")
         sums = Statistics()
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
@@ -212,9 +213,11 @@ def gather(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.nda
         give_back()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("decontaminate")
         total = _total(value.as_py() for batch in batches for value in batch.column(0))
         if total is not None:
             yield _packed(total.tobytes())
+        give_back()
 
     sums = saved(docs.select(text).mapInArrow(task, "sums binary"), "passage-sums")
     while (n := sums.count()) > SUMS_AT_ONCE:
@@ -439,6 +442,7 @@ def with_hits(docs: DataFrame, items: DataFrame, space: Space | None = None, tex
 def _hits_of(searcher):
     @F.pandas_udf(f"array<struct<{_struct()}>>")
     def hits_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        takes_over("decontaminate")
         for texts in batches:
             found: list[list[tuple]] = []
             for chunk in _chunks(texts):

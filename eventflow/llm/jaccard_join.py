@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, saved
+from .common import fresh, give_back, saved, takes_over
 from .components import connected
 
 U = np.uint64
@@ -61,6 +61,11 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def begin() -> None:
+    """At the start of a task; its words are forgotten when another operator's begins."""
+    takes_over("jaccard_join", _WORDS.clear)
+
+
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     """A strong 64-bit mixing step (the finalizer of splitmix64)."""
     x = x ^ U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -177,6 +182,7 @@ def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Dat
 
     @F.pandas_udf("size long, id long, sigs array<long>, bits array<long>")
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        begin()
         for texts in _pieces(parts):
             rows = []
             for t in texts:
@@ -195,6 +201,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, n: int, key:
 
     @F.pandas_udf("array<long>")
     def grams_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin()
         for texts in _pieces(parts):
             yield pd.Series([ngram_set(t, n).view(np.int64) for t in texts])
         give_back()

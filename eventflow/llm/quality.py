@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, give_back
+from .common import bounded_sample, fold, give_back, takes_over
 
 MAX_TRAIN = 2400
 MAX_TRAIN_CHARS = 6000
@@ -176,6 +176,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text: str
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        takes_over("quality")
         model = shared.value
         for texts in parts:
             yield pd.Series([probability(model, t) for t in texts], dtype="float64")

@@ -15,7 +15,8 @@ table.
 
 Encoding cuts a text at each single white space between other characters, where the byte-level
 pre-tokenizer cuts it anyway, and encodes each distinct piece once per worker with the tokenizers
-library; the ids are those of encoding the whole text.
+library; the ids are those of encoding the whole text. How many pieces a worker remembers (``pieces``)
+changes memory and time, not the ids.
 
 Defined results: null text is empty and yields the end id only; a null key is written first; repeated
 rows are written each; an empty table gives a manifest without documents; special-token strings in a
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 
 from eventflow.session import work_folder
 
+from .common import give_back, takes_over
+
 FRAME_BYTES = 1 << 18
 #: Fixed values of the public seekable zstandard format.
 SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -70,7 +73,7 @@ class Encoder:
     learned apart, as the pre-tokenizer parts them too. Texts with any other white space (or runs of it) are cut by ``PIECES`` instead.
     """
 
-    def __init__(self, vocabulary: str, width: int):
+    def __init__(self, vocabulary: str, width: int, pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -78,6 +81,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.width = f"<u{width}", width
+        self.pieces = pieces
         self.known: dict[str, bytes] = {}
         # Byte-level tokens write a space as \u0120 and a line feed as \u010a.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -117,7 +121,7 @@ class Encoder:
             yield b"".join(ids)[self.width :] if all(ids) else self._general(text)
 
     def _learn(self, pieces: dict[str, None]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
+        if len(self.known) + len(pieces) > self.pieces:
             self.known = {}
         spaced, lined, parted = [], [], []
         known, raw, tokenize = self.known, self.raw, self.tokenizer.model.tokenize
@@ -163,11 +167,14 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str, width: int) -> Encoder:
-    """One for each worker process."""
+def encoder(vocabulary: str, width: int, pieces: int = CACHE_PIECES) -> Encoder:
+    """One for each worker process, until another operator's task runs there."""
+    takes_over("token_files", _ENCODERS.clear)
     if (vocabulary, width) not in _ENCODERS:
         _ENCODERS[vocabulary, width] = Encoder(vocabulary, width)
-    return _ENCODERS[vocabulary, width]
+    found = _ENCODERS[vocabulary, width]
+    found.pieces = pieces
+    return found
 
 
 class Writer:
@@ -274,7 +281,7 @@ def files_for(docs: DataFrame) -> int:
     return -(-sum(s for s in sizes if s < UNKNOWN) // BYTES_PER_FILE)
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
     """Writes the documents' ids to files in the folder and returns the manifest (read again)."""
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), files_for(docs))
@@ -283,7 +290,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width:
     last = np.array([end_id], f"<u{width}").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, width).encode
+        encode = encoder(vocabulary, width, pieces).encode
         writer = None
         for batch in batches:
             if writer is None:
@@ -301,6 +308,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width:
             row = {"file": [name], "width": [width], "first_doc_id": [writer.keys[0]], "n_docs": [len(writer.keys)], "n_ids": [sum(writer.lengths)], "n_frames": [len(writer.frames)], "bytes": [writer.written]}
             kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
+        give_back()
 
     path = f"{folder}/manifest"
     rows.mapInArrow(task, MANIFEST).write.parquet(path)
@@ -344,10 +352,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def encode_table(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def encode_table(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
     """Write, then read back, all documents."""
     folder = folder or work_folder(docs.sparkSession, "token-files")
-    return read(write(docs, folder, vocabulary, end_id), folder)
+    return read(write(docs, folder, vocabulary, end_id, pieces=pieces), folder)
 
 
 def open_folder(spark: SparkSession, folder: str) -> DataFrame:
