@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,12 +71,29 @@ def fold(key: str | Column, k: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % k
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile removes its shuffle files when it ends. Else they stay until the driver
+    happens to collect its garbage, and those of a job of many steps add up on the disks."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = work_folder(spark, label)
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

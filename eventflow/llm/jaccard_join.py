@@ -15,7 +15,9 @@ not all pairs of a group are made: the group's first class is compared with all
 eight, sixty-four, ...), and pairs whose classes already hang together are left out, until every group
 is one component or all its pairs are decided. No link is lost, and a large group of copies costs one
 comparison a member. Candidates are tested by size and by a bound on the difference from 512 parity
-bits, then exactly on the whole sets, made again from the texts of the classes concerned.
+bits; two sets of more than 512 elements, most of which those bits cannot tell apart, then by as many
+parity bits as they have elements; and the rest exactly on the whole sets, made again from the texts of
+the classes concerned. Whole sets are thus moved only of pairs that are similar or nearly so.
 
 N-grams are compared as 64-bit hashes, classes as 64-bit hashes of their sets.
 
@@ -48,6 +50,8 @@ HELD = 500
 #: Classes whose texts are fetched by a broadcast of their keys (16 bytes each), else by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SKETCH_WORDS = 8
+#: Sets of more elements than the 512 bits have a second, longer row of bits.
+WIDE_FROM = 64 * SKETCH_WORDS + 1
 
 
 class WordHashes(dict):
@@ -168,6 +172,16 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(n.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(grams: np.ndarray) -> np.ndarray | None:
+    """As ``parity``, with a bit for each element at least; none for sets that 512 bits serve. The length
+    is a power of two, and the first half of a row XOR its second half is the row of half the length."""
+    if len(grams) < WIDE_FROM:
+        return None
+    length = 1 << (len(grams) - 1).bit_length()
+    n = np.bincount((mixed(grams, 223) & U(length - 1)).astype(np.int64), minlength=length) & 1
+    return np.packbits(n.astype(np.uint8)).view(np.int64)
+
+
 # --- tables
 
 
@@ -178,9 +192,9 @@ def _pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """(key, text hash, size, class, signatures, parity bits) of every document."""
+    """(key, text hash, size, class, signatures, parity bits, long parity bits) of every document."""
 
-    @F.pandas_udf("size long, id long, sigs array<long>, bits array<long>")
+    @F.pandas_udf("size long, id long, sigs array<long>, bits array<long>, wide array<long>")
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         begin()
         for texts in _pieces(parts):
@@ -188,8 +202,8 @@ def described(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Dat
             for t in texts:
                 g = ngram_set(t, n)
                 whole = mixed(np.array([mixed(g, 401).sum(dtype=U)], U) + U(len(g)), 5).view(np.int64)[0]
-                rows.append((len(g), whole, signatures(g, percent).view(np.int64), parity(g)))
-            yield pd.DataFrame(rows, columns=["size", "id", "sigs", "bits"])
+                rows.append((len(g), whole, signatures(g, percent).view(np.int64), parity(g), wide_parity(g)))
+            yield pd.DataFrame(rows, columns=["size", "id", "sigs", "bits", "wide"])
         give_back()
 
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), describe(text).alias("d")).select("key", "hash", "d.*")
@@ -223,12 +237,39 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (apart * (100 + percent) <= (100 - percent) * total)
 
 
+def _wide_may_link(percent: int) -> Column:
+    """False only for pairs whose long parity bits rule a link out; rows of more than twice the other's
+    length, which only a percentage under 50 allows, are not compared."""
+    n = F.least(F.size("wide_a"), F.size("wide_b"))
+
+    def cut(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) == n, F.col(name)).otherwise(halves)
+
+    apart = F.aggregate(F.zip_with(cut("wide_a"), cut("wide_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = apart * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    return F.when(F.greatest(F.size("wide_a"), F.size("wide_b")) <= 2 * n, near).otherwise(F.lit(True))
+
+
+def _nearer(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b, size_a, size_b) less those that the long parity bits rule out."""
+    both = F.least("size_a", "size_b") >= WIDE_FROM
+    large = pairs.where(both)
+    if large.isEmpty():
+        return pairs
+    for side in ("a", "b"):
+        large = large.join(classes.where(F.col("size") >= WIDE_FROM).select(F.col("id").alias(side), F.col("wide").alias(f"wide_{side}")), side)
+    large = large.where(_wide_may_link(percent)).select(pairs.columns)
+    return saved(pairs.where(~both).unionByName(large), "near-candidates")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """Those of the (a, b) that are similar."""
     info = classes.select("id", "size", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(info.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
     pairs = saved(pairs.where(_may_link(percent)).select("a", "b", "size_a", "size_b"), "candidates")
+    pairs = _nearer(pairs, classes, percent)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = saved(_sets(docs, saved(classes.join(ids, "id", "left_semi").select("id", "key", "hash"), "wanted"), repeated, n, key, text), "sets")
     for side in ("a", "b"):
@@ -237,6 +278,15 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: Dat
     return pairs.select("a", "b", "size_a", "size_b", shared.alias("shared")).where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")
 
 
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """(id, sigs), one row for each id. Signatures are long: those of ids with one row are not shuffled
+    for it, unless the ids with ``several`` are too many to be broadcast."""
+    if several.count() > BROADCAST_KEYS:
+        return rows.dropDuplicates(["id"])
+    side = F.broadcast(several)
+    return rows.join(side, "id", "left_anti").unionByName(rows.join(side, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents as key, hash, size, id; classes as id, component, key and hash of the first)."""
     rows = saved(described(docs, n, percent, key, text), "described")
@@ -244,11 +294,11 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     repeated = saved(documents.groupBy("key", "hash").count().where("count > 1").select("key", "hash"), "repeated")
     filled = rows.where("size > 0")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("hash"))
-    firsts = filled.groupBy("id").agg(F.min(order).alias("first"), F.max("size").alias("size"))
-    once = filled.select("id", "sigs", "bits").dropDuplicates(["id"])
-    classes = saved(firsts.join(once.select("id", "bits"), "id").select("id", "size", "bits", "first.key", "first.hash"), "classes")
+    # The rows of a class have one set, and so the same bits.
+    merged = filled.groupBy("id").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.count("*").alias("rows"))
+    classes = saved(merged.select("id", "size", "bits", "wide", "rows", "first.key", "first.hash"), "classes")
     group = W.partitionBy("sig")
-    met = once.select("id", F.explode("sigs").alias("sig")).withColumns({"first": F.min("id").over(group), "last": F.max("id").over(group)})
+    met = _once(filled.select("id", "sigs"), classes.where("rows > 1").select("id")).select("id", F.explode("sigs").alias("sig")).withColumns({"first": F.min("id").over(group), "last": F.max("id").over(group)})
     groups = saved(met.where("first <> last").select("sig", "id", "first"), "groups")
     pairs = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = saved(_linked(pairs, classes, docs, repeated, n, percent, key, text), "linked")
