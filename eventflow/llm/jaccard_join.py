@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,8 @@ KNOWN_WORDS = 100_000
 HELD = 500
 #: Classes whose texts are fetched by a broadcast of their keys (16 bytes each), else by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Signatures are dealt out by value in so many passes, each with its share of them on disk.
+PASSES = 2
 SKETCH_WORDS = 8
 #: Sets of more elements than the 512 bits have a second, longer row of bits.
 WIDE_FROM = 64 * SKETCH_WORDS + 1
@@ -287,6 +289,14 @@ def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
     return rows.join(side, "id", "left_anti").unionByName(rows.join(side, "id", "left_semi").dropDuplicates(["id"]))
 
 
+def _groups(filled: DataFrame, several: DataFrame, k: int) -> DataFrame:
+    """(signature, id, least id) of the signatures that several ids have, in the k-th of PASSES."""
+    own = F.filter("sigs", lambda sig: F.pmod(sig, F.lit(PASSES)) == k).alias("sigs")
+    group = W.partitionBy("sig")
+    met = _once(filled.select("id", own), several).select("id", F.explode("sigs").alias("sig")).withColumns({"first": F.min("id").over(group), "last": F.max("id").over(group)})
+    return met.where("first <> last").select("sig", "id", "first")
+
+
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents as key, hash, size, id; classes as id, component, key and hash of the first)."""
     rows = saved(described(docs, n, percent, key, text), "described")
@@ -297,9 +307,8 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     # The rows of a class have one set, and so the same bits.
     merged = filled.groupBy("id").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.count("*").alias("rows"))
     classes = saved(merged.select("id", "size", "bits", "wide", "rows", "first.key", "first.hash"), "classes")
-    group = W.partitionBy("sig")
-    met = _once(filled.select("id", "sigs"), classes.where("rows > 1").select("id")).select("id", F.explode("sigs").alias("sig")).withColumns({"first": F.min("id").over(group), "last": F.max("id").over(group)})
-    groups = saved(met.where("first <> last").select("sig", "id", "first"), "groups")
+    several = classes.where("rows > 1").select("id")
+    groups = reduce(DataFrame.unionByName, [saved(_groups(filled, several, k), "groups") for k in range(PASSES)])
     pairs = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = saved(_linked(pairs, classes, docs, repeated, n, percent, key, text), "linked")
     components = connected(links)

@@ -116,3 +116,17 @@ def test_shuffle_files_go_when_a_table_is_saved(spark):
     assert not left
     assert table.count() == 1000
     assert spark.conf.get(name) == before
+
+
+def test_each_signature_is_dealt_out_in_one_pass(spark):
+    g = np.random.default_rng(7)
+    rows = [(i, [int(x) for x in g.integers(-40, 40, 6)]) for i in range(60)]
+    filled = common.saved(spark.createDataFrame([*rows, rows[5]], "id long, sigs array<long>"), "test-rows")
+    several = filled.groupBy("id").count().where("count > 1").select("id")
+    got = [[(r.sig, r.id, r.first) for r in jaccard_join._groups(filled, several, k).distinct().collect()] for k in range(jaccard_join.PASSES)]
+    ids = {}
+    for i, sigs in rows:
+        for x in sigs:
+            ids.setdefault(x, set()).add(i)
+    assert sorted(sum(got, [])) == sorted((x, i, min(own)) for x, own in ids.items() if len(own) > 1 for i in own)
+    assert len(got) > 1 and min(map(len, got)) > 0.25 * max(map(len, got))
